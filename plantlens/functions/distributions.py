@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -125,11 +126,11 @@ def normal_quantile(p: float) -> float:
     return (lo + hi) / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi2_tail(x.to_numpy(float), df.to_numpy(float)))

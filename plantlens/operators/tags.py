@@ -60,12 +60,12 @@ def name_list(text: str | None) -> tuple[str, ...]:
     return tuple(out.values())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_key_column(names: pd.Series) -> pd.Series:
     return names.map(name_key, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def name_key_lists(names: pd.Series) -> pd.Series:
     return names.map(lambda xs: None if xs is None else [name_key(x) for x in xs if name_key(x)])
 
