@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
@@ -44,8 +45,9 @@ def add_features(df: DataFrame, features: Iterable[tuple[str, str | Column]],
                  warnings: list[str] | None = None) -> DataFrame:
     """Computed columns by Spark SQL text or Column; later ones see earlier ones.
 
-    A repeated name keeps the last definition. Division by zero and logarithms of
-    non-positive numbers give missing. A definition that does not resolve, or that
+    A repeated name keeps the last definition. Text is resolved without ANSI errors,
+    so division by zero and values that cannot be read give missing, as do
+    logarithms of non-positive numbers. A definition that does not resolve, or that
     is not a plain row expression, is skipped with a warning.
     """
     last: dict[str, str | Column] = {}
@@ -54,7 +56,11 @@ def add_features(df: DataFrame, features: Iterable[tuple[str, str | Column]],
         last[key] = expr
     for key, expr in last.items():
         try:
-            trial = df.withColumn(key, F.expr(_lenient(expr)) if isinstance(expr, str) else expr)
+            if isinstance(expr, str):
+                with _lenient(df):
+                    trial = df.withColumn(key, F.expr(_row_expression(expr)))
+            else:
+                trial = df.withColumn(key, expr)
             dtype = trial.schema[key].dataType
             if is_floating(dtype):
                 value = F.when(~F.isnan(col(key)), col(key))
@@ -66,10 +72,21 @@ def add_features(df: DataFrame, features: Iterable[tuple[str, str | Column]],
     return df
 
 
-def _lenient(text: str) -> str:
+@contextmanager
+def _lenient(df: DataFrame):
+    """Arithmetic resolved in here gives NULL instead of raising; the choice stays in the plan."""
+    conf, key = df.sparkSession.conf, "spark.sql.ansi.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
+def _row_expression(text: str) -> str:
     """Refuse subqueries; leave everything else to Spark's own parser."""
-    lowered = text.lower()
-    if "select " in lowered or ";" in lowered:
+    if "select " in text.lower() or ";" in text:
         raise ValueError("only row expressions are allowed")
     return text
 

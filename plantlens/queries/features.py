@@ -1 +1,176 @@
-QUERIES = []
+"""Order-aware features over the events: one series per event type, or one series in all."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantlens.operators import features
+from plantlens.plans.prepare import PrepareConfig, prepare
+from plantlens.queries.base import Query, rounded, table
+
+ORDER = ["ts", "event_id"]
+
+
+def _events(spark, d):
+    """Readings over 100 count as missing."""
+    return table(spark, d, "events").select("event_id", "ts", "event_type",
+                                            F.when(F.col("value") <= 100, F.col("value")).alias("value"))
+
+
+def _lean(df, *names):
+    return rounded(df.select("event_id", *names), 5)
+
+
+def q_lags(spark, d):
+    t = features.add_lags(_events(spark, d), {"value": [1, 3], "event_id": [2, -1, 0]}, ORDER, ["event_type"])
+    return t.select("event_id", "value_lag1", "value_lag3", "event_id_lag2")
+
+
+def q_lags_blocks(spark, d):
+    t = features.add_lags(_events(spark, d), {"value": [1, 5]}, ORDER, block_rows=900)
+    return t.select("event_id", "value_lag1", "value_lag5")
+
+
+def q_features(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                           "l_discount", "l_tax")
+    warnings: list[str] = []
+    out = features.add_features(t, [
+        ("net", "0"), ("net", "l_extendedprice * (1 - l_discount)"), ("gross", "net * (1 + l_tax)"),
+        ("per_discount", "l_quantity / l_discount"), ("log_tax", "ln(l_tax)"), ("growth", "exp(l_tax)"),
+        ("broken", "no_such_column + 1")], warnings)
+    return rounded(out.withColumn("warned", F.lit(len(warnings))), 4)
+
+
+def q_sma(spark, d):
+    t = features.add_sma(_events(spark, d), "value", 5, 3, order_cols=ORDER, series_cols=["event_type"])
+    return _lean(t, "value_sma5")
+
+
+def q_sma_centered(spark, d):
+    t = features.add_sma(_events(spark, d), "value", 4, 1, True, order_cols=ORDER, series_cols=["event_type"])
+    return _lean(t, "value_sma4")
+
+
+def q_sma_blocks(spark, d):
+    t = features.add_sma(_events(spark, d), "value", 7, 2, True, order_cols=ORDER, block_rows=800)
+    return _lean(t, "value_sma7")
+
+
+def q_ema(spark, d):
+    t = features.add_ema(_events(spark, d), "value", 5, 2, order_cols=ORDER, series_cols=["event_type"])
+    return _lean(t, "value_ema5")
+
+
+def q_ema_adjust(spark, d):
+    t = features.add_ema(_events(spark, d), "value", 9, 1, True, order_cols=ORDER, series_cols=["event_type"])
+    return _lean(t, "value_ema9")
+
+
+def q_ema_blocks(spark, d):
+    t = features.add_ema(_events(spark, d), "value", 12, 1, order_cols=ORDER, block_rows=900)
+    return _lean(t, "value_ema12")
+
+
+PARTS = ["value_season_p12_trend", "value_season_p12_seasonal", "value_season_p12_resid"]
+
+
+def q_decompose(spark, d):
+    t = features.seasonal_decompose(_events(spark, d), "value", 12, order_cols=ORDER, series_cols=["event_type"])
+    return _lean(t, *PARTS)
+
+
+def q_decompose_blocks(spark, d):
+    t = features.seasonal_decompose(_events(spark, d), "value", 7, order_cols=ORDER, block_rows=900)
+    return _lean(t, *[p.replace("12", "7") for p in PARTS])
+
+
+def q_prepare(spark, d):
+    t = _events(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_id", "ts", "event_type", "value")
+    cfg = PrepareConfig(lags={"value": [1]}, features=[("step", "value - value_lag1")],
+                        sma=[{"column": "step", "window": 3}], split_method="sequential", train_ratio=0.7,
+                        order_cols=ORDER, series_cols=["event_type"])
+    return rounded(prepare(t, cfg).data.select("event_id", "step", "step_sma3", "is_train"), 5)
+
+
+_EV = "ev AS (SELECT event_id, ts, event_type, CASE WHEN value <= 100 THEN value END AS value FROM events)"
+_W = "PARTITION BY event_type ORDER BY ts, event_id"
+_G = "ORDER BY ts, event_id"
+
+
+def _ema_sql(span: int, least: int, adjust: bool, by_type: bool) -> str:
+    part = _W if by_type else _G
+    key = "event_type" if by_type else "'all'"
+    a = 2.0 / (span + 1)
+    if adjust:
+        state = f"""
+r AS (SELECT k, rn, event_id, value AS v, coalesce(value, 0.0) AS num, CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END AS den,
+  CASE WHEN value IS NULL THEN 0 ELSE 1 END AS seen FROM s WHERE rn = 1
+UNION ALL SELECT s.k, s.rn, s.event_id, s.value, r.num * {1 - a!r} + coalesce(s.value, 0.0),
+  r.den * {1 - a!r} + CASE WHEN s.value IS NULL THEN 0.0 ELSE 1.0 END,
+  r.seen + CASE WHEN s.value IS NULL THEN 0 ELSE 1 END FROM r JOIN s ON s.k = r.k AND s.rn = r.rn + 1)
+SELECT event_id, round(CASE WHEN seen >= {least} THEN num / den END, 5) AS value_ema{span} FROM r"""
+    else:
+        state = f"""
+r AS (SELECT k, rn, event_id, value AS e, 0 AS gap, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS seen FROM s WHERE rn = 1
+UNION ALL SELECT s.k, s.rn, s.event_id,
+  CASE WHEN s.value IS NULL THEN r.e WHEN r.e IS NULL THEN s.value
+    ELSE (pow({1 - a!r}, r.gap + 1) * r.e + {a!r} * s.value) / (pow({1 - a!r}, r.gap + 1) + {a!r}) END,
+  CASE WHEN s.value IS NULL THEN r.gap + 1 ELSE 0 END,
+  r.seen + CASE WHEN s.value IS NULL THEN 0 ELSE 1 END FROM r JOIN s ON s.k = r.k AND s.rn = r.rn + 1)
+SELECT event_id, round(CASE WHEN seen >= {least} THEN e END, 5) AS value_ema{span} FROM r"""
+    return (f"WITH RECURSIVE {_EV}, s AS (SELECT {key} AS k, row_number() OVER ({part}) AS rn, event_id, value FROM ev),"
+            + state)
+
+
+def _season_sql(period: int, by_type: bool) -> str:
+    part = _W if by_type else _G
+    key = "event_type" if by_type else "'all'"
+    h = period // 2
+    if period % 2:
+        mean = f"avg(value) OVER ({part} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+        need = period
+    else:
+        mean = (f"(sum(value) OVER ({part} ROWS BETWEEN {h - 1} PRECEDING AND {h - 1} FOLLOWING) + 0.5 * (lag(value, {h}) "
+                f"OVER ({part}) + lead(value, {h}) OVER ({part}))) / {period}.0")
+        need = period + 1
+    p = f"value_season_p{period}"
+    return f"""WITH {_EV}, s AS (SELECT *, {key} AS k FROM ev WHERE value IS NOT NULL),
+t AS (SELECT k, event_id, value, (row_number() OVER ({part}) - 1) % {period} AS phase, CASE WHEN count(*) OVER ({part}
+  ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) = {need} THEN {mean} END AS trend FROM s),
+m AS (SELECT k, phase, avg(value - trend) AS m FROM t GROUP BY ALL),
+c AS (SELECT k, phase, m - avg(m) OVER (PARTITION BY k) AS seasonal FROM m)
+SELECT ev.event_id, round(trend, 5) AS {p}_trend, round(seasonal, 5) + 0.0 AS {p}_seasonal,
+  round(t.value - trend - seasonal, 5) + 0.0 AS {p}_resid
+FROM ev LEFT JOIN t ON t.event_id = ev.event_id LEFT JOIN c ON c.k = t.k AND c.phase = t.phase"""
+
+
+QUERIES = [
+    Query("add_lags", q_lags, f"WITH {_EV} SELECT event_id, lag(value, 1) OVER w AS value_lag1, lag(value, 3) OVER w "
+          f"AS value_lag3, lag(event_id, 2) OVER w AS event_id_lag2 FROM ev WINDOW w AS ({_W})"),
+    Query("add_lags_blocks", q_lags_blocks, f"WITH {_EV} SELECT event_id, lag(value, 1) OVER w AS value_lag1, "
+          f"lag(value, 5) OVER w AS value_lag5 FROM ev WINDOW w AS ({_G})"),
+    Query("add_features", q_features,
+          "SELECT l_orderkey, l_partkey, l_linenumber, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS "
+          "l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax, "
+          "round(l_extendedprice * (1 - l_discount), 4) AS net, "
+          "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS gross, "
+          "round(CASE WHEN l_discount <> 0 THEN l_quantity / l_discount END, 4) AS per_discount, "
+          "round(CASE WHEN l_tax > 0 THEN ln(l_tax) END, 4) AS log_tax, round(exp(l_tax), 4) AS growth, 1 AS warned "
+          "FROM lineitem"),
+    Query("add_sma", q_sma, f"WITH {_EV} SELECT event_id, round(CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END, 5) "
+          f"AS value_sma5 FROM ev WINDOW w AS ({_W} ROWS 4 PRECEDING)"),
+    Query("add_sma_centered", q_sma_centered, f"WITH {_EV} SELECT event_id, round(avg(value) OVER w, 5) AS value_sma4 "
+          f"FROM ev WINDOW w AS ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)"),
+    Query("add_sma_blocks", q_sma_blocks, f"WITH {_EV} SELECT event_id, round(CASE WHEN count(value) OVER w >= 2 THEN "
+          f"avg(value) OVER w END, 5) AS value_sma7 FROM ev WINDOW w AS ({_G} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"),
+    Query("add_ema", q_ema, _ema_sql(5, 2, False, True)),
+    Query("add_ema_adjust", q_ema_adjust, _ema_sql(9, 1, True, True)),
+    Query("add_ema_blocks", q_ema_blocks, _ema_sql(12, 1, False, False)),
+    Query("seasonal_decompose", q_decompose, _season_sql(12, True)),
+    Query("seasonal_decompose_blocks", q_decompose_blocks, _season_sql(7, False)),
+    Query("prepare", q_prepare, f"""WITH {_EV}, a AS (SELECT *, value - lag(value) OVER w AS step, row_number() OVER w AS rn,
+  count(*) OVER (PARTITION BY event_type) AS n FROM ev WINDOW w AS ({_W}))
+SELECT event_id, round(step, 5) + 0.0 AS step, round(avg(step) OVER ({_W} ROWS 2 PRECEDING), 5) + 0.0 AS step_sma3,
+  rn <= least(greatest(round_even(n * 0.7, 0), 1), n - 1) AS is_train FROM a"""),
+]
