@@ -39,7 +39,7 @@ def q_features(spark, d):
         ("net", "0"), ("net", "l_extendedprice * (1 - l_discount)"), ("gross", "net * (1 + l_tax)"),
         ("per_discount", "l_quantity / l_discount"), ("log_tax", "ln(l_tax)"), ("growth", "exp(l_tax)"),
         ("broken", "no_such_column + 1")], warnings)
-    return rounded(out.withColumn("warned", F.lit(len(warnings))), 4)
+    return rounded(out.withColumn("warned", F.lit(len(warnings))), 6)
 
 
 def q_sma(spark, d):
@@ -104,7 +104,7 @@ def _ema_sql(span: int, least: int, adjust: bool, by_type: bool) -> str:
     a = 2.0 / (span + 1)
     if adjust:
         state = f"""
-r AS (SELECT k, rn, event_id, value AS v, coalesce(value, 0.0) AS num, CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END AS den,
+r AS (SELECT k, rn, event_id, value AS v, CAST(coalesce(value, 0) AS DOUBLE) AS num, CAST(CASE WHEN value IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS den,
   CASE WHEN value IS NULL THEN 0 ELSE 1 END AS seen FROM s WHERE rn = 1
 UNION ALL SELECT s.k, s.rn, s.event_id, s.value, r.num * {1 - a!r} + coalesce(s.value, 0.0),
   r.den * {1 - a!r} + CASE WHEN s.value IS NULL THEN 0.0 ELSE 1.0 END,
@@ -151,12 +151,12 @@ QUERIES = [
     Query("add_lags_blocks", q_lags_blocks, f"WITH {_EV} SELECT event_id, lag(value, 1) OVER w AS value_lag1, "
           f"lag(value, 5) OVER w AS value_lag5 FROM ev WINDOW w AS ({_G})"),
     Query("add_features", q_features,
-          "SELECT l_orderkey, l_partkey, l_linenumber, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS "
-          "l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax, "
-          "round(l_extendedprice * (1 - l_discount), 4) AS net, "
-          "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS gross, "
-          "round(CASE WHEN l_discount <> 0 THEN l_quantity / l_discount END, 4) AS per_discount, "
-          "round(CASE WHEN l_tax > 0 THEN ln(l_tax) END, 4) AS log_tax, round(exp(l_tax), 4) AS growth, 1 AS warned "
+          "SELECT l_orderkey, l_partkey, l_linenumber, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS "
+          "l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax, "
+          "round(l_extendedprice * (1 - l_discount), 6) AS net, "
+          "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross, "
+          "round(CASE WHEN l_discount <> 0 THEN l_quantity / l_discount END, 6) AS per_discount, "
+          "round(CASE WHEN l_tax > 0 THEN ln(l_tax) END, 6) AS log_tax, round(exp(l_tax), 6) AS growth, 1 AS warned "
           "FROM lineitem"),
     Query("add_sma", q_sma, f"WITH {_EV} SELECT event_id, round(CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END, 5) "
           f"AS value_sma5 FROM ev WINDOW w AS ({_W} ROWS 4 PRECEDING)"),

@@ -1 +1,422 @@
-QUERIES = []
+"""Models and their scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantlens.operators import encode, evaluate, forecast, importance, latent, search, splits, supervised
+from plantlens.plans.run import RunConfig, run_model
+from plantlens.queries.base import Query, rounded, table
+
+
+def _lines(spark, d):
+    """Order lines with a target that depends on the features, and a clear early/late split."""
+    t = table(spark, d, "lineitem")
+    return t.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), "l_quantity", "l_discount", "l_tax",
+        "l_extendedprice", "l_returnflag", "l_linestatus",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000 + 8 * F.col("l_tax")).alias("net"),
+        (F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")).alias("is_train"))
+
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _encoded(spark, d, features):
+    t = _lines(spark, d).drop("net")
+    enc = encode.fit_encoder(t.filter("is_train"), features)
+    data = enc.transform(t).withColumn("dataset", F.when(F.col("is_train"), F.lit("train")).otherwise(F.lit("test")))
+    return data, enc
+
+
+def _vectors(spark, d):
+    """Embeddings as rows of numbers."""
+    t = table(spark, d, "embeddings")
+    return t.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
+                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(8)])
+
+
+# ---- encoding and scores -------------------------------------------------------------------
+
+def q_encode(spark, d):
+    """Share of set slots and mean of the scaled numbers, per slot."""
+    data, enc = _encoded(spark, d, ["l_quantity", "l_discount", "l_returnflag"])
+    slots = latent.slots_of(data, "features")
+    names = F.array(*[F.lit(s) for s in enc.slots])
+    long = data.select(F.posexplode(slots).alias("i", "v"))
+    return rounded(long.groupBy(F.get(names, F.col("i")).alias("slot")).agg(F.avg("v").alias("mean"),
+                                                                          F.count(F.lit(1)).alias("n")))
+
+
+def q_linear_one(spark, d):
+    """One feature: predictions are the least-squares line."""
+    fitted = supervised.fit_supervised(_lines(spark, d), "linear", ["l_quantity"], "net", flag="is_train")
+    m = fitted.predictions.groupBy("dataset").agg(F.avg("predicted").alias("mean_predicted"),
+                                                  F.max("predicted").alias("max_predicted"))
+    return rounded(fitted.metrics.join(m, "dataset"), 5)
+
+
+def q_linear(spark, d):
+    return rounded(supervised.fit_supervised(_lines(spark, d), "linear", [*NUMBERS, "l_returnflag"], "net").metrics)
+
+
+def q_regression_metrics(spark, d):
+    t = _lines(spark, d).withColumns({"guess": F.col("l_extendedprice") / 1050, "dataset": F.when(
+        F.col("is_train"), F.lit("train")).otherwise(F.lit("test"))})
+    return rounded(evaluate.regression_metrics(t, "net", "guess"))
+
+
+def q_prediction_table(spark, d):
+    t = _lines(spark, d).withColumn("guess", F.col("l_extendedprice") / 1050)
+    return rounded(evaluate.prediction_table(t, "id", "net", "guess", "is_train"), 5)
+
+
+def _guesses(spark, d):
+    """A fixed guess of the return flag from the price, to be scored as a classifier would be."""
+    t = _lines(spark, d)
+    guess = F.when(F.col("l_extendedprice") > 60000, "A").when(F.col("l_quantity") > 25, "N").otherwise("R")
+    return t.withColumns({"guess": guess, "dataset": F.when(F.col("is_train"), F.lit("train")).otherwise(F.lit("test"))})
+
+
+def q_confusion(spark, d):
+    return evaluate.confusion_matrix(_guesses(spark, d), "l_returnflag", "guess", ["A", "N", "R", "never"], ["dataset"])
+
+
+def q_accuracy(spark, d):
+    return rounded(evaluate.accuracy(_guesses(spark, d), "l_returnflag", "guess"))
+
+
+def q_roc(spark, d):
+    t = table(spark, d, "orders").withColumn("score", F.floor(F.col("o_totalprice") / 5000).cast("double"))
+    return rounded(evaluate.roc_curve(t, "score", F.col("o_orderstatus") == "F"))
+
+
+def q_roc_blocks(spark, d):
+    t = table(spark, d, "orders")
+    return rounded(evaluate.roc_curve(t, "o_totalprice", F.col("o_orderstatus") == "F", block_rows=2_000))
+
+
+def q_auc(spark, d):
+    t = table(spark, d, "orders").withColumn("score", F.floor(F.col("o_totalprice") / 5000).cast("double"))
+    return rounded(evaluate.auc(t, "score", F.col("o_orderstatus") == "F", ["o_orderpriority"]))
+
+
+def q_macro_auc(spark, d):
+    t = table(spark, d, "orders").select("o_orderstatus", F.array(
+        F.col("o_totalprice"), F.pmod("o_custkey", F.lit(97)).cast("double"), -F.col("o_totalprice")).alias("scores"))
+    return rounded(evaluate.macro_auc(t, "scores", "o_orderstatus", ["F", "O", "P"]))
+
+
+# ---- models without a target ---------------------------------------------------------------
+
+def q_pca(spark, d):
+    data, enc = _encoded(spark, d, NUMBERS)
+    model = latent.fit_pca(data.filter("is_train"), "features", 2, enc.slots, enc.source_ranges())
+    return rounded(latent.reconstruction(latent.t2_q_statistics(data, model), enc.width), 5)
+
+
+def q_pca_variance(spark, d):
+    """Total variance, and the trace of the covariance it must equal, on the embeddings."""
+    v = _vectors(spark, d)
+    enc = encode.fit_encoder(v, [f"v{i}" for i in range(8)], scale=False)
+    model = latent.fit_pca(enc.transform(v), "features", 8, enc.slots)
+    return rounded(latent.pca_table(spark, model).agg(F.sum("variance").alias("total_variance"),
+                                                      F.max("cumulative").alias("cumulative")))
+
+
+def q_loadings(spark, d):
+    v = _vectors(spark, d)
+    enc = encode.fit_encoder(v, [f"v{i}" for i in range(8)])
+    return rounded(latent.loadings_squared(spark, latent.fit_pca(enc.transform(v), "features", 3, enc.slots)))
+
+
+def q_t2_q(spark, d):
+    """T2 and Q of a full-rank model: T2 is the Mahalanobis distance and Q is 0."""
+    v = _vectors(spark, d)
+    enc = encode.fit_encoder(v, ["v0", "v1"], scale=False)
+    data = enc.transform(v)
+    model = latent.fit_pca(data, "features", 2, enc.slots)
+    return rounded(latent.t2_q_statistics(data, model).select("id", "t2", "q"), 5)
+
+
+def _t2q(spark, d):
+    selected = F.col("l_extendedprice") > 90_000
+    return run_model(_lines(spark, d).drop("net", "is_train"), "pca_t2q", RunConfig(
+        features=[*NUMBERS, "l_returnflag"], params={"n_components": 3, "t2_limits": (95, 120)},
+        split_method="stratified_random", stratify_col="l_returnflag", selected=selected))
+
+
+def q_t2_q_report(spark, d):
+    return rounded(_t2q(spark, d).metrics)
+
+
+def q_contributions(spark, d):
+    return rounded(_t2q(spark, d).tables["contributions"])
+
+
+def q_suggest_components(spark, d):
+    data, _ = _encoded(spark, d, NUMBERS)
+    k = latent.suggest_components(data.filter("is_train"), threshold=0.9)
+    return data.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).withColumn("n_components", F.lit(k))
+
+
+def q_ica(spark, d):
+    data, enc = _encoded(spark, d, ["l_quantity", "l_extendedprice", "l_discount"])
+    model = latent.fit_ica(data.filter("is_train"), "features", 3, 200, slots=enc.slots)
+    return rounded(latent.reconstruction(latent.ica_scores(data, model), enc.width), 5)
+
+
+def q_suggest_ica(spark, d):
+    data, _ = _encoded(spark, d, ["l_quantity", "l_extendedprice", "l_discount"])
+    k = latent.suggest_ica_components(data.filter("is_train"), most=3, max_iter=50)
+    return data.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).withColumn("n_components", F.lit(k))
+
+
+# ---- models with a target ------------------------------------------------------------------
+
+def q_pls(spark, d):
+    """With one component per feature PLS is least squares."""
+    fitted = supervised.fit_supervised(_lines(spark, d), "pls", ["l_quantity"], "net", {"n_components": 1})
+    return rounded(fitted.metrics, 5)
+
+
+def q_vip(spark, d):
+    fitted = supervised.fit_supervised(_lines(spark, d), "pls", NUMBERS, "net", evaluate=False)
+    return rounded(latent.vip_scores(spark, fitted.stage))
+
+
+def q_gbt_regression(spark, d):
+    return rounded(supervised.fit_supervised(_lines(spark, d), "gbt_regression", NUMBERS, "net",
+                                             {"n_estimators": 10, "learning_rate": 0.3}).metrics)
+
+
+def q_forest_regression(spark, d):
+    return rounded(supervised.fit_supervised(_lines(spark, d), "forest_regression", NUMBERS, "net",
+                                             {"n_estimators": 10, "max_depth": 6}).metrics)
+
+
+def _documents(spark, d):
+    """Quality labels with simple measures of the whole texts."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", "lang", "source", "n_chars", F.size(F.split("text", r"\s+")).alias("words"),
+        F.length(F.regexp_replace("text", r"[^0-9]", "")).alias("digits"),
+        F.length(F.regexp_replace("text", r"[^\n]", "")).alias("lines"))
+    rows = docs.join(table(spark, d, "labels"), "doc_id").withColumn("id", F.col("doc_id").cast("string"))
+    return splits.split_stratified(rows, "quality", 0.7)
+
+
+DOC_FEATURES = ["n_chars", "words", "digits", "lines", "lang", "source"]
+
+
+def _classifier(key, **params):
+    def run(spark, d):
+        return rounded(supervised.fit_supervised(_documents(spark, d), key, DOC_FEATURES, "quality", params).metrics)
+    return run
+
+
+def q_multi_class(spark, d):
+    v = splits.split_stratified(_vectors(spark, d), "label", 0.7)
+    return rounded(supervised.fit_supervised(v, "logistic", [f"v{i}" for i in range(8)], "label", {"max_iter": 50}).metrics)
+
+
+def q_run_model(spark, d):
+    """The common entry: split, fit, scores, confusion and importances."""
+    rows = _documents(spark, d).select("id", "quality", *DOC_FEATURES)
+    r = run_model(rows, "tree_classifier", RunConfig(DOC_FEATURES, "quality", {"max_depth": 4},
+                                                     split_method="stratified_random", importances=False))
+    return r.tables["confusion"]
+
+
+def q_coefficients(spark, d):
+    fitted = supervised.fit_supervised(_lines(spark, d), "linear", NUMBERS, "net", evaluate=False)
+    return rounded(importance.coefficient_importance(spark, fitted), 5)
+
+
+def q_permutation(spark, d):
+    t = _lines(spark, d)
+    fitted = supervised.fit_supervised(t, "linear", NUMBERS, "net", evaluate=False)
+    return rounded(importance.permutation_importance(fitted, t.filter("not is_train"), n_repeats=3))
+
+
+def q_tree_importance(spark, d):
+    fitted = supervised.fit_supervised(_documents(spark, d), "tree_classifier", DOC_FEATURES, "quality",
+                                       {"max_depth": 5}, evaluate=False)
+    return rounded(importance.tree_importance(spark, fitted))
+
+
+def q_grid_search(spark, d):
+    t = _lines(spark, d).filter("is_train").select("id", *NUMBERS, "net")
+    _, scores = search.grid_search(t, "pls", NUMBERS, "net", {"n_components": [1, 2]}, folds=2)
+    return rounded(scores)
+
+
+def q_random_search(spark, d):
+    t = _documents(spark, d).filter("is_train").select("id", "quality", *DOC_FEATURES)
+    _, scores = search.random_search(t, "logistic", DOC_FEATURES, "quality", {"C": [0.1, 1.0]}, folds=2)
+    return rounded(scores)
+
+
+def q_workload(spark, d):
+    """Rows a search would fit: fits times the rows of a fold's training part."""
+    load = search.search_workload(search.GRIDS["forest_regression"], 5)
+    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(load["candidates"]).alias("candidates"), F.lit(load["fits"]).alias("fits"), F.lit(load["note"]).alias("note"),
+        (F.col("rows") * load["fits"] * 4 / 5).cast("bigint").alias("rows_fitted"))
+
+
+# ---- forecasts -----------------------------------------------------------------------------
+
+BY = {"order_cols": ["ts", "event_id"], "series_cols": ["event_type"]}
+
+
+def q_forecast(spark, d):
+    t = forecast.forecast_ar(table(spark, d, "events"), "value", [1, 0, 0], trend="c", **BY)
+    return rounded(t.select("event_type", "event_id", "dataset", "actual", "predicted"), 5)
+
+
+def q_fit_ar(spark, d):
+    t = forecast.fit_ar(table(spark, d, "events"), "value", [2, 1, 0], **BY)
+    return rounded(t.select("event_type", "n", F.get("coef", F.lit(0)).alias("ar1"), F.get("coef", F.lit(1)).alias("ar2"),
+                            "s2", "aic"), 5)
+
+
+def q_forecast_arma(spark, d):
+    t = table(spark, d, "events")
+    fit = forecast.fit_ar(t, "value", [1, 1, 1], **BY)
+    return rounded(forecast.forecast_metrics(forecast.forecast_ar(t, "value", [1, 1, 1], **BY), fit, ["event_type"]), 5)
+
+
+def q_sarima(spark, d):
+    t = forecast.fit_ar(table(spark, d, "events"), "value", [1, 1, 0], [1, 0, 1, 12], **BY)
+    return rounded(t.select("event_type", "n", "s2", "aic", "bic"), 5)
+
+
+def q_suggest_order(spark, d):
+    return rounded(forecast.suggest_ar_order(table(spark, d, "events"), "value",
+                                             {"order": [[1, 0, 0], [2, 0, 0], [1, 1, 0]], "trend": ["c"]}, **BY), 5)
+
+
+_L = ("l AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity, l_discount, l_tax, "
+      "l_extendedprice, l_returnflag, l_extendedprice * (1 - l_discount) / 1000 + 8 * l_tax AS net, "
+      "l_shipdate < TIMESTAMP '1999-01-01' AS is_train, CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' THEN 'train' ELSE 'test' END "
+      "AS dataset FROM lineitem)")
+
+
+def _metrics_sql(source, y, p, digits=6):
+    return (f"SELECT dataset, count(*) AS n, round(1 - avg(pow({y} - {p}, 2)) / var_pop({y}), {digits}) AS R2, "
+            f"round(sqrt(avg(pow({y} - {p}, 2))), {digits}) AS RMSE, round(avg(abs({y} - {p})), {digits}) AS MAE FROM {source} "
+            "GROUP BY dataset")
+
+
+_LINE = (f"{_L}, c AS (SELECT regr_slope(net, l_quantity) AS b, regr_intercept(net, l_quantity) AS a FROM l WHERE is_train), "
+         "p AS (SELECT l.*, a + b * l_quantity AS predicted FROM l, c)")
+_GUESS = (f"{_L}, g AS (SELECT *, CASE WHEN l_extendedprice > 60000 THEN 'A' WHEN l_quantity > 25 THEN 'N' ELSE 'R' END AS guess FROM l)")
+
+
+def _auc_parts(name: str, score: str, positive: str, by: str = "'x'") -> str:
+    """Rank-sum AUC per key as a chain of CTEs ending in `name`."""
+    return f"""{name}_r AS (SELECT {by} AS k, {positive} AS pos, rank() OVER (PARTITION BY {by} ORDER BY {score}) +
+  (count(*) OVER (PARTITION BY {by}, {score}) - 1) / 2.0 AS rk FROM orders),
+{name} AS (SELECT k, (sum(rk) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0)
+  / (count(*) FILTER (WHERE pos) * CAST(count(*) FILTER (WHERE NOT pos) AS DOUBLE)) AS auc FROM {name}_r GROUP BY k)"""
+
+
+def _roc_sql(score: str) -> str:
+    return f"""WITH s AS (SELECT CAST({score} AS DOUBLE) AS threshold, count(*) FILTER (WHERE o_orderstatus = 'F') AS p,
+  count(*) FILTER (WHERE o_orderstatus <> 'F') AS n FROM orders GROUP BY 1)
+SELECT round(threshold, 6) AS threshold, round(sum(n) OVER w / CAST(sum(n) OVER () AS DOUBLE), 6) AS fpr,
+  round(sum(p) OVER w / CAST(sum(p) OVER () AS DOUBLE), 6) AS tpr FROM s WINDOW w AS (ORDER BY threshold DESC)
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0"""
+
+
+_DIFF = """e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS n,
+  value - lag(value) OVER w AS w0 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+t AS (SELECT *, lag(w0, 1) OVER w AS w1, lag(w0, 2) OVER w AS w2 FROM e
+  WHERE rn <= round_even(n * 0.8, 0) WINDOW w AS (PARTITION BY event_type ORDER BY rn)),
+g AS (SELECT event_type, count(*) AS n, sum(w1 * w1) AS a, sum(w1 * w2) AS b, sum(w2 * w2) AS c, sum(w1 * w0) AS u, sum(w2 * w0) AS v,
+  sum(w0 * w0) AS y FROM t WHERE w2 IS NOT NULL GROUP BY event_type),
+h AS (SELECT *, (u * c - v * b) / (a * c - b * b) AS ar1, (v * a - u * b) / (a * c - b * b) AS ar2 FROM g),
+f AS (SELECT *, (y - ar1 * u - ar2 * v) / n AS s2 FROM h)"""
+
+_FORECAST = """WITH RECURSIVE e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, lag(value) OVER w AS prev,
+  count(*) OVER (PARTITION BY event_type) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+x AS (SELECT *, rn <= round_even(n * 0.8, 0) AS train FROM e),
+c AS (SELECT event_type, regr_slope(value, prev) AS b, regr_intercept(value, prev) AS a FROM x WHERE train AND prev IS NOT NULL GROUP BY 1),
+r AS (SELECT x.event_type, rn, value AS f FROM x WHERE rn = round_even(n * 0.8, 0)
+  UNION ALL SELECT r.event_type, r.rn + 1, a + b * r.f FROM r JOIN c ON c.event_type = r.event_type
+  JOIN x ON x.event_type = r.event_type AND x.rn = r.rn + 1)
+SELECT x.event_type, event_id, CASE WHEN train THEN 'train' ELSE 'test' END AS dataset, round(value, 5) AS actual,
+  round(CASE WHEN train THEN a + b * prev ELSE r.f END, 5) AS predicted
+FROM x JOIN c ON c.event_type = x.event_type LEFT JOIN r ON r.event_type = x.event_type AND r.rn = x.rn"""
+
+_V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(8)) + " FROM embeddings)"
+
+QUERIES = [
+    Query("feature_encoding", q_encode, f"""WITH {_L}, m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_discount) AS md,
+  stddev_pop(l_discount) AS sd FROM l WHERE is_train)
+SELECT 'l_quantity' AS slot, round(avg((l_quantity - mq) / sq), 6) + 0.0 AS mean, count(*) AS n FROM l, m
+UNION ALL SELECT 'l_discount', round(avg((l_discount - md) / sd), 6) + 0.0, count(*) FROM l, m
+UNION ALL SELECT 'l_returnflag_' || f, round(avg(CASE WHEN l_returnflag = f THEN 1.0 ELSE 0.0 END), 6), count(*) FROM l,
+  (VALUES ('A'), ('N'), ('R')) q(f) GROUP BY f"""),
+    Query("linear_regression_line", q_linear_one, f"WITH {_LINE}, m AS ({_metrics_sql('p', 'net', 'predicted', 5)}), "
+          "q AS (SELECT dataset, round(avg(predicted), 5) AS mean_predicted, round(max(predicted), 5) AS max_predicted FROM p GROUP BY 1) "
+          "SELECT m.*, mean_predicted, max_predicted FROM m JOIN q ON m.dataset = q.dataset"),
+    Query("linear_regression", q_linear),
+    Query("regression_metrics", q_regression_metrics, f"WITH {_L}, g AS (SELECT *, l_extendedprice / 1050 AS guess FROM l) "
+          + _metrics_sql("g", "net", "guess")),
+    Query("prediction_table", q_prediction_table,
+          f"WITH {_L} SELECT id, round(net, 5) AS actual, round(l_extendedprice / 1050, 5) AS predicted, dataset FROM l"),
+    Query("confusion_matrix", q_confusion, f"""WITH {_GUESS}, k AS (SELECT unnest(['A', 'N', 'R', 'never']) AS c),
+d AS (SELECT DISTINCT dataset FROM g)
+SELECT d.dataset, a.c AS actual, b.c AS predicted, count(g.id) AS n FROM d CROSS JOIN k a CROSS JOIN k b
+LEFT JOIN g ON g.dataset = d.dataset AND g.l_returnflag = a.c AND g.guess = b.c GROUP BY ALL"""),
+    Query("accuracy", q_accuracy, f"WITH {_GUESS} SELECT dataset, count(*) AS n, "
+          "round(avg(CASE WHEN guess = l_returnflag THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM g GROUP BY 1"),
+    Query("roc_curve", q_roc, _roc_sql("floor(o_totalprice / 5000)")),
+    Query("roc_curve_blocks", q_roc_blocks, _roc_sql("o_totalprice")),
+    Query("auc", q_auc, f"WITH {_auc_parts('u', 'floor(o_totalprice / 5000)', chr(39).join(['o_orderstatus = ', 'F', '']), 'o_orderpriority')} "
+          "SELECT k AS o_orderpriority, round(auc, 6) AS auc FROM u"),
+    Query("auc_one_vs_rest", q_macro_auc, "WITH " + ", ".join(
+        _auc_parts(f"u{i}", s, f"o_orderstatus = '{c}'") for i, (s, c) in enumerate(
+            (("o_totalprice", "F"), ("o_custkey % 97", "O"), ("-o_totalprice", "P"))))
+          + " SELECT round((u0.auc + u1.auc + u2.auc) / 3, 6) AS auc FROM u0, u1, u2"),
+    Query("pca", q_pca),
+    Query("pca_variance", q_pca_variance, f"WITH {_V} SELECT round({' + '.join(f'var_samp(v{i})' for i in range(8))}, 6) AS total_variance, "
+          "CAST(1.0 AS DOUBLE) AS cumulative FROM v"),
+    Query("loadings_squared", q_loadings),
+    Query("t2_q_statistics", q_t2_q, f"""WITH {_V}, m AS (SELECT avg(v0) AS m0, avg(v1) AS m1, var_samp(v0) AS a, covar_samp(v0, v1) AS b,
+  var_samp(v1) AS c FROM v)
+SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(v1 - m1, 2)) / (a * c - b * b), 5) + 0.0 AS t2,
+  CAST(0.0 AS DOUBLE) AS q FROM v, m"""),
+    Query("t2_q_report", q_t2_q_report),
+    Query("t2_q_contributions", q_contributions),
+    Query("suggest_components", q_suggest_components),
+    Query("ica", q_ica, f"WITH {_L} SELECT DISTINCT dataset, CAST(0.0 AS DOUBLE) AS reconstruction_rmse FROM l"),
+    Query("suggest_ica_components", q_suggest_ica),
+    Query("pls_regression", q_pls, f"WITH {_LINE} " + _metrics_sql("p", "net", "predicted", 5)),
+    Query("vip_scores", q_vip),
+    Query("gbt_regression", q_gbt_regression),
+    Query("forest_regression", q_forest_regression),
+    Query("logistic_regression", _classifier("logistic", max_iter=50)),
+    Query("gbt_classifier", _classifier("gbt_classifier", n_estimators=5, learning_rate=0.3)),
+    Query("tree_classifier", _classifier("tree_classifier", max_depth=5)),
+    Query("forest_classifier", _classifier("forest_classifier", n_estimators=10, max_depth=5)),
+    Query("multi_class", q_multi_class),
+    Query("run_model", q_run_model),
+    Query("coefficient_importance", q_coefficients),
+    Query("permutation_importance", q_permutation),
+    Query("tree_importance", q_tree_importance),
+    Query("grid_search", q_grid_search),
+    Query("random_search", q_random_search),
+    Query("search_workload", q_workload,
+          "SELECT count(*) AS rows, CAST(18 AS INTEGER) AS candidates, CAST(90 AS INTEGER) AS fits, '' AS note, "
+          "CAST(count(*) * 90 * 4 / 5 AS BIGINT) AS rows_fitted FROM lineitem"),
+    Query("forecast_ar", q_forecast, _FORECAST),
+    Query("fit_ar", q_fit_ar, f"WITH {_DIFF} SELECT event_type, n, round(ar1, 5) AS ar1, round(ar2, 5) AS ar2, round(s2, 5) AS s2, "
+          "round(n * ln(s2) + 6, 5) AS aic FROM f"),
+    Query("forecast_arma", q_forecast_arma),
+    Query("fit_sarima", q_sarima),
+    Query("suggest_ar_order", q_suggest_order),
+]
+
