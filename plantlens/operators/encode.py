@@ -145,20 +145,21 @@ def fit_encoder(train: DataFrame, features: Sequence[str], scale: bool = True, o
         text = name(c)
         if isinstance(train.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             text = f"date_format({text}, 'yyyy-MM-dd HH:mm:ss')"
-        cells.append(f"coalesce(CAST({text} AS STRING), {_sql_text(modes[c][1])}) AS `_cat{i}`")
+        # a leading mark, since the one-hot stage cannot take an empty level name
+        cells.append(f"concat('=', coalesce(CAST({text} AS STRING), {_sql_text(modes[c][1])})) AS `_cat{i}`")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")]
     inputs = [f"_num{i}" for i in range(len(numbers))]
     slots, sources = list(numbers), list(numbers)
     if categories:
         ordered = [sorted(levels[c]) for c in categories]
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            ordered, inputCols=[f"_cat{i}" for i in range(len(categories))],
-            outputCols=[f"_idx{i}" for i in range(len(categories))], handleInvalid="keep")
+        indexers = [StringIndexerModel.from_labels(["=" + v for v in known], inputCol=f"_cat{i}",
+                                                   outputCol=f"_idx{i}", handleInvalid="keep")
+                    for i, known in enumerate(ordered)]
         # dropping the last slot drops the one for unseen levels, and only that
         hot = OneHotEncoder(inputCols=[f"_idx{i}" for i in range(len(categories))],
                             outputCols=[f"_hot{i}" for i in range(len(categories))], dropLast=True)
-        head = PipelineModel([*stages, indexer])
-        stages += [indexer, hot.fit(head.transform(train.limit(0)))]
+        head = PipelineModel([*stages, *indexers])
+        stages += [*indexers, hot.fit(head.transform(train.limit(0)))]
         inputs += [f"_hot{i}" for i in range(len(categories))]
         for c, known in zip(categories, ordered):
             slots += [f"{c}_{v}" for v in known]

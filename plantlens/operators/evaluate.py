@@ -76,7 +76,7 @@ def _ranked_scores(df: DataFrame, score: str, positive, by: Sequence[str], block
         data = blocks.attach(data, carry)
         data = data.withColumns({"_tp": F.col("_tp") + F.coalesce("_ca", F.lit(0)),
                                  "_fp": F.col("_fp") + F.coalesce("_cb", F.lit(0))}).drop("_ca", "_cb")
-    totals = grouped.groupBy(*[col(b) for b in by]).agg(F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    totals = grouped.groupBy(*[col(b) for b in by]).agg(F.sum("_p").alias("_all_pos"), F.sum("_n").alias("_all_neg"))
     return join_per_series(data.drop("_blk"), totals, by, blocks.n_series)
 
 
@@ -87,8 +87,8 @@ def roc_curve(df: DataFrame, score: str, positive, by: Sequence[str] = (), block
     """
     ranked = _ranked_scores(df, score, positive, by, block_rows)
     points = ranked.select(*[col(b) for b in by], (-F.col("_down")).alias("threshold"),
-                           F.try_divide(F.col("_fp").cast("double"), F.col("_N")).alias("fpr"),
-                           F.try_divide(F.col("_tp").cast("double"), F.col("_P")).alias("tpr"))
+                           F.try_divide(F.col("_fp").cast("double"), F.col("_all_neg")).alias("fpr"),
+                           F.try_divide(F.col("_tp").cast("double"), F.col("_all_pos")).alias("tpr"))
     start = ranked.select(*[col(b) for b in by]).distinct() if by else df.sparkSession.range(1).select()
     return points.unionByName(start.select(*[col(b) for b in by], F.lit(float("inf")).alias("threshold"),
                                            F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
@@ -100,9 +100,9 @@ def auc(df: DataFrame, score: str, positive, by: Sequence[str] = (), block_rows:
     # each negative counts the positives above it, and half of those it ties with
     won = F.col("_n") * (F.col("_tp") - F.col("_p") + 0.5 * F.col("_p"))
     agg = ranked.groupBy(*[col(b) for b in by]).agg(
-        F.sum(won.cast("double")).alias("_won"), F.first("_P").alias("_P"), F.first("_N").alias("_N"))
+        F.sum(won.cast("double")).alias("_won"), F.first("_all_pos").alias("_all_pos"), F.first("_all_neg").alias("_all_neg"))
     return agg.select(*[col(b) for b in by],
-                      F.try_divide("_won", F.col("_P").cast("double") * F.col("_N").cast("double")).alias("auc"))
+                      F.try_divide("_won", F.col("_all_pos").cast("double") * F.col("_all_neg").cast("double")).alias("auc"))
 
 
 def one_vs_rest(df: DataFrame, scores: str, actual: str, classes: Sequence[str]) -> DataFrame:

@@ -68,7 +68,7 @@ def q_regression_metrics(spark, d):
 
 def q_prediction_table(spark, d):
     t = _lines(spark, d).withColumn("guess", F.col("l_extendedprice") / 1050)
-    return rounded(evaluate.prediction_table(t, "id", "net", "guess", "is_train"), 5)
+    return rounded(evaluate.prediction_table(t, "id", "net", "guess", "is_train"), 9)
 
 
 def _guesses(spark, d):
@@ -366,7 +366,7 @@ UNION ALL SELECT 'l_returnflag_' || f, round(avg(CASE WHEN l_returnflag = f THEN
     Query("regression_metrics", q_regression_metrics, f"WITH {_L}, g AS (SELECT *, l_extendedprice / 1050 AS guess FROM l) "
           + _metrics_sql("g", "net", "guess")),
     Query("prediction_table", q_prediction_table,
-          f"WITH {_L} SELECT id, round(net, 5) AS actual, round(l_extendedprice / 1050, 5) AS predicted, dataset FROM l"),
+          f"WITH {_L} SELECT id, round(net, 9) AS actual, round(l_extendedprice / 1050, 9) AS predicted, dataset FROM l"),
     Query("confusion_matrix", q_confusion, f"""WITH {_GUESS}, k AS (SELECT unnest(['A', 'N', 'R', 'never']) AS c),
 d AS (SELECT DISTINCT dataset FROM g)
 SELECT d.dataset, a.c AS actual, b.c AS predicted, count(g.id) AS n FROM d CROSS JOIN k a CROSS JOIN k b
