@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,3 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
             return df
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plantlens-checkpoint-"))
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder of the session, or a temporary one for local sessions."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        base = tempfile.mkdtemp(prefix="plantlens-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -136,7 +136,7 @@ def tag_interpolated(df: DataFrame, start, end, interval, max_rows: int | None =
     step, cap = _step_micros(interval), max_rows_of(max_rows)
     rows = df.filter(F.col("tag").isin(list(tags))) if tags else df
     lo, hi = micros(_at(start)), micros(_at(end))
-    last = F.least(hi, lo + F.lit(step) * (cap - 1))
+    last = F.least(hi, lo + F.lit(step * (cap - 1)))
     grid = (rows.select("tag").distinct()
             .withColumn("at", F.explode(F.sequence(lo, last, F.lit(step).cast("bigint"))))
             .select("tag", "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantlens.functions.lineage import scratch_path
 from plantlens.operators import encode, evaluate, forecast, importance, latent, search, splits, supervised
 from plantlens.plans.run import RunConfig, run_model
 from plantlens.queries.base import Query, rounded, table
+from plantlens.sources.model_store import load_model, save_model
 
 
 def _lines(spark, d):
@@ -244,6 +246,22 @@ def q_tree_importance(spark, d):
     return rounded(importance.tree_importance(spark, fitted))
 
 
+def q_tree_nodes(spark, d):
+    fitted = supervised.fit_supervised(_documents(spark, d), "tree_classifier", DOC_FEATURES, "quality",
+                                       {"max_depth": 5}, evaluate=False)
+    return rounded(importance.tree_nodes(spark, fitted, scratch_path(spark, "tree")))
+
+
+def q_model_round_trip(spark, d):
+    """A stored and reloaded model scores as the line it was fitted to."""
+    t = _lines(spark, d)
+    path = scratch_path(spark, "model")
+    save_model(supervised.fit_supervised(t, "linear", ["l_quantity"], "net"), path)
+    scored = load_model(spark, path).score(t)
+    scored = scored.withColumn("dataset", F.when(F.col("is_train"), F.lit("train")).otherwise(F.lit("test")))
+    return rounded(evaluate.regression_metrics(scored, "net", "predicted"), 5)
+
+
 def q_grid_search(spark, d):
     t = _lines(spark, d).filter("is_train").select("id", *NUMBERS, "net")
     _, scores = search.grid_search(t, "pls", NUMBERS, "net", {"n_components": [1, 2]}, folds=2)
@@ -407,6 +425,8 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("coefficient_importance", q_coefficients),
     Query("permutation_importance", q_permutation),
     Query("tree_importance", q_tree_importance),
+    Query("tree_nodes", q_tree_nodes),
+    Query("model_round_trip", q_model_round_trip, f"WITH {_LINE} " + _metrics_sql("p", "net", "predicted", 5)),
     Query("grid_search", q_grid_search),
     Query("random_search", q_random_search),
     Query("search_workload", q_workload,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantlens.functions.lineage import scratch_path
 from plantlens.operators import casts, filters, identity, paging
 from plantlens.plans.view import table_view
 from plantlens.queries.base import Query, rounded, table
-from plantlens.sources.files import read_table
+from plantlens.sources.files import read_csv, read_table, write_csv
 
 L_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice",
            "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -18,6 +19,15 @@ def q_read_table(spark, d):
     return t.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.max("p_retailprice").alias("top_price"))
 
 
+def q_csv(spark, d):
+    """All orders written as CSV and read back."""
+    path = scratch_path(spark, "csv")
+    write_csv(table(spark, d, "orders"), path)
+    t = read_csv(spark, path)
+    return t.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).withColumns(
+        {c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
+
+
 def q_ensure_id_missing(spark, d):
     t = identity.ensure_id(table(spark, d, "lineitem"), "id", L_ORDER)
     return t.select("id", "l_orderkey", "l_linenumber", "l_extendedprice")
@@ -142,6 +152,7 @@ _L = ", ".join(L_ORDER)
 QUERIES = [
     Query("read_table", q_read_table,
           "SELECT p_type, count(*) AS n, max(p_retailprice) AS top_price FROM part GROUP BY p_type"),
+    Query("csv_round_trip", q_csv, "SELECT * FROM orders"),
     Query("ensure_id_missing", q_ensure_id_missing,
           f"SELECT CAST(row_number() OVER (ORDER BY {_L}) AS VARCHAR) AS id, l_orderkey, l_linenumber, "
           "l_extendedprice FROM lineitem"),
