@@ -31,7 +31,8 @@ def numeric_moments(df: DataFrame, sel: Selection, id_col: str = "id") -> DataFr
     columns = numeric_columns(df, [id_col])
     if not columns:
         return df.sparkSession.createDataFrame(
-            [], "variable string, n_a bigint, mean_a double, var_a double, n_b bigint, mean_b double, var_b double")
+            [], "variable string, n_a bigint, mean_a double, var_a double, n_b bigint, "
+                "mean_b double, var_b double")
     flag = fresh(df, "_sel")[0]
     flagged = flag_selected(df.select(col(id_col), *[col(c) for c in columns]) if id_col in df.columns and
                             isinstance(sel, DataFrame) else df, sel, id_col, flag)
@@ -103,7 +104,7 @@ def level_counts(df: DataFrame, sel: Selection, id_col: str = "id") -> DataFrame
     return long.groupBy("variable", "level").agg(F.count_if(F.col("f")).alias("a"), F.count_if(~F.col("f")).alias("b"))
 
 
-def chi_square_table(counts: DataFrame) -> DataFrame:
+def chi_square_table(counts: DataFrame, least: int = 1) -> DataFrame:
     """Chi-square per variable from level counts, with Yates' correction for 2 x 2 tables.
 
     The totals have one row per variable, so joining them back costs nothing;
@@ -111,7 +112,7 @@ def chi_square_table(counts: DataFrame) -> DataFrame:
     """
     totals = (counts.groupBy("variable").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"),
                                              F.count(F.lit(1)).alias("levels"))
-              .filter("levels >= 2 and ta > 0 and tb > 0"))
+              .filter((F.col("levels") >= 2) & (F.col("ta") >= least) & (F.col("tb") >= least)))
     j = counts.join(F.broadcast(totals), "variable")
     row, n = (F.col("a") + F.col("b")).cast("double"), (F.col("ta") + F.col("tb")).cast("double")
 
@@ -138,16 +139,16 @@ def rank_causes(df: DataFrame, sel: Selection, top_n: int | None = 10, id_col: s
     group has fewer than two rows (`ranking_message` says why).
     """
     nothing = F.lit(None).cast("double")
+    # two values per group in a column imply two rows, so only the categories need the check
     numeric = welch_test(df, sel, id_col).select(
         "variable", F.lit("numeric").alias("variable_type"), F.lit("Welch t-test").alias("test"),
         "p_value", "statistic", "effect_size", "mean_diff")
-    counts = level_counts(df, sel, id_col)
-    categorical = chi_square_table(counts).withColumn("p_value", chi2_p_value("statistic", "dof")).select(
+    # missing is a level too, so every column's totals are the group sizes
+    table = chi_square_table(level_counts(df, sel, id_col), least=2)
+    categorical = table.withColumn("p_value", chi2_p_value("statistic", "dof")).select(
         "variable", F.lit("categorical").alias("variable_type"), F.lit("Chi-square").alias("test"),
         "p_value", "statistic", nothing.alias("effect_size"), nothing.alias("mean_diff"))
     both = numeric.unionByName(categorical)
-    sizes = group_sizes(df, sel, id_col).select(F.struct("n_selected", "n_others").alias("s")).scalar()
-    both = both.withColumn("_g", sizes).filter("_g.n_selected >= 2 and _g.n_others >= 2").drop("_g")
     ranked = both.orderBy(F.col("p_value").asc_nulls_last(),
                           F.coalesce(F.abs("effect_size"), F.lit(0.0)).desc(),
                           F.coalesce(F.abs("mean_diff"), F.lit(0.0)).desc(),

@@ -25,6 +25,8 @@ from plantlens.operators.identity import DataError
 SCALED_FROM, SCALE_REFERENCE = 100.0, 90.0
 MAX_QUANTILE = 0.999
 _TINY = 1e-12
+# Products of up to so many terms are written out in the plan.
+MAX_TERMS = 512
 
 
 def slots_of(df: DataFrame, features: str) -> Column:
@@ -42,6 +44,35 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def project(array: str, matrix: np.ndarray) -> Column:
+    """matrix @ array. Small products are spelled out, which generated code evaluates; large ones fold over the array."""
+    if matrix.size <= MAX_TERMS:
+        return F.array(*[weigh(array, row) for row in matrix])
+    return F.array(*[dot(F.col(array), numbers(row)) for row in matrix])
+
+
+def weigh(array: str, weights) -> Column:
+    total = F.lit(0.0)
+    for j, w in enumerate(weights):
+        total = total + F.get(array, F.lit(j)) * float(w)
+    return total
+
+
+def squared_length(array: str, width: int) -> Column:
+    if width > MAX_TERMS:
+        return dot(F.col(array), F.col(array))
+    total = F.lit(0.0)
+    for j in range(width):
+        total = total + F.get(array, F.lit(j)) * F.get(array, F.lit(j))
+    return total
+
+
+def centred(array: str, mean: np.ndarray) -> Column:
+    if len(mean) > MAX_TERMS:
+        return F.zip_with(array, numbers(mean), lambda a, b: a - b)
+    return F.array(*[F.get(array, F.lit(j)) - float(m) for j, m in enumerate(mean)])
+
+
 @dataclass(frozen=True)
 class Moments:
     n: int
@@ -123,14 +154,12 @@ def t2_q_statistics(df: DataFrame, model: Pca, features: str = "features") -> Da
 
     The components are orthonormal, so Q is the squared length left over by the scores.
     """
-    x, mean = slots_of(df, features), numbers(model.mean)
-    out = df.withColumn("_d", F.zip_with(x, mean, lambda a, b: a - b))
-    out = out.withColumn("scores", F.array(*[dot(F.col("_d"), numbers(c)) for c in model.components]))
+    out = df.withColumn("_x", slots_of(df, features)).withColumn("_d", centred("_x", model.mean))
+    out = out.withColumn("scores", project("_d", model.components))
     t2 = sum((F.get("scores", F.lit(i)) * F.get("scores", F.lit(i)) / float(max(v, _TINY))
               for i, v in enumerate(model.variance)), F.lit(0.0))
-    length = dot(F.col("_d"), F.col("_d"))
-    kept = dot(F.col("scores"), F.col("scores"))
-    return out.withColumns({"t2": t2, "q": F.greatest(length - kept, F.lit(0.0))}).drop("_d")
+    length, kept = squared_length("_d", len(model.mean)), squared_length("scores", model.k)
+    return out.withColumns({"t2": t2, "q": F.greatest(length - kept, F.lit(0.0))}).drop("_d", "_x")
 
 
 def reconstruction(scored: DataFrame, width: int, by: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -270,9 +299,8 @@ def fit_ica(train: DataFrame, features: str = "features", k: int = 2, max_iter:
     # population scaling, so that the recovered sources have unit variance
     scale = np.sqrt(model.variance[:k] * (m.n - 1) / m.n)
     white = model.components[:k] / scale[:, None]
-    d = F.zip_with(slots_of(train, features), numbers(m.mean), lambda a, b: a - b)
-    rows = (train.select(d.alias("d")).select(F.array(*[dot(F.col("d"), numbers(w)) for w in white]).alias("z"))
-            .select(*[F.get("z", F.lit(i)).alias(f"z{i}") for i in range(k)])
+    rows = (train.select(slots_of(train, features).alias("x")).select(centred("x", m.mean).alias("d"))
+            .select(project("d", white).alias("z")).select(*[F.get("z", F.lit(i)).alias(f"z{i}") for i in range(k)])
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         w = _orthogonal(np.random.default_rng(seed).normal(size=(k, k)))
@@ -303,11 +331,10 @@ def _orthogonal(w: np.ndarray) -> np.ndarray:
 
 def ica_scores(df: DataFrame, model: Ica, features: str = "features") -> DataFrame:
     """Add sources (array) and q, the squared reconstruction error."""
-    out = df.withColumn("_d", F.zip_with(slots_of(df, features), numbers(model.mean), lambda a, b: a - b))
-    out = out.withColumn("scores", F.array(*[dot(F.col("_d"), numbers(u)) for u in model.unmixing]))
-    back = F.zip_with("_d", F.array(*[numbers(r) for r in model.mixing]),
-                      lambda v, r: (v - dot(r, F.col("scores"))) * (v - dot(r, F.col("scores"))))
-    return out.withColumn("q", F.aggregate(back, F.lit(0.0), lambda s, v: s + v)).drop("_d")
+    out = df.withColumn("_x", slots_of(df, features)).withColumn("_d", centred("_x", model.mean))
+    out = out.withColumn("scores", project("_d", model.unmixing)).withColumn("_back", project("scores", model.mixing))
+    out = out.withColumn("_rest", F.zip_with("_d", "_back", lambda a, b: a - b))
+    return out.withColumn("q", squared_length("_rest", len(model.mean))).drop("_d", "_x", "_back", "_rest")
 
 
 def mixing_table(spark, model: Ica) -> DataFrame:
@@ -381,7 +408,8 @@ def fit_pls(train: DataFrame, target: str, features: str = "features", k: int =
 
 def pls_predict(df: DataFrame, model: Pls, features: str = "features", out: str = "predicted") -> DataFrame:
     b = model.coefficients / model.scale * model.y_scale
-    return df.withColumn(out, dot(slots_of(df, features), numbers(b)) + F.lit(model.y_mean - float(b @ model.mean)))
+    held = df.withColumn("_x", slots_of(df, features)).withColumn("_p", project("_x", b[None, :]))
+    return held.withColumn(out, F.get("_p", F.lit(0)) + F.lit(model.y_mean - float(b @ model.mean))).drop("_x", "_p")
 
 
 def vip_scores(spark, model: Pls) -> DataFrame:

@@ -1,7 +1,8 @@
 """Selections: a one-column DataFrame of ids, or a Boolean Column over the table.
 
-An id selection may be as large as the table, so nothing here hints a broadcast:
-Spark broadcasts the ids when their measured size allows it.
+An id selection may be as large as the table. It is counted up to a limit first:
+up to that many ids are broadcast, so the table is not moved; beyond it the join
+is left to Spark, which shuffles both sides on the (unique) id.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 from plantlens.functions.columns import col, fresh, name
 
 Selection = DataFrame | Column
+ID_BROADCAST_LIMIT = 1_000_000
+
+
+def sized(ids: DataFrame, limit: int = ID_BROADCAST_LIMIT) -> DataFrame:
+    """Mark a table of ids for broadcasting if it has at most `limit` rows."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
 def ids_of(sel: DataFrame, id_col: str = "id") -> DataFrame:
@@ -44,7 +51,7 @@ def select_add(sel: DataFrame, picked: DataFrame, id_col: str = "id") -> DataFra
 
 def select_on_page(current: DataFrame, page_rows: DataFrame, picked: DataFrame, id_col: str = "id") -> DataFrame:
     """Ids off the page stay; of the page, only the picked ones."""
-    off_page = ids_of(current, id_col).join(ids_of(page_rows, id_col), id_col, "left_anti")
+    off_page = ids_of(current, id_col).join(sized(ids_of(page_rows, id_col)), id_col, "left_anti")
     return select_add(off_page, picked, id_col)
 
 
@@ -71,7 +78,7 @@ def flag_selected(df: DataFrame, sel: Selection | None, id_col: str = "id", flag
         return df.withColumn(flag, F.coalesce(sel, F.lit(False)))
     key, mark = fresh(df, "_sel_id", "_sel_mark")
     picked = ids_of(sel, id_col).select(col(id_col).alias(key), F.lit(True).alias(mark))
-    return (df.join(picked, df[name(id_col)].cast("string") == picked[key], "left")
+    return (df.join(sized(picked), df[name(id_col)].cast("string") == picked[key], "left")
             .withColumn(flag, F.coalesce(F.col(mark), F.lit(False))).drop(key, mark))
 
 

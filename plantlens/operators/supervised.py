@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -139,13 +140,8 @@ def check_labels(df: DataFrame, target: str, classes: Sequence[str]) -> None:
         raise DataError(f"labels not seen in training: {sorted(r['c'] for r in unseen)}")
 
 
-def fit_supervised(df: DataFrame, key: str, features: Sequence[str], target: str, params: Mapping | None = None,
-                   flag: str = "is_train", seed: int = 42, scale: bool = True, evaluate: bool = True) -> Fitted:
-    """Fit on the flagged rows; with `evaluate`, score and measure all of them."""
-    if key not in DEFAULTS:
-        raise DataError(f"unknown model {key!r}")
-    used = {**DEFAULTS[key], **(params or {})}
-    train = df.filter(col(flag))
+def _fit(df: DataFrame, train: DataFrame, key: str, features: tuple[str, ...], target: str, used: dict, seed: int,
+         scale: bool) -> Fitted:
     encoder = fit_encoder(train, features, scale)
     encoded = encoder.transform(train)
     if key in REGRESSIONS:
@@ -165,8 +161,24 @@ def fit_supervised(df: DataFrame, key: str, features: Sequence[str], target: str
         rows = indexed.transform(encoded.withColumn("_text", col(target).cast("string"))).select(FEATURES, LABEL)
         est = build_estimator(key, used, seed, train.count() if key == "logistic" else 0, len(classes))
         out = Fitted(key, "classification", used, tuple(features), target, encoder, est.fit(rows), tuple(classes))
-    if encoder.dropped:
-        out.notes.append(f"columns without training values left out: {list(encoder.dropped)}")
+    return out
+
+
+def fit_supervised(df: DataFrame, key: str, features: Sequence[str], target: str, params: Mapping | None = None,
+                   flag: str = "is_train", seed: int = 42, scale: bool = True, evaluate: bool = True) -> Fitted:
+    """Fit on the flagged rows; with `evaluate`, score and measure all of them."""
+    if key not in DEFAULTS:
+        raise DataError(f"unknown model {key!r}")
+    used = {**DEFAULTS[key], **(params or {})}
+    # the training columns are read by every step of the fit
+    train = (df.filter(col(flag)).select(*[col(c) for c in dict.fromkeys([*features, target])])
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        out = _fit(df, train, key, tuple(features), target, used, seed, scale)
+    finally:
+        train.unpersist()
+    if out.encoder.dropped:
+        out.notes.append(f"columns without training values left out: {list(out.encoder.dropped)}")
     if evaluate:
         out.predictions = out.score(df).withColumn(
             "dataset", F.when(col(flag), F.lit("train")).otherwise(F.lit("test")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +124,19 @@ def _run_unsupervised(df, key, task, params, c: RunConfig) -> ModelResult:
     notes: list[str] = []
     rows = require_rows(require_any_feature(df, features), task)
     flagged = _flagged(rows, c, notes, c.stratify_col)
-    encoder = fit_encoder(flagged.filter("is_train"), features, c.scale)
+    kept = flagged.filter("is_train").select(*[col(f) for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _unsupervised(df, flagged, kept, features, key, task, params, c, notes)
+    finally:
+        kept.unpersist()
+
+
+def _unsupervised(df, flagged, kept, features, key, task, params, c: RunConfig, notes: list[str]) -> ModelResult:
+    encoder = fit_encoder(kept, features, c.scale)
     if encoder.width < 2:
         raise DataError("models without a target need two feature slots")
     data = encoder.transform(flagged).withColumn("dataset", F.when(F.col("is_train"), F.lit("train")).otherwise(F.lit("test")))
-    train, spark = data.filter("is_train"), df.sparkSession
+    train, spark = encoder.transform(kept), df.sparkSession
     k = min(max(2, int(params["n_components"])), encoder.width)
     params = {**params, "n_components": k}
     if key == "ica":

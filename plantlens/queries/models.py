@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantlens.functions.lineage import scratch_path
+from plantlens.functions.lineage import cut, scratch_path
 from plantlens.operators import encode, evaluate, forecast, importance, latent, search, splits, supervised
 from plantlens.plans.run import RunConfig, run_model
 from plantlens.queries.base import Query, rounded, table
@@ -198,13 +198,13 @@ def q_forest_regression(spark, d):
 
 
 def _documents(spark, d):
-    """Quality labels with simple measures of the whole texts."""
+    """Quality labels with simple measures of the whole texts, measured once and stored."""
     docs = table(spark, d, "documents").select(
         "doc_id", "lang", "source", "n_chars", F.size(F.split("text", r"\s+")).alias("words"),
         F.length(F.regexp_replace("text", r"[^0-9]", "")).alias("digits"),
         F.length(F.regexp_replace("text", r"[^\n]", "")).alias("lines"))
     rows = docs.join(table(spark, d, "labels"), "doc_id").withColumn("id", F.col("doc_id").cast("string"))
-    return splits.split_stratified(rows, "quality", 0.7)
+    return splits.split_stratified(cut(rows), "quality", 0.7)
 
 
 DOC_FEATURES = ["n_chars", "words", "digits", "lines", "lang", "source"]
