@@ -8,9 +8,9 @@ large one spans many. Windows run per (block, series); what has to cross a block
 edge travels as a carry table with at most two rows per block, so broadcasting
 it is safe however large the data is.
 
-The block number is a pure expression over the row (a binary search in a literal
-array of bounds that were sampled once), so a lost executor recomputes the same
-blocks and nothing has to be materialised.
+The block number is a pure expression over the row (a binary search in literal
+bounds that were sampled once), so a lost executor recomputes the same blocks and
+nothing has to be materialised.
 """
 
 from __future__ import annotations
@@ -76,20 +76,21 @@ def sort_columns(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
     return out
 
 
-def _sort_key(df: DataFrame, series: Sequence[str], order: Sequence[str]) -> tuple[Column, str]:
-    parts, ddl = [], []
-    for c in series:
-        e, t = _key_part(df, c)
-        parts.append(e.alias(f"k{len(parts)}"))
-        ddl.append(t)
-    for c in order:
+# Stand-ins for a missing key part; a flag part before it carries the order.
+_EMPTY = {"string": "", "double": 0.0}
+
+
+def _key_parts(df: DataFrame, series: Sequence[str], order: Sequence[str], gaps: Sequence[bool]) -> list[tuple[Column, str]]:
+    """The total order as non-missing primitive columns. A column with missing values
+    takes a flag first: missing series come first, missing order values last."""
+    parts = []
+    for i, c in enumerate([*series, *order]):
         e, t = _key_part(df, c)
-        parts.append(e.isNull().cast("int").alias(f"k{len(parts)}"))
-        ddl.append("int")
-        parts.append(e.alias(f"k{len(parts)}"))
-        ddl.append(t)
-    schema = ",".join(f"k{i}:{t}" for i, t in enumerate(ddl))
-    return F.struct(*parts), f"struct<{schema}>"
+        if gaps[i]:
+            parts.append(((e.isNotNull() if i < len(series) else e.isNull()).cast("int"), "int"))
+            e = F.coalesce(e, F.lit(_EMPTY.get(t, 0)).cast(t))
+        parts.append((e, t))
+    return parts
 
 
 def _plain(value):
@@ -98,31 +99,48 @@ def _plain(value):
     return value if isinstance(value, (int, float, str, type(None))) else str(value)
 
 
-def _sample_bounds(df: DataFrame, key: Column, n_rows: int, n_blocks: int) -> list[dict]:
+def _sample_bounds(df: DataFrame, parts: Sequence[tuple[Column, str]], n_rows: int, n_blocks: int) -> list[tuple]:
     """First keys of blocks 1.. from a sample whose size depends on n_blocks only."""
     fraction = min(1.0, SAMPLES_PER_BLOCK * n_blocks / n_rows)
-    sample = df.select(key.alias("k"))
+    names = [f"k{i}" for i in range(len(parts))]
+    sample = df.select(*[e.alias(k) for k, (e, _) in zip(names, parts)])
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=17)
-    rows = sample.orderBy("k").collect()
-    picks = sorted({len(rows) * i // n_blocks for i in range(1, n_blocks)}) if rows else []
-    bounds: list[dict] = []
-    for p in picks:
-        b = {k: _plain(v) for k, v in rows[p]["k"].asDict().items()}
+    rows = sample.orderBy(*names).collect()
+    bounds: list[tuple] = []
+    for p in sorted({len(rows) * i // n_blocks for i in range(1, n_blocks)}) if rows else []:
+        b = tuple(_plain(v) for v in rows[p])
         if p > 0 and (not bounds or bounds[-1] != b):
             bounds.append(b)
     return bounds
 
 
-def _block_number(key: Column, ddl: str, bounds: list[dict]) -> Column:
+def _with_block(df: DataFrame, parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> DataFrame:
+    """Number of bounds at or below the row's key, by a binary search spelled out step by step.
+
+    Every step is a projection over literal arrays of primitives, so the search is
+    part of the scan's generated code.
+    """
     n = len(bounds)
     if n == 0:
-        return F.lit(0)
-    table = F.from_json(F.lit(json.dumps(bounds)), f"array<{ddl}>")
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda lo, step: F.when((lo + step <= n) & (F.get(table, lo + step - 1) <= key), lo + step).otherwise(lo))
+        return df.withColumn(BLK, F.lit(0))
+    keys = list(fresh(df, *[f"_key{i}" for i in range(len(parts))]))
+    columns = list(df.columns)
+    out = df.withColumns({k: e for k, (e, _) in zip(keys, parts)})
+    tables = [F.from_json(F.lit(json.dumps([b[i] for b in bounds])), f"array<{t}>") for i, (_, t) in enumerate(parts)]
+    at = fresh(out, "_at0")[0]
+    out = out.withColumn(at, F.lit(0))
+    for step in reversed([1 << b for b in range(n.bit_length())]):
+        probe = F.col(at) + (step - 1)
+        below = F.get(tables[-1], probe) <= F.col(keys[-1])
+        for table, key in reversed(list(zip(tables[:-1], keys[:-1]))):
+            bound = F.get(table, probe)
+            below = (bound < F.col(key)) | ((bound == F.col(key)) & below)
+        following = fresh(out, f"_at{step}")[0]
+        moved = F.when((F.col(at) + step <= n) & below, F.col(at) + step).otherwise(F.col(at))
+        out = out.withColumn(following, moved)
+        at = following
+    return out.select(*[col(c) for c in columns], F.col(at).alias(BLK))
 
 
 @dataclass(frozen=True)
@@ -280,15 +298,15 @@ def lay_out(df: DataFrame, series_cols: Sequence[str], order_cols: Sequence[str]
         raise ValueError(f"unknown columns: {missing}")
     limit = block_rows_of(df, block_rows)
     n_series_expr = F.approx_count_distinct(F.struct(*[col(s) for s in series])) if series else F.lit(1)
-    facts = df.agg(F.count(F.lit(1)).alias("n"), n_series_expr.alias("s")).first()
+    present = [F.count(_key_part(df, c)[0]).alias(f"c{i}") for i, c in enumerate([*series, *order])]
+    facts = df.agg(F.count(F.lit(1)).alias("n"), n_series_expr.alias("s"), *present).first()
     n_rows, n_series = int(facts["n"]), int(facts["s"] or 0)
     if n_rows <= limit:
         return Blocks(df.withColumn(BLK, F.lit(0)), series, order, 1, n_series, n_rows)
-    key, ddl = _sort_key(df, series, order)
-    wanted = min(MAX_BLOCKS, math.ceil(n_rows / limit))
-    bounds = _sample_bounds(df, key, n_rows, wanted)
-    return Blocks(df.withColumn(BLK, _block_number(key, ddl, bounds)), series, order, len(bounds) + 1,
-                  n_series, n_rows)
+    gaps = [facts[f"c{i}"] < n_rows for i in range(len(present))]
+    parts = _key_parts(df, series, order, gaps)
+    bounds = _sample_bounds(df, parts, n_rows, min(MAX_BLOCKS, math.ceil(n_rows / limit)))
+    return Blocks(_with_block(df, parts, bounds), series, order, len(bounds) + 1, n_series, n_rows)
 
 
 def number_rows(df: DataFrame, order_cols: Sequence[str], out: str,

@@ -16,7 +16,7 @@ def _lines(spark, d):
     t = table(spark, d, "lineitem")
     return t.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), "l_quantity", "l_discount", "l_tax",
-        "l_extendedprice", "l_returnflag", "l_linestatus",
+        "l_extendedprice", "l_returnflag", "l_linestatus", (F.col("l_extendedprice") + 500 * F.col("l_quantity")).alias("cost"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000 + 8 * F.col("l_tax")).alias("net"),
         (F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")).alias("is_train"))
 
@@ -132,6 +132,26 @@ def q_loadings(spark, d):
     return rounded(latent.loadings_squared(spark, latent.fit_pca(enc.transform(v), "features", 3, enc.slots)))
 
 
+def _pair(spark, d):
+    """Two correlated columns with early rows as training data: the components are known in closed form."""
+    data, enc = _encoded(spark, d, ["l_extendedprice", "cost"])
+    return data, latent.fit_pca(data.filter("is_train"), "features", 2, enc.slots, enc.source_ranges())
+
+
+def q_pca_pair(spark, d):
+    return rounded(latent.pca_table(spark, _pair(spark, d)[1]))
+
+
+def q_loadings_pair(spark, d):
+    return rounded(latent.loadings_squared(spark, _pair(spark, d)[1]))
+
+
+def q_t2_means(spark, d):
+    """Mean T2 per data set; for the training rows it is k (n - 1) / n."""
+    data, model = _pair(spark, d)
+    return rounded(latent.t2_q_statistics(data, model).groupBy("dataset").agg(F.avg("t2").alias("t2_mean")))
+
+
 def q_t2_q(spark, d):
     """T2 and Q of a full-rank model: T2 is the Mahalanobis distance and Q is 0."""
     v = _vectors(spark, d)
@@ -143,7 +163,7 @@ def q_t2_q(spark, d):
 
 def _t2q(spark, d):
     selected = F.col("l_extendedprice") > 90_000
-    return run_model(_lines(spark, d).drop("net", "is_train"), "pca_t2q", RunConfig(
+    return run_model(_lines(spark, d).drop("net", "cost", "is_train"), "pca_t2q", RunConfig(
         features=[*NUMBERS, "l_returnflag"], params={"n_components": 3, "t2_limits": (95, 120)},
         split_method="stratified_random", stratify_col="l_returnflag", selected=selected))
 
@@ -315,7 +335,7 @@ def q_suggest_order(spark, d):
 
 
 _L = ("l AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity, l_discount, l_tax, "
-      "l_extendedprice, l_returnflag, l_extendedprice * (1 - l_discount) / 1000 + 8 * l_tax AS net, "
+      "l_extendedprice, l_returnflag, l_extendedprice + 500 * l_quantity AS cost, l_extendedprice * (1 - l_discount) / 1000 + 8 * l_tax AS net, "
       "l_shipdate < TIMESTAMP '1999-01-01' AS is_train, CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' THEN 'train' ELSE 'test' END "
       "AS dataset FROM lineitem)")
 
@@ -403,6 +423,16 @@ LEFT JOIN g ON g.dataset = d.dataset AND g.l_returnflag = a.c AND g.guess = b.c
     Query("pca_variance", q_pca_variance, f"WITH {_V} SELECT round({' + '.join(f'var_samp(v{i})' for i in range(8))}, 6) AS total_variance, "
           "CAST(1.0 AS DOUBLE) AS cumulative FROM v"),
     Query("loadings_squared", q_loadings),
+    Query("pca_pair", q_pca_pair, f"WITH {_L}, c AS (SELECT abs(corr(l_extendedprice, cost)) AS r, CAST(count(*) AS DOUBLE) AS n FROM l WHERE is_train) "
+          "SELECT 'PC1' AS component, round((1 + r) * n / (n - 1), 6) AS variance, round((1 + r) / 2, 6) AS ratio, round((1 + r) / 2, 6) "
+          "AS cumulative FROM c UNION ALL SELECT 'PC2', round((1 - r) * n / (n - 1), 6), round((1 - r) / 2, 6), CAST(1.0 AS DOUBLE) FROM c"),
+    Query("loadings_pair", q_loadings_pair, f"WITH {_L}, c AS (SELECT abs(corr(l_extendedprice, cost)) AS r, CAST(count(*) AS DOUBLE) AS n FROM l "
+          "WHERE is_train) SELECT f AS feature, round((1 + r) / 2 * n / (n - 1), 6) AS PC1, round((1 - r) / 2 * n / (n - 1), 6) AS PC2, "
+          "round(n / (n - 1), 6) AS loading_sq_sum FROM c, (VALUES ('l_extendedprice'), ('cost')) v(f)"),
+    Query("t2_means", q_t2_means, f"""WITH {_L}, m AS (SELECT avg(l_extendedprice) AS ma, avg(cost) AS mb, var_samp(l_extendedprice) AS a,
+  covar_samp(l_extendedprice, cost) AS b, var_samp(cost) AS c FROM l WHERE is_train)
+SELECT dataset, round(avg((c * pow(l_extendedprice - ma, 2) - 2 * b * (l_extendedprice - ma) * (cost - mb) + a * pow(cost - mb, 2))
+  / (a * c - b * b)), 6) AS t2_mean FROM l, m GROUP BY dataset"""),
     Query("t2_q_statistics", q_t2_q, f"""WITH {_V}, m AS (SELECT avg(v0) AS m0, avg(v1) AS m1, var_samp(v0) AS a, covar_samp(v0, v1) AS b,
   var_samp(v1) AS c FROM v)
 SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(v1 - m1, 2)) / (a * c - b * b), 5) + 0.0 AS t2,

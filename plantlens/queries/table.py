@@ -120,7 +120,7 @@ def q_require_rows(spark, d):
 def q_sort_rows(spark, d):
     t = table(spark, d, "orders").withColumn("price", F.nullif(F.col("o_orderstatus"), F.lit("P")))
     out = paging.sort_rows(t, [("price", "desc"), ("o_totalprice", "asc"), ("nope", "asc")], "o_orderkey")
-    return out.limit(2_000).select("o_orderkey", "price", "o_totalprice")
+    return out.select("o_orderkey", "price", "o_totalprice")
 
 
 def q_page_near(spark, d):
@@ -205,7 +205,7 @@ QUERIES = [
           "nullif(l_tax, 0) AS b FROM lineitem WHERE l_quantity <> 1 AND NOT (l_discount = 0 AND l_tax = 0)"),
     Query("sort_rows", q_sort_rows,
           "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS price, o_totalprice FROM orders "
-          "ORDER BY price DESC NULLS LAST, o_totalprice, o_orderkey LIMIT 2000"),
+          "ORDER BY price DESC NULLS LAST, o_totalprice, o_orderkey"),
     Query("page_near", q_page_near,
           "SELECT * FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 150"),
     Query("page_deep", q_page_deep,
