@@ -31,6 +31,8 @@ BLOCK_ROWS_CONF = "spark.plantlens.blockRows"
 DEFAULT_BLOCK_ROWS = 2_000_000
 MAX_BLOCKS = 10_000
 SAMPLES_PER_BLOCK = 20
+# Branches of the generated decision tree.
+TREE_LEAVES = 32
 # A table keyed by series is broadcast only up to this many series.
 SERIES_BROADCAST_LIMIT = 200_000
 # exp() of one scan stretch stays within double range; beyond it a term is below 1e-59.
@@ -115,32 +117,44 @@ def _sample_bounds(df: DataFrame, parts: Sequence[tuple[Column, str]], n_rows: i
     return bounds
 
 
-def _with_block(df: DataFrame, parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> DataFrame:
-    """Number of bounds at or below the row's key, by a binary search spelled out step by step.
+def _block_number(parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> Column:
+    """Number of bounds at or below the row's key.
 
-    Every step is a projection over literal arrays of primitives, so the search is
-    part of the scan's generated code.
+    A decision tree over up to 31 of the bounds runs in generated code; where there
+    are more, a binary search in a literal array finishes inside the branch. Each
+    key column stands in the plan a bounded number of times, so that the optimizer
+    can copy the expression into filters without it growing.
     """
     n = len(bounds)
     if n == 0:
-        return df.withColumn(BLK, F.lit(0))
-    keys = list(fresh(df, *[f"_key{i}" for i in range(len(parts))]))
-    columns = list(df.columns)
-    out = df.withColumns({k: e for k, (e, _) in zip(keys, parts)})
-    tables = [F.from_json(F.lit(json.dumps([b[i] for b in bounds])), f"array<{t}>") for i, (_, t) in enumerate(parts)]
-    at = fresh(out, "_at0")[0]
-    out = out.withColumn(at, F.lit(0))
-    for step in reversed([1 << b for b in range(n.bit_length())]):
-        probe = F.col(at) + (step - 1)
-        below = F.get(tables[-1], probe) <= F.col(keys[-1])
-        for table, key in reversed(list(zip(tables[:-1], keys[:-1]))):
-            bound = F.get(table, probe)
-            below = (bound < F.col(key)) | ((bound == F.col(key)) & below)
-        following = fresh(out, f"_at{step}")[0]
-        moved = F.when((F.col(at) + step <= n) & below, F.col(at) + step).otherwise(F.col(at))
-        out = out.withColumn(following, moved)
-        at = following
-    return out.select(*[col(c) for c in columns], F.col(at).alias(BLK))
+        return F.lit(0)
+    stride = math.ceil((n + 1) / TREE_LEAVES)
+    coarse = [bounds[j - 1] for j in range(stride, n + 1, stride)]
+
+    def reached(bound: tuple) -> Column:
+        values = [F.lit(v).cast(t) for v, (_, t) in zip(bound, parts)]
+        cond = parts[-1][0] >= values[-1]
+        for (e, _), v in reversed(list(zip(parts[:-1], values[:-1]))):
+            cond = (e > v) | ((e == v) & cond)
+        return cond
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low * stride)
+        mid = (low + high + 1) // 2
+        return F.when(reached(coarse[mid - 1]), tree(mid, high)).otherwise(tree(low, mid - 1))
+
+    start = tree(0, len(coarse))
+    if stride == 1:
+        return start
+    ddl = ",".join(f"k{i}:{t}" for i, (_, t) in enumerate(parts))
+    rows = [{f"k{i}": v for i, v in enumerate(b)} for b in bounds]
+    table = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
+    key = F.struct(*[e.alias(f"k{i}") for i, (e, _) in enumerate(parts)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((stride - 1).bit_length()))])
+    return F.aggregate(
+        steps, start,
+        lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at))
 
 
 @dataclass(frozen=True)
@@ -306,7 +320,7 @@ def lay_out(df: DataFrame, series_cols: Sequence[str], order_cols: Sequence[str]
     gaps = [facts[f"c{i}"] < n_rows for i in range(len(present))]
     parts = _key_parts(df, series, order, gaps)
     bounds = _sample_bounds(df, parts, n_rows, min(MAX_BLOCKS, math.ceil(n_rows / limit)))
-    return Blocks(_with_block(df, parts, bounds), series, order, len(bounds) + 1, n_series, n_rows)
+    return Blocks(df.withColumn(BLK, _block_number(parts, bounds)), series, order, len(bounds) + 1, n_series, n_rows)
 
 
 def number_rows(df: DataFrame, order_cols: Sequence[str], out: str,
