@@ -27,7 +27,7 @@ def test_distributions(spark):
         want = 1 - d.ChiSquaredDistribution(k).cumulativeProbability(x)
         assert float(dist.chi2_tail(x, k)) == pytest.approx(want, rel=1e-7, abs=1e-13)
     for p, a, b in ((0.9, 1, 5), (0.95, 3, 40), (0.999, 10, 10_000)):
-        assert dist.f_quantile(p, a, b) == pytest.approx(d.FDistribution(a, b).inverseCumulativeProbability(p), rel=1e-6)
+        assert dist.f_quantile(p, a, b) == pytest.approx(d.FDistribution(float(a), float(b)).inverseCumulativeProbability(p), rel=1e-6)
 
 
 @pytest.fixture(scope="module")
