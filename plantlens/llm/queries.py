@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import mixing, personal, quality
+from plantlens.llm import language, mixing, ngram_join, personal, quality
 from plantlens.queries.base import Query, table
 
 
@@ -12,6 +12,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     Query("op1_mixing", op1_mixing),
+    Query("op4_ngram_join", op4_ngram_join),
+    Query("op6_language", op6_language),
     Query("op7_pii", op7_pii),
     Query("op8_quality", op8_quality),
 ]
