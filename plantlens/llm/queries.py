@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import language, mixing, ngram_join, personal, quality
+from plantlens.llm import language, mixing, ngram_join, personal, quality, token_records
 from plantlens.queries.base import Query, table
 
 
@@ -12,6 +13,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     Query("op1_mixing", op1_mixing),
+    Query("op3_token_records", op3_token_records),
     Query("op4_ngram_join", op4_ngram_join),
     Query("op6_language", op6_language),
     Query("op7_pii", op7_pii),
