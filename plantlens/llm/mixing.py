@@ -25,7 +25,7 @@ from plantlens.llm.words import text_of, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 SEED = 17
 
 
