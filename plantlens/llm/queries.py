@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import language, mixing, ngram_join, personal, quality, token_records
+from plantlens.llm import language, mixing, ngram_join, personal, quality, substrings, token_records
 from plantlens.queries.base import Query, table
 
 
@@ -34,6 +34,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted).drop("trusted")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     Query("op1_mixing", op1_mixing),
     Query("op3_token_records", op3_token_records),
@@ -41,4 +45,5 @@ QUERIES = [
     Query("op6_language", op6_language),
     Query("op7_pii", op7_pii),
     Query("op8_quality", op8_quality),
+    Query("op10_substrings", op10_substrings),
 ]
