@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import language, mixing, ngram_join, personal, quality, substrings, token_records
+from plantlens.llm import language, mixing, near_vectors, ngram_join, personal, quality, substrings, token_records
 from plantlens.queries.base import Query, table
 
 
@@ -13,6 +13,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +44,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     Query("op1_mixing", op1_mixing),
+    Query("op2_near_vectors", op2_near_vectors),
     Query("op3_token_records", op3_token_records),
     Query("op4_ngram_join", op4_ngram_join),
     Query("op6_language", op6_language),
