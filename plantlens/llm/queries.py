@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import language, mixing, near_vectors, ngram_join, personal, quality, substrings, token_records
+from plantlens.llm import language, licenses, mixing, near_vectors, ngram_join, personal, quality, substrings, token_records
 from plantlens.queries.base import Query, table
 
 
@@ -38,6 +38,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted).drop("trusted")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,6 @@ QUERIES = [
     Query("op6_language", op6_language),
     Query("op7_pii", op7_pii),
     Query("op8_quality", op8_quality),
+    Query("op9_licenses", op9_licenses),
     Query("op10_substrings", op10_substrings),
 ]
