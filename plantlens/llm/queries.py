@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import language, licenses, mixing, near_vectors, ngram_join, personal, quality, substrings, token_records
+from plantlens.llm import language, licenses, mixing, near_vectors, ngram_join, personal, pieces, quality, substrings, token_records
 from plantlens.queries.base import Query, table
 
 
@@ -25,6 +25,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = [
     Query("op2_near_vectors", op2_near_vectors),
     Query("op3_token_records", op3_token_records),
     Query("op4_ngram_join", op4_ngram_join),
+    Query("op5_pieces", op5_pieces),
     Query("op6_language", op6_language),
     Query("op7_pii", op7_pii),
     Query("op8_quality", op8_quality),
