@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.columns import as_number, col, fresh, is_numeric, numeric_columns, text_of
 from plantlens.operators.identity import DataError
-from plantlens.operators.quantiles import exact_quantiles
+from plantlens.operators.quantiles import EXACT_STATE_ROWS, exact_quantiles
 from plantlens.operators.selection import Selection, flag_selected
 
 HISTOGRAM_BINS = 40
@@ -61,10 +61,11 @@ def _box_groups(df: DataFrame, column: str, sel: Selection | None, id_col: str)
     return rows.filter("v is not null"), groups
 
 
-def box_stats(df: DataFrame, column: str, sel: Selection | None = None, id_col: str = "id") -> DataFrame:
+def box_stats(df: DataFrame, column: str, sel: Selection | None = None, id_col: str = "id",
+              state_rows: int = EXACT_STATE_ROWS) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR and the number of points beyond, for all and selected rows."""
     rows, groups = _box_groups(df, column, sel, id_col)
-    q = exact_quantiles(rows, {g: F.when(c, F.col("v")) for g, c in groups.items()}, [0.25, 0.5, 0.75])
+    q = exact_quantiles(rows, {g: F.when(c, F.col("v")) for g, c in groups.items()}, [0.25, 0.5, 0.75], state_rows)
     parts = []
     for g, cond in groups.items():
         q1, q2, q3 = q[g]

@@ -29,7 +29,6 @@ from plantlens.functions.columns import col, fresh, is_floating, is_time, name
 
 BLOCK_ROWS_CONF = "spark.plantlens.blockRows"
 DEFAULT_BLOCK_ROWS = 2_000_000
-MAX_BLOCKS = 10_000
 SAMPLES_PER_BLOCK = 20
 # Branches of the generated decision tree.
 TREE_LEAVES = 32
@@ -319,7 +318,7 @@ def lay_out(df: DataFrame, series_cols: Sequence[str], order_cols: Sequence[str]
         return Blocks(df.withColumn(BLK, F.lit(0)), series, order, 1, n_series, n_rows)
     gaps = [facts[f"c{i}"] < n_rows for i in range(len(present))]
     parts = _key_parts(df, series, order, gaps)
-    bounds = _sample_bounds(df, parts, n_rows, min(MAX_BLOCKS, math.ceil(n_rows / limit)))
+    bounds = _sample_bounds(df, parts, n_rows, math.ceil(n_rows / limit))
     return Blocks(df.withColumn(BLK, _block_number(parts, bounds)), series, order, len(bounds) + 1, n_series, n_rows)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantlens.functions.columns import col, fresh, is_floating
 from plantlens.operators.ordered import lay_out
@@ -59,12 +60,13 @@ def page(df: DataFrame, current=0, size=DEFAULT_PAGE_SIZE, sort: Iterable[Sequen
 
     Near pages are a top-k, planned without a full sort. A deep page would make
     every task keep all rows up to it, so beyond `deep_rows` the rows are numbered
-    block by block and only the page's numbers are kept.
+    block by block and only the page's numbers are kept. A table without an id has
+    no unique order to number by and keeps the top-k.
     """
     size, current = page_size(size), page_index(current)
     start = current * size
     ordered = sort_rows(df, sort, id_col)
-    if start + size <= deep_rows:
+    if start + size <= deep_rows or id_col not in df.columns:
         return ordered.offset(start).limit(size) if start else ordered.limit(size)
     names = []
     work = df
@@ -86,7 +88,10 @@ def _ascending(df: DataFrame, column: str, descending: bool) -> Column:
     if not descending:
         return c
     if is_time(dtype):
-        return -micros(c)
+        return F.bitwise_not(micros(c))
+    if isinstance(dtype, T.IntegralType):
+        # the complement turns the order round and, unlike the negative, exists for the smallest number
+        return F.bitwise_not(c)
     if is_numeric(dtype):
         return -c
     # text: complement of the UTF-8 bytes, closed by a mark above all of them

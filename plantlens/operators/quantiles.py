@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows the built-in exact percentile is used: its state is bounded by them.
+# So many values of all columns and ranks together are held by the built-in exact percentile.
 EXACT_STATE_ROWS = 1_000_000
 _ACCURACY = 10_000
 
@@ -18,9 +18,11 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     """Linear-interpolated quantiles of each named expression, missing values skipped.
 
     Large inputs are narrowed: approximate percentiles bracket each wanted rank,
-    the rows below and inside the bracket are counted, and the bracket is narrowed
-    again until the built-in percentile can hold what is left. All expressions and
-    ranks share each pass.
+    the rows below, at the ends of and inside the bracket are counted, and the bracket
+    is narrowed again until the built-in percentile can hold what is left of all of
+    them together. Each pass either finds a rank at an end of its bracket or leaves
+    both ends out, so the search ends on any data. All expressions and ranks share
+    each pass.
     """
     if not columns:
         return {}
@@ -29,7 +31,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     work = df.select(*[exprs[k].alias(f"x{i}") for i, k in enumerate(names)])
     counts = work.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]).first()
     n = [int(counts[f"n{i}"]) for i in range(len(names))]
-    if max(n) <= state_rows:
+    if sum(n) * len(probs) <= state_rows:
         row = work.agg(*[F.percentile(f"x{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
                          for i in range(len(names))]).first()
         return {k: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
@@ -65,7 +67,7 @@ def _order_statistics(work: DataFrame, n: list[int], wanted: list[tuple[int, int
     open_ = {w: (None, None, 0, n[w[0]]) for w in wanted}
     while open_:
         state = {w: _inside(F.col(f"x{w[0]}"), lo, hi) for w, (lo, hi, _, _) in open_.items()}
-        small = [w for w in open_ if open_[w][3] <= state_rows]
+        small = [w for w in open_ if open_[w][3] <= max(1, state_rows // len(open_))]
         aggs = []
         order = list(open_)
         for j, w in enumerate(order):
@@ -119,6 +121,8 @@ def _narrow(work: DataFrame, open_: dict, candidates: dict, found: dict) -> dict
         a, b, _, _ = candidates[w]
         aggs.append(F.count_if(x < a).alias(f"b{j}"))
         aggs.append(F.count_if((x >= a) & (x <= b)).alias(f"i{j}"))
+        aggs.append(F.count_if(x == a).alias(f"a{j}"))
+        aggs.append(F.count_if(x == b).alias(f"e{j}"))
     row = work.agg(*aggs).first()
     nxt = {}
     for j, w in enumerate(order):
@@ -130,8 +134,13 @@ def _narrow(work: DataFrame, open_: dict, candidates: dict, found: dict) -> dict
         elif rank >= below + inside:
             span = (math.nextafter(b, math.inf), hi, below + inside,
                     open_[w][2] + open_[w][3] - below - inside)
+        elif rank < below + int(row[f"a{j}"]):
+            span = (a, a, below, inside)
+        elif rank >= below + inside - int(row[f"e{j}"]):
+            span = (b, b, below, inside)
         else:
-            span = (a, b, below, inside)
+            at_a = int(row[f"a{j}"])
+            span = (math.nextafter(a, math.inf), math.nextafter(b, -math.inf), below + at_a, inside - at_a - int(row[f"e{j}"]))
         if span[0] == span[1]:
             found[w] = span[0]
         else:

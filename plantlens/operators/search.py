@@ -9,12 +9,12 @@ from itertools import product
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import col
 from plantlens.operators.identity import DataError
-from plantlens.operators.ordered import lay_out
+from plantlens.operators.ordered import SERIES_BROADCAST_LIMIT, lay_out
 from plantlens.operators.splits import rank_threshold, shuffle_key
 from plantlens.operators.supervised import REGRESSIONS, fit_supervised
 
@@ -81,17 +81,18 @@ def search_sample(train: DataFrame, ratio: float | None = 1.0, max_rows: int | N
     if target >= n:
         return train
     if label:
-        counts = {r["c"]: r["n"] for r in train.groupBy(col(label).cast("string").alias("c")).agg(
-            F.count(F.lit(1)).alias("n")).filter("c is not null").limit(1_001).collect()}
-        if 2 <= len(counts) <= 1_000 and min(counts.values()) >= 2 and sum(counts.values()) == n:
-            exact = {c: v * target / n for c, v in counts.items()}
-            size = {c: math.floor(x) for c, x in exact.items()}
-            for c in sorted(exact, key=lambda c: (size[c] - exact[c], c))[:target - sum(size.values())]:
-                size[c] += 1
+        counts = train.groupBy(col(label).cast("string").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+        facts = counts.agg(F.count("_c").alias("classes"), F.min("_n").alias("least"), F.count(F.when(F.col("_c").isNull(), 1)).alias("missing"),
+                           F.sum(F.floor(F.col("_n") * F.lit(target) / F.lit(n))).alias("sure")).first()
+        if facts["classes"] >= 2 and facts["least"] >= 2 and not facts["missing"]:
+            share = F.col("_n") * F.lit(target)
+            by_rest = Window.orderBy(F.pmod(share, F.lit(n)).desc(), "_c")
+            size = counts.select("_c", (F.floor(share / F.lit(n)) + F.when(
+                F.row_number().over(by_rest) <= target - facts["sure"], 1).otherwise(0)).alias("_size"))
             work = train.withColumns({"_lab": col(label).cast("string"), "_h": shuffle_key(id_col, seed)})
             numbered = lay_out(work, ["_lab"], ["_h", id_col], block_rows).with_position("_pos").result()
-            cap = F.create_map(*[x for c, v in size.items() for x in (F.lit(c), F.lit(v))])
-            return numbered.filter(F.col("_pos") <= cap[F.col("_lab")]).drop("_lab", "_h", "_pos")
+            side = F.broadcast(size) if facts["classes"] <= SERIES_BROADCAST_LIMIT else size
+            return numbered.join(side, F.col("_lab") == F.col("_c")).filter("_pos <= _size").drop("_lab", "_h", "_pos", "_c", "_size")
     h = shuffle_key(id_col, seed)
     cut = rank_threshold(train.select(h.alias("h"), col(id_col).cast("string").alias("id")), target)
     return train.filter((h < cut[0]) | ((h == cut[0]) & (col(id_col).cast("string") <= cut[1])))

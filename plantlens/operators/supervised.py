@@ -24,7 +24,6 @@ from plantlens.operators.latent import Pls, fit_pls, pls_predict
 
 LABEL = "_label"
 DEEPEST = 30
-DEFAULT_DEPTH = 12
 # Default parameters per model.
 DEFAULTS: dict[str, dict] = {
     "linear": {"fit_intercept": True},
@@ -44,7 +43,7 @@ def _depth(params: Mapping, leaves: bool = False) -> int:
     """Depth limit; a number of leaves is turned into the depth that can hold them."""
     depth = params.get("max_depth")
     if depth is None:
-        depth = math.ceil(math.log2(max(2, int(params.get("num_leaves", 31))))) if leaves else DEFAULT_DEPTH
+        depth = math.ceil(math.log2(max(2, int(params.get("num_leaves", 31))))) if leaves else DEEPEST
     return max(1, min(int(depth), DEEPEST))
 
 

@@ -16,10 +16,9 @@ from plantlens.functions.columns import as_number, col, from_micros, micros
 from plantlens.operators.identity import DataError
 from plantlens.operators.ordered import join_per_series, lay_out
 
-# Summary functions in output order, the default ones, and row caps per tag.
+# Summary functions in output order and the default ones.
 SUMMARY_FUNCTIONS = ("average", "min", "max", "sum", "count", "std")
 DEFAULT_SUMMARIES = ("average", "min", "max")
-DEFAULT_MAX_ROWS, MAX_ROWS_LIMIT = 10_000, 500_000
 # Characters that separate names in a list.
 NAME_SEPARATORS = "\n\r\t,;、，；"
 
@@ -29,11 +28,12 @@ READING_SCHEMA = T.StructType([
     T.StructField("source_type", T.StringType())])
 
 
-def max_rows_of(value) -> int:
+def max_rows_of(value) -> int | None:
+    """A limit on rows that was asked for; None for all rows."""
     try:
-        return max(1, min(int(value), MAX_ROWS_LIMIT))
+        return max(1, int(value))
     except (TypeError, ValueError):
-        return DEFAULT_MAX_ROWS
+        return None
 
 
 def summary_functions(names: Iterable[str] | None) -> tuple[str, ...]:
@@ -108,9 +108,9 @@ def tag_snapshot(df: DataFrame) -> DataFrame:
 
 def tag_recorded(df: DataFrame, tags: Sequence[str] | None, start, end, max_rows: int | None = None,
                  tie_cols: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
-    """Readings inside [start, end], at most max_rows per tag counted from the start.
+    """Readings inside [start, end]: all, or at most max_rows per tag counted from the start.
 
-    Positions come from the block layout, so that a tag holding a large share of
+    Positions for a limit come from the block layout, so that a tag holding a large share of
     the readings is spread over many tasks.
     """
     cap = max_rows_of(max_rows)
@@ -120,6 +120,8 @@ def tag_recorded(df: DataFrame, tags: Sequence[str] | None, start, end, max_rows
     keep = ["tag", "timestamp", "value", "is_good"]
     order = ["timestamp", *tie_cols] if tie_cols else ["timestamp", "value"]
     rows = rows.select(*dict.fromkeys([*keep, *tie_cols]))
+    if cap is None:
+        return rows.select(*keep, F.lit("recorded").alias("source_type"))
     numbered = lay_out(rows, ["tag"], order, block_rows).with_position("_pos").result()
     return numbered.filter(F.col("_pos") <= cap).select(*keep, F.lit("recorded").alias("source_type"))
 
@@ -136,7 +138,7 @@ def tag_interpolated(df: DataFrame, start, end, interval, max_rows: int | None =
     step, cap = _step_micros(interval), max_rows_of(max_rows)
     rows = df.filter(F.col("tag").isin(list(tags))) if tags else df
     lo, hi = micros(_at(start)), micros(_at(end))
-    last = F.least(hi, lo + F.lit(step * (cap - 1)))
+    last = hi if cap is None else F.least(hi, lo + F.lit(step * (cap - 1)))
     grid = (rows.select("tag").distinct()
             .withColumn("at", F.explode(F.sequence(lo, last, F.lit(step).cast("bigint"))))
             .select("tag", "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")))

@@ -32,7 +32,6 @@ OTHER_DEFAULTS: dict[str, dict] = {
 UNSUPERVISED = ("pca", "pca_t2q", "ica")
 SERIES = ("arima", "sarima", "ewma", "cusum")
 MODEL_KEYS = (*UNSUPERVISED, *SERIES, *REGRESSIONS, *CLASSIFIERS)
-DEFAULT_FEATURE_COUNT = 8
 
 
 def model_task(key: str) -> str:
@@ -120,7 +119,7 @@ def _run_supervised(df, key, task, params, c: RunConfig) -> ModelResult:
 
 def _run_unsupervised(df, key, task, params, c: RunConfig) -> ModelResult:
     features = [f for f in c.features if f in df.columns and f != c.id_col]
-    features = features or [x for x in df.columns if x != c.id_col][:DEFAULT_FEATURE_COUNT]
+    features = features or [x for x in df.columns if x != c.id_col]
     notes: list[str] = []
     rows = require_rows(require_any_feature(df, features), task)
     flagged = _flagged(rows, c, notes, c.stratify_col)

@@ -32,6 +32,12 @@ def q_box_stats(spark, d):
     return rounded(explore.box_stats(_orders(spark, d), "o_totalprice", urgent()))
 
 
+def q_box_two_values(spark, d):
+    """A column of two values whose median lies between them, by narrowing."""
+    t = _orders(spark, d).withColumn("odd", (F.col("o_orderkey") % 2).cast("double"))
+    return rounded(explore.box_stats(t, "odd", urgent(), state_rows=600))
+
+
 def q_box_events(spark, d):
     e = table(spark, d, "events").withColumn("id", F.col("event_id").cast("string"))
     return rounded(explore.box_stats(e, "value", F.col("event_type") == "error"))
@@ -100,6 +106,8 @@ QUERIES = [
           "SELECT o_orderstatus AS level, count(*) AS n_all, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') "
           "AS n_selected FROM orders GROUP BY 1"),
     Query("box_stats", q_box_stats, _box("orders", "o_totalprice", "o_orderpriority = '1-URGENT'")),
+    Query("box_stats_two_values", q_box_two_values,
+          _box("(SELECT *, CAST(o_orderkey % 2 AS DOUBLE) AS odd FROM orders)", "odd", "o_orderpriority = '1-URGENT'")),
     Query("box_stats_skewed", q_box_events, _box("events", "value", "event_type = 'error'")),
     Query("box_outliers", q_box_outliers,
           """WITH t AS (SELECT CAST(event_id AS VARCHAR) AS id, value AS v, event_type = 'error' AS f FROM events),

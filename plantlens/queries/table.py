@@ -28,6 +28,17 @@ def q_csv(spark, d):
         {c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
 
 
+def q_csv_late(spark, d):
+    """A table in another encoding whose only text beyond ASCII stands near its end."""
+    path = scratch_path(spark, "csv")
+    orders = table(spark, d, "orders").select("o_orderkey")
+    late = orders.orderBy(F.desc("o_orderkey")).limit(10).select("o_orderkey", F.lit("温度計①").alias("note"))
+    t = orders.join(F.broadcast(late), "o_orderkey", "left").select("o_orderkey", F.coalesce("note", F.lit("plain")).alias("note"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    t.orderBy("o_orderkey").write.option("header", True).option("encoding", "windows-31j").csv(path)
+    return read_csv(spark, path, schema="o_orderkey bigint, note string")
+
+
 def q_ensure_id_missing(spark, d):
     t = identity.ensure_id(table(spark, d, "lineitem"), "id", L_ORDER)
     return t.select("id", "l_orderkey", "l_linenumber", "l_extendedprice")
@@ -153,6 +164,8 @@ QUERIES = [
     Query("read_table", q_read_table,
           "SELECT p_type, count(*) AS n, max(p_retailprice) AS top_price FROM part GROUP BY p_type"),
     Query("csv_round_trip", q_csv, "SELECT * FROM orders"),
+    Query("csv_late_encoding", q_csv_late,
+          "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey DESC) <= 10 THEN '温度計①' ELSE 'plain' END AS note FROM orders"),
     Query("ensure_id_missing", q_ensure_id_missing,
           f"SELECT CAST(row_number() OVER (ORDER BY {_L}) AS VARCHAR) AS id, l_orderkey, l_linenumber, "
           "l_extendedprice FROM lineitem"),

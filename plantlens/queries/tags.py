@@ -31,6 +31,12 @@ def q_recorded_blocks(spark, d):
     return tags.tag_recorded(_readings(spark, d), None, START, END, 900, ["event_id"], block_rows=700)
 
 
+def q_recorded_all(spark, d):
+    """Every reading, by default."""
+    e = _readings(spark, d)
+    return tags.tag_recorded(e, None, "1900-01-01", "2100-01-01")
+
+
 def q_interpolated(spark, d):
     return rounded(tags.tag_interpolated(_readings(spark, d), START, END, "3h"), 5)
 
@@ -110,6 +116,8 @@ QUERIES = [
     Query("tag_snapshot", q_snapshot, f"WITH {_R} SELECT tag, timestamp, value, is_good, 'snapshot' AS source_type FROM "
           "(SELECT *, row_number() OVER (PARTITION BY tag ORDER BY timestamp DESC) AS rn FROM r) WHERE rn = 1"),
     Query("tag_recorded", q_recorded, _recorded("AND tag IN ('click', 'error', 'view')", 300)),
+    Query("tag_recorded_all", q_recorded_all,
+          f"WITH {_R} SELECT tag, timestamp, value, is_good, 'recorded' AS source_type FROM r"),
     Query("tag_recorded_blocks", q_recorded_blocks, _recorded("", 900)),
     Query("tag_interpolated", q_interpolated, _interp(START, END, 180, 10_000)),
     Query("tag_interpolated_blocks", q_interpolated_blocks, _interp("2023-12-31 00:00:00", "2024-02-01 00:00:00", 45, 600)),

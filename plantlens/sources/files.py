@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from plantlens.operators.identity import DataError
 # Encodings tried in turn, and the name Spark knows each by.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp932", "shift_jis")
 SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp932": "windows-31j", "shift_jis": "Shift_JIS"}
-_SNIFF_LINES = 10_000
 _LEGACY_CHARSETS = "spark.sql.legacy.javaCharsets"
 
 
@@ -30,18 +30,44 @@ def csv_reader(spark: SparkSession, path, encoding: str, schema=None, **options)
     return reader.csv(path)
 
 
+def _undecodable(encoding: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for line in batch.column("line").to_pylist():
+                try:
+                    line.decode(encoding)
+                    bad.append(False)
+                except UnicodeDecodeError:
+                    bad.append(True)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.bool_())], names=["bad"])
+    return run
+
+
 def _has_bad_bytes(spark: SparkSession, path, encoding: str) -> bool:
-    """Spark reads wrong bytes as U+FFFD instead of failing; look for that in the head of the data."""
-    text = spark.read.option("encoding", _charset(encoding)).option("header", False).csv(path).limit(_SNIFF_LINES)
+    """Whether any line of the data is not in the encoding.
+
+    Spark reads wrong bytes as U+FFFD instead of failing, so the bytes of all lines
+    are tested in one distributed pass: by a built-in function for UTF-8, else by a
+    strict decoder. Charsets in which a line break is not the byte 10 cannot be cut
+    into lines beforehand; their text is searched for U+FFFD.
+    """
+    if _charset(encoding) == "UTF-8":
+        lines = spark.read.text(path)
+        return not lines.filter(~F.is_valid_utf8("value")).isEmpty()
+    if "a\n".encode(encoding) == b"a\n":
+        lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"))
+        return not lines.mapInArrow(_undecodable(encoding), "bad boolean").filter("bad").isEmpty()
+    text = spark.read.option("encoding", _charset(encoding)).option("header", False).csv(path)
     bad = F.lit(False)
     for c in text.columns:
-        bad = bad | F.coalesce(F.contains(F.col(c), F.lit("�")), F.lit(False))
+        bad = bad | F.coalesce(F.contains(F.col(c), F.lit("\ufffd")), F.lit(False))
     return not text.filter(bad).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], encodings: Sequence[str] = ENCODINGS, schema=None,
              **options) -> DataFrame:
-    """CSV with a header row; the first encoding that reads cleanly is used.
+    """CSV with a header row; the first encoding in which all lines are valid is used.
 
     Types are inferred unless a schema is given (which saves a pass over the data).
     """

@@ -202,6 +202,14 @@ def test_quantiles(spark, state_rows):
     assert got["none"] == [None] * 5
 
 
+@pytest.mark.parametrize("values", [[0.0] * 500 + [1.0] * 500, [0.0] * 499 + [1.0] * 501, [5.0] * 1000, [0.0, 1e-300, 1.0] * 300])
+def test_quantiles_at_borders(spark, values):
+    t = spark.createDataFrame(pd.DataFrame({"x": values}))
+    probs = [0.0, 0.25, 1 / 3, 0.5, 0.499, 2 / 3, 1.0]
+    got = quantiles.exact_quantiles(t, {"x": F.col("x")}, probs, 20)
+    assert np.allclose(got["x"], np.quantile(values, probs))
+
+
 @pytest.mark.parametrize("block_rows", [None, 7])
 def test_interpolation(spark, block_rows):
     rows = [("p", f"2024-01-01 00:{m:02d}:00", v, g) for m, v, g in
@@ -217,7 +225,7 @@ def test_names():
     assert tags.name_list("tag_a\ntag_b,tag_c; tag_b") == ("tag_a", "tag_b", "tag_c")
     assert tags.name_list("ＴＡＧ１、tag1，Ｂ；") == ("TAG1", "B")
     assert tags.summary_functions(["std", "COUNT"]) == ("count", "std") and tags.summary_functions([]) == tags.DEFAULT_SUMMARIES
-    assert tags.max_rows_of(10**9) == 500_000 and tags.max_rows_of(None) == 10_000
+    assert tags.max_rows_of(10**9) == 10**9 and tags.max_rows_of(None) is None
     assert tags.seconds_of("1h") == 3600
 
 

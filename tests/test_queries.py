@@ -8,10 +8,6 @@ from oracle import compare, connect
 
 import __spark_entry__ as contract
 
-SLOW = {"t2_q_report", "t2_q_contributions", "suggest_ica_components", "forecast_arma", "gbt_classifier", "random_search",
-        "forest_classifier", "gbt_regression", "forest_regression", "multi_class", "tree_importance", "suggest_ar_order"}
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(SMALL)
@@ -32,6 +28,6 @@ def test_equal_to_sql(spark, con, name):
     assert message is None, message
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
 def test_has_rows(spark, name):
     assert contract.queries()[name](spark, SMALL).count() > 0

@@ -23,6 +23,16 @@ def test_csv_encodings(spark, tmp_path, encoding):
     assert text.orderBy("value").first()["id"] == "0001"
 
 
+def test_csv_encoding_shows_late(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_bytes(b"id,n\n" + b"".join(b"%d,x\n" % i for i in range(30_000)) + "30000,温度計①\n".encode("cp932"))
+    t = files.read_csv(spark, str(path), schema="id int, n string")
+    assert t.orderBy("id", ascending=False).first()["n"] == "温度計①"
+    real = tmp_path / "u.csv"
+    real.write_bytes("id,n\n1,\ufffd\n".encode())
+    assert files.read_csv(spark, str(real), schema="id int, n string").first()["n"] == "\ufffd"
+
+
 def test_csv_failure_names_attempts(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_bytes(b"a\n\x81\xff\xfe\n")
