@@ -138,18 +138,15 @@ def scatter_matrix_data(df: DataFrame, columns: Sequence[str], sel: Selection |
     if len(columns) < 2 or any(not is_numeric(df.schema[c].dataType) for c in columns):
         raise DataError("a scatter matrix needs two numeric columns")
     corr = correlation_matrix(df, columns, id_col)
-    hist = None
-    for c in columns:
-        h = histogram(df, c, sel, bins, id_col).withColumn("variable", F.lit(c))
-        hist = h if hist is None else hist.unionByName(h)
+    hist = matrix_histograms(df, columns, sel, id_col, bins, edges=True)
     flagged = flag_selected(df, sel, id_col, "selected")
     points = flagged.select(col(id_col).cast("string").alias("id"), *[col(c) for c in columns], "selected")
     return {"correlation": corr, "histogram": hist, "points": points}
 
 
 def matrix_histograms(df: DataFrame, columns: Sequence[str], sel: Selection | None = None, id_col: str = "id",
-                      bins: int = MATRIX_BINS) -> DataFrame:
-    """Histograms of many numeric columns from one scan (long form)."""
+                      bins: int = MATRIX_BINS, edges: bool = False) -> DataFrame:
+    """Histograms of many numeric columns from one scan (long form), with the edges of the bins if wanted."""
     columns = list(columns)
     flag = fresh(df, "_sel")[0]
     flagged = flag_selected(df, sel, id_col, flag)
@@ -161,5 +158,11 @@ def matrix_histograms(df: DataFrame, columns: Sequence[str], sel: Selection | No
                       for i, c in enumerate(columns)])
     long = (flagged.withColumn("_s", spans).select(F.explode(cells).alias("x"), F.col(flag).alias("f"))
             .select("x.*", "f").filter("v is not null"))
-    return (long.select("variable", "f", bin_of(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-            .groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("f").alias("n_selected")))
+    keys = ["variable", "bin", *(["lo", "hi"] if edges else [])]
+    counts = (long.withColumn("bin", bin_of(F.col("v"), F.col("lo"), F.col("hi"), bins)).groupBy(*keys)
+              .agg(F.count(F.lit(1)).alias("n_all"), F.count_if("f").alias("n_selected")))
+    if not edges:
+        return counts
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    return counts.select("variable", "bin", (F.col("lo") + F.col("bin") * width).alias("lower"),
+                         (F.col("lo") + (F.col("bin") + 1) * width).alias("upper"), "n_all", "n_selected")

@@ -58,7 +58,7 @@ def add_features(df: DataFrame, features: Iterable[tuple[str, str | Column]],
         try:
             if isinstance(expr, str):
                 with _lenient(df):
-                    trial = df.withColumn(key, F.expr(_row_expression(expr)))
+                    trial = df.withColumn(key, F.expr(_row_expression(df, expr)))
             else:
                 trial = df.withColumn(key, expr)
             dtype = trial.schema[key].dataType
@@ -84,10 +84,32 @@ def _lenient(df: DataFrame):
         conf.set(key, before)
 
 
-def _row_expression(text: str) -> str:
-    """Refuse subqueries; leave everything else to Spark's own parser."""
-    if "select " in text.lower() or ";" in text:
-        raise ValueError("only row expressions are allowed")
+# What a feature may be made of: nodes of Spark's parsed expressions, and functions of one row.
+_NODES = set("""UnresolvedAttribute Literal UnresolvedFunction UnresolvedAlias Add Subtract Multiply Divide IntegralDivide Remainder
+UnaryMinus UnaryPositive Abs EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual And Or Not CaseWhen If
+IsNull IsNotNull Cast In Like RLike Between Alias""".split())
+_FUNCTIONS = set("""abs acos asin atan atan2 between bround cast cbrt ceil ceiling char_length coalesce concat concat_ws cos cosh cot datediff
+date_add date_sub date_trunc day dayofmonth dayofweek dayofyear degrees double exp expm1 float floor greatest hour hypot if ifnull
+int isnan isnotnull isnull least length ln log log10 log1p log2 lower ltrim minute mod month nanvl nullif nvl pmod pow power
+quarter radians rint round rtrim second sign signum sin sinh sqrt string substr substring tan tanh timestampdiff to_date
+to_timestamp trim trunc try_add try_cast try_divide try_multiply try_subtract unix_timestamp upper weekofyear when year + - * / % < > = <= >=
+!= <> == <=> and or not like rlike case bigint div negative positive""".split())
+
+
+def _row_expression(df: DataFrame, text: str) -> str:
+    """Refuse everything but columns, literals and functions of one row, as Spark's parser sees them."""
+    waiting = [df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(text)]
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in _NODES:
+            raise ValueError(f"only row expressions are allowed, not {kind}")
+        if kind == "UnresolvedFunction":
+            name = node.nameParts().mkString(".").lower()
+            if name not in _FUNCTIONS:
+                raise ValueError(f"function {name} is not allowed")
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
     return text
 
 

@@ -168,8 +168,16 @@ def _schema(df: DataFrame, series_cols: Sequence[str], *extra: T.StructField) ->
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
-def _fit(blocks: Blocks, plan: _Plan, series_cols: Sequence[str]) -> tuple[Blocks, DataFrame]:
-    """Rows with differenced value, residual history and fitted value; one parameter row per series."""
+def _lost_rows(plan: _Plan) -> int:
+    """Rows at a series' start that the model cannot be fitted to."""
+    return len(plan.diff) - 1 + max(plan.reach, min(plan.long, LONG_AR) if plan.ma else 0)
+
+
+def _fit(blocks: Blocks, plan: _Plan, series_cols: Sequence[str], skip: int = 0) -> tuple[Blocks, DataFrame]:
+    """Rows with differenced value, residual history and fitted value; one parameter row per series.
+
+    `skip` rows at the start of every series are left out of the fit, so that candidates can be compared.
+    """
     by = [col(s) for s in series_cols]
     diff_len = len(plan.diff) - 1
     history = diff_len + max(plan.reach, plan.long)
@@ -206,7 +214,7 @@ def _fit(blocks: Blocks, plan: _Plan, series_cols: Sequence[str]) -> tuple[Block
     x += [F.lit(1.0)] if plan.constant else []
     y = F.get("_w", F.lit(0))
     settle = diff_len + (min(plan.long, LONG_AR) if plan.ma else 0)
-    ok = F.col("_train") & y.isNotNull()
+    ok = F.col("_train") & y.isNotNull() & (F.col("position") > skip)
     for c in x:
         ok = ok & c.isNotNull()
     # skip the rows whose residuals had no history, where the series is long enough for that
@@ -222,11 +230,11 @@ def _fit(blocks: Blocks, plan: _Plan, series_cols: Sequence[str]) -> tuple[Block
 
 
 def fit_ar(df: DataFrame, value: str, order=DEFAULT_ORDER, seasonal_order=None, trend: str = "n", ratio: float = 0.8, *,
-           order_cols: Sequence[str], series_cols: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
+           order_cols: Sequence[str], series_cols: Sequence[str] = (), block_rows: int | None = None, skip: int = 0) -> DataFrame:
     """Parameters, residual variance, AIC and BIC per series."""
     plan = _Plan(order, seasonal_order, trend)
     blocks = _series_rows(df, value, order_cols, series_cols, ratio, block_rows)
-    _, params = _fit(blocks, plan, series_cols)
+    _, params = _fit(blocks, plan, series_cols, skip)
     return params.withColumn("names", F.array(*[F.lit(n) for n in plan.names]) if plan.names
                              else F.array().cast("array<string>"))
 
@@ -338,13 +346,17 @@ def forecast_metrics(predictions: DataFrame, params: DataFrame, series_cols: Seq
 def suggest_ar_order(df: DataFrame, value: str, grid: Mapping[str, Sequence] | None = None, ratio: float = 0.8, *,
                      order_cols: Sequence[str], series_cols: Sequence[str] = (), block_rows: int | None = None,
                      best_only: bool = True) -> DataFrame:
-    """The candidate with the least AIC per series (ties: the first in grid order)."""
+    """The candidate with the least AIC per series (ties: the first in grid order).
+
+    All candidates are fitted to the same rows, those that the most demanding one can use.
+    """
     from plantlens.operators.search import candidates
 
-    out = None
-    for i, c in enumerate(candidates(grid or ARIMA_GRID)):
+    out, tried = None, candidates(grid or ARIMA_GRID)
+    skip = max((_lost_rows(_Plan(c.get("order", DEFAULT_ORDER), c.get("seasonal_order"), c.get("trend", "n"))) for c in tried), default=0)
+    for i, c in enumerate(tried):
         params = fit_ar(df, value, c.get("order", DEFAULT_ORDER), c.get("seasonal_order"), c.get("trend", "n"), ratio,
-                        order_cols=order_cols, series_cols=series_cols, block_rows=block_rows)
+                        order_cols=order_cols, series_cols=series_cols, block_rows=block_rows, skip=skip)
         one = params.select(*[col(s) for s in series_cols], F.lit(i).alias("candidate"),
                             F.lit(str(list(c.get("order", DEFAULT_ORDER)))).alias("order"),
                             F.lit(str(list(c.get("seasonal_order") or []))).alias("seasonal_order"),

@@ -39,12 +39,12 @@ def candidates(grid: Mapping[str, Sequence]) -> list[dict]:
 
 
 def combinations(grid: Mapping[str, Sequence] | None) -> int:
-    return len(candidates(grid or {}))
+    sizes = [len(v) for v in (grid or {}).values() if v]
+    return math.prod(sizes) if sizes else 0
 
 
 def random_draws(grid: Mapping[str, Sequence] | None, default: int = RANDOM_DRAWS) -> int:
-    n = combinations(grid)
-    return max(1, min(default, n)) if n else 0
+    return min(combinations(grid), max(1, default))
 
 
 def folds_of(value) -> int:
@@ -60,13 +60,10 @@ def search_workload(grid: Mapping[str, Sequence], folds: int = 5, method: str =
 
 
 def sample_size(n: int, ratio: float | None = 1.0, max_rows: int | None = None) -> int:
-    if n <= 0:
-        return 0
-    ratio = min(max(float(1.0 if ratio is None else ratio), 0.05), 1.0)
-    target = max(2, math.floor(n * ratio)) if ratio < 1.0 else n
-    if max_rows and int(max_rows) > 0:
-        target = min(target, int(max_rows))
-    return min(max(target, 2), n)
+    """Rows of a search: a share from 5 to 100 percent, at most max_rows, never under two of those there are."""
+    share = 1.0 if ratio is None else sorted((0.05, float(ratio), 1.0))[1]
+    limits = [n * share, *([int(max_rows)] if max_rows and int(max_rows) > 0 else [])]
+    return max(0, min(n, max(2, math.floor(min(limits)))))
 
 
 def search_sample(train: DataFrame, ratio: float | None = 1.0, max_rows: int | None = None, id_col: str = "id",

@@ -209,7 +209,7 @@ def event_frames(df: DataFrame, template: str | None = None, start=None, end=Non
         rows = rows.filter(F.col("end_time").isNull() | (F.col("start_time") <= _at(end)))
     if template and name_key(template):
         key = F.trim(F.lower("template")) if plain_names else name_key_column("template")
-        rows = rows.filter(F.coalesce(F.col("template"), F.lit("")).isin("") | (key == F.lit(name_key(template))))
+        rows = rows.filter((F.trim(F.coalesce(F.col("template"), F.lit(""))) == "") | (key == F.lit(name_key(template))))
     needed = [name_key(a) for a in analyses if name_key(a)]
     if needed:
         have = (F.filter(F.transform("analyses", lambda a: F.trim(F.lower(a))), lambda a: a != "")

@@ -126,3 +126,16 @@ def test_no_spread(spark):
     out = {r["variable"]: r for r in compare.rank_causes(t, F.col("id").isin("0", "1", "2")).collect()}
     assert out["flat"]["statistic"] is None and out["flat"]["effect_size"] == 0.0
     assert out["step"]["p_value"] == 0.0 and "none" not in out
+
+
+def test_features_are_row_expressions(spark):
+    from plantlens.operators.features import add_features
+
+    t = spark.createDataFrame([("1", 2.0, None)], "id string, v double, w double")
+    refused = ["avg(v) over ()", "reflect('java.lang.System','getProperty','user.name')", "(select\nmax(1))", "max(v)", "exists(select 1)",
+               "uuid()", "v in (select 1)", "transform(array(1), x -> x)"]
+    fine = ["v - w", "v / nullif(w, 0)", "log(v) + exp(v)", "case when v > 1 and not (w is null) then 1 else 0 end", "v in (1, 2)", "1 / 0",
+            "if(v between 1 and 3, 'x', concat('a', id))", "cast(id as int) % 2", "id like 'a%'", "pow(v, 2)"]
+    warnings: list[str] = []
+    out = add_features(t, [(f"f{i}", e) for i, e in enumerate(refused + fine)], warnings)
+    assert len(warnings) == len(refused) and out.columns == ["id", "v", "w", *(f"f{len(refused) + i}" for i in range(len(fine)))]
