@@ -26,6 +26,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -63,34 +64,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # pieces that follow a space, kept without it; pieces as they are
-        self.after_space: dict[str, bytes] = {}
+        # pieces that follow a space, kept without it (None: not to be cut there); pieces as they are
+        self.after_space: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        new = list({p for p in pieces if p not in known})
-        texts = [p if not lead or p[:1] == "\n" else lead + p for p in new]
-        for p, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.kind).tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        kind = self.kind.char
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.after_space) + len(self.plain) > MOST_PIECES:
             self.after_space.clear()
             self.plain.clear()
-        spaced: dict[int, list[str]] = {}
-        plain: dict[int, list[str]] = {}
+        spaced = [t.replace("\n", " \n").split(" ") for t in texts]
+        first = [p.pop(0) for p in spaced]
+        new = set(chain.from_iterable(spaced)).difference(self.after_space)
+        # a piece without white space, but for a line break at its start, is encoded as it stands after a space
+        fine = [p for p in new if (p[1:] if p[:1] == "\n" else p).split() == [p[1:] if p[:1] == "\n" else p]]
+        self.after_space.update(dict.fromkeys(new))
+        self.after_space.update(zip(fine, self._ids([p if p[0] == "\n" else " " + p for p in fine])))
+        found = [list(map(self.after_space.__getitem__, p)) for p in spaced]
+        plain: list[list[str]] = []
         for k, t in enumerate(texts):
             if any(s in t for s in self.special):
-                plain[k] = [t]
-            elif " ".join(t.split()) == t.replace("\n", " "):
-                first, *spaced[k] = t.replace("\n", " \n").split(" ")
-                plain[k] = [first]
+                plain.append([t])
+                found[k] = []
+            elif None in found[k] or first[k].split() != [first[k]][:bool(first[k])]:
+                plain.append(_CUT.split(t))
+                found[k] = []
             else:
-                plain[k] = _CUT.split(t)
-        self._learn(self.after_space, list(chain.from_iterable(spaced.values())), " ")
-        self._learn(self.plain, list(chain.from_iterable(plain.values())), "")
-        a, b = self.after_space.__getitem__, self.plain.__getitem__
-        return [b"".join(map(b, plain[k])) + b"".join(map(a, spaced.get(k, ()))) for k in range(len(texts))]
+                plain.append([first[k]])
+        missing = list(set(chain.from_iterable(plain)).difference(self.plain))
+        self.plain.update(zip(missing, self._ids(missing)))
+        return [b"".join(map(self.plain.__getitem__, p)) + b"".join(f) for p, f in zip(plain, found)]
 
 
 def encoder(path: str) -> Encoder:
