@@ -2,7 +2,8 @@
 
 A text gets a space in front and spaces become the mark U+2581; a segmentation is a path over the lattice of pieces. A
 character that is no piece is a run of byte pieces. The vocabulary file is a merge list whose scores are minus the ranks;
-they become log-probabilities -ln(rank + 2), so that the rank plays the part of a Zipf rank, bytes costing -ln(size).
+they become log-probabilities -ln(rank + 2), so that the rank plays the part of a Zipf rank, bytes costing -ln(size),
+in whole millionths.
 
 No piece has a character before a mark, so the lattice falls apart between units: spaces and the characters after
 them. Distinct units of a batch are solved together, forwards and backwards, which gives the best path and what the next
@@ -34,6 +35,8 @@ from plantlens.llm.wordhash import mix
 
 MARK = "▁"
 N_BEST = 4
+# Scores are whole millionths, so that sums are exact and ties are ties.
+MICRO = 1_000_000
 # Units a worker remembers, some 300 bytes each.
 MOST_UNITS = 400_000
 _NO_CHARACTER = 0x110000
@@ -58,9 +61,9 @@ class Vocabulary:
                 self.back[i] = bytes([int(p[1:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 rank = -model.get_score(i)
-                self.piece[p] = (i, -math.log((rank if rank < size else size) + 2.0))
+                self.piece[p] = (i, -float(round(MICRO * math.log((rank if rank < size else size) + 2.0))))
                 self.back[i] = p.replace(MARK, " ").encode()
-        self.byte_score = -math.log(size)
+        self.byte_score = -float(round(MICRO * math.log(size)))
         self.longest = max(map(len, self.piece))
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("pieces that reach over a space are not supported")
@@ -177,17 +180,22 @@ class Vocabulary:
                     raw = unit[end - 1].encode()
                     edges[end].append((end - 1, len(raw) * self.byte_score, tuple(self.byte[b] for b in raw)))
             forth[end] = max(forth[a] + s for a, s, _ in edges[end])
-        # entries: minus the best total through it, a tie-breaking number, place, score from there to the end, ids from there
-        queue: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-forth[-1], 0, len(text), 0.0, ())]
+        # entries: minus the best total through it, its place (of equals the one nearest the start goes on), a number,
+        # the score from there to the end, and the pieces from there as a linked list
+        queue: list[tuple] = [(-forth[-1], len(text), 0, 0.0, None)]
         out: list[tuple[float, bytes]] = []
         count = 1
         while queue and len(out) < n:
-            _, _, place, back, ids = heapq.heappop(queue)
+            _, place, _, back, chain = heapq.heappop(queue)
             if place == 0:
+                ids: list[int] = []
+                while chain is not None:
+                    ids += chain[0]
+                    chain = chain[1]
                 out.append((back, np.array(ids, "<u2").tobytes()))
                 continue
             for a, s, new in edges[place]:
-                heapq.heappush(queue, (-(forth[a] + s + back), count, a, s + back, new + ids))
+                heapq.heappush(queue, (-(forth[a] + s + back), a, count, s + back, (new, chain)))
                 count += 1
         return out
 
@@ -208,7 +216,7 @@ class Vocabulary:
         ids = b"".join([f[0] for f in found])
         score = math.fsum([f[1] for f in found])
         if n < 2 or not units:
-            return ids, score, [], []
+            return ids, score / MICRO, [], []
         gaps = np.array([f[2] for f in found])
         cheap = np.argsort(gaps, kind="stable")[:n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
         ways: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
@@ -222,9 +230,9 @@ class Vocabulary:
         scores, others = [], []
         for gap, changes in ways[1:]:
             swap = dict(changes)
-            scores.append(score - gap)
+            scores.append((score - gap) / MICRO)
             others.append(b"".join([swap.get(k, f[0]) for k, f in enumerate(found)]))
-        return ids, score, scores, others
+        return ids, score / MICRO, scores, others
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.back[i] for i in ids.tolist()])[1:].decode()
