@@ -38,7 +38,7 @@ N_BEST = 4
 # Scores are whole millionths, so that sums are exact and ties are ties.
 MICRO = 1_000_000
 # Units a worker remembers, some 300 bytes each.
-MOST_UNITS = 400_000
+MOST_UNITS = 200_000
 _NO_CHARACTER = 0x110000
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -291,6 +291,25 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Add `piece_ids` and `decodes`, whether they decode to the text, in one pass."""
+    docs = docs.drop("piece_ids", "decodes")
+    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                ids = [np.frombuffer(f[0], "<u2") for f in v.encode(texts, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                     pa.array([v.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())], names=[*batch.schema.names, "piece_ids", "decodes"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """Add the text of piece ids."""
     encoded = encoded.drop(out)
