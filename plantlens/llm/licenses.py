@@ -77,16 +77,17 @@ def _shingles(words: Column) -> Column:
 def _bands(df: DataFrame, every: int) -> DataFrame:
     """A row for each band of each window of `words`; the other columns are kept."""
     last = SHINGLE + WINDOW - 1
-    aside = F.arrays_zip(*[F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{k}") for k in range(last)])
-    each = df.select(*[c for c in df.columns if c != "words"], F.posexplode(aside).alias("at", "w")).where(
-        (F.col("at") % every == 0) & F.col(f"w.w{SHINGLE - 1}").isNotNull())
+    fields = ",".join(f"w{k}:bigint" for k in range(last))
+    aside = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.arrays_zip(
+        *[F.slice(h, k + 1, F.greatest(F.size(h), F.lit(1))) for k in range(last)]).cast(f"array<struct<{fields}>>"))
+    rest = [c for c in df.columns if c != "words"]
+    each = df.select(*rest, F.posexplode(aside).alias("at", "w")).where((F.col("at") % every == 0) & F.col(f"w.w{SHINGLE - 1}").isNotNull())
     hashes = [F.when(F.col(f"w.w{k + SHINGLE - 1}").isNotNull(), F.xxhash64(*[F.col(f"w.w{k + j}") for j in range(SHINGLE)])) for k in range(WINDOW)]
-    each = each.select(*[c for c in each.columns if c not in ("at", "w")], *[h.alias(f"h{k}") for k, h in enumerate(hashes)])
+    each = each.select(*rest, *[h.alias(f"h{k}") for k, h in enumerate(hashes)])
 
     def least(b: int) -> Column:
         return F.least(*[F.when(F.col(f"h{k}").isNotNull(), F.xxhash64(F.lit(b), F.col(f"h{k}"))) for k in range(WINDOW)])
 
-    rest = [c for c in each.columns if c not in {f"h{k}" for k in range(WINDOW)}]
     return each.select(*rest, F.posexplode(F.array(*[least(b) for b in range(BANDS)])).alias("band", "value"))
 
 
