@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import stored
 from plantlens.llm.components import components
-from plantlens.llm.sized import small_or_shuffled
+from plantlens.llm.sized import maybe_in, small_or_shuffled
 from plantlens.llm.wordhash import Words, grams, mix, words
 
 SIZE = 4
@@ -94,18 +94,20 @@ _MEASURED = ["doc_id", "n_shingles", "node", "node2", "bucket", "seen"]
 
 def _heads(size: int, percent: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = seen.value
+        common, done = seen.value, set()
         for batch in batches:
             for part in words(batch.column("text"), lower=True):
                 kept, nodes, totals, places = [], [], [], []
                 for s in _sets(part, size):
                     n = len(s)
-                    if not n:
+                    node = _signature(s)[0] if n else None
+                    if not n or node in done:
                         continue
+                    done.add(node)
                     order = np.lexsort((mix(s), common[(s % np.uint64(COUNTERS)).astype(np.int64)]))
                     m = n - -(-percent * n // 100) + 1
                     kept.append(s[order[:m]])
-                    nodes.append(np.full(m, _signature(s)[0], np.int64))
+                    nodes.append(np.full(m, node, np.int64))
                     totals.append(np.full(m, n, np.int32))
                     places.append(np.arange(m, dtype=np.int32))
                 if kept:
@@ -163,7 +165,8 @@ def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
                                      "shingle bigint, node bigint, n int, i int"), "heads")
     hubs = entries.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.max("node").alias("most"), F.min("node").alias("least"))
     hubs = stored(hubs.where("most <> least").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
-    shared = stored(entries.join(small_or_shuffled(hubs.select("shingle")), "shingle", "left_semi").distinct(), "shared")
+    common_ones = hubs.select("shingle")
+    shared = stored(maybe_in(entries, "shingle", common_ones).join(small_or_shuffled(common_ones), "shingle", "left_semi").distinct(), "shared")
     stars = shared.alias("x").join(hubs.alias("h"), "shingle").where(f"x.node <> h.node AND {_bound('x', 'h', percent)}")
     pairs = stored(stars.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
     links = stored(_verified(docs, classes, pairs, size, percent), "links")
@@ -176,9 +179,10 @@ def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     rest = member.alias("x").join(member.alias("y"), "shingle").where(f"x.component < y.component AND {_bound('x', 'y', percent)}")
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_verified(docs, classes, rest, size, percent), "links")
-
-    groups = components(links.union(more))
+    if rest.limit(1).count():
+        more = stored(_verified(docs, classes, rest, size, percent), "links")
+        if more.limit(1).count():
+            groups = components(links.union(more))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "component").select("node", "node2", "component_id")
