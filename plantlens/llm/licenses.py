@@ -85,10 +85,10 @@ def _bands(df: DataFrame, every: int) -> DataFrame:
     hashes = [F.when(F.col(f"w.w{k + SHINGLE - 1}").isNotNull(), F.xxhash64(*[F.col(f"w.w{k + j}") for j in range(SHINGLE)])) for k in range(WINDOW)]
     each = each.select(*rest, *[h.alias(f"h{k}") for k, h in enumerate(hashes)])
 
-    def least(b: int) -> Column:
-        return F.least(*[F.when(F.col(f"h{k}").isNotNull(), F.xxhash64(F.lit(b), F.col(f"h{k}"))) for k in range(WINDOW)])
-
-    return each.select(*rest, F.posexplode(F.array(*[least(b) for b in range(BANDS)])).alias("band", "value"))
+    # the band is a column and not eight expressions: a method that grows too long is never compiled by the JVM
+    banded = each.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(BANDS)])))
+    value = F.least(*[F.when(F.col(f"h{k}").isNotNull(), F.xxhash64("band", f"h{k}")) for k in range(WINDOW)])
+    return banded.select(*rest, "band", value.alias("value"))
 
 
 def template_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
