@@ -15,6 +15,7 @@ never trained on; extra columns are kept by `label`, except those whose names it
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ LEAST_SCRIPT_SHARE = 0.01
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
-# First and last code points of scripts.
+# First and last code points of scripts. All other scripts follow from the names of their letters.
 SCRIPTS = [
     ("Latin", 0x41, 0x5A), ("Latin", 0x61, 0x7A), ("Latin", 0xC0, 0x24F), ("Latin", 0x1E00, 0x1EFF),
     ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Hebrew", 0x590, 0x5FF),
@@ -43,24 +44,45 @@ SCRIPTS = [
     ("Thai", 0xE00, 0xE7F), ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF), ("Kana", 0x3040, 0x30FF),
     ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
 ]
-SCRIPT_NAMES = list(dict.fromkeys(s for s, _, _ in SCRIPTS))
-
-
-def _script_table() -> np.ndarray:
-    """Script number (from 1; 0 is none) by the first two bytes of a character."""
-    table = np.zeros(1 << 16, np.uint8)
+LISTED = list(dict.fromkeys(s for s, _, _ in SCRIPTS))
+# Letters and marks outside these ranges have the script that their character names begin with.
+LAST_NAMED = 0x34000
+NAME_OF = {"GREEK": "Greek", "CYRILLIC": "Cyrillic", "LATIN": "Latin", "FULLWIDTH": "Latin", "ARMENIAN": "Armenian", "HEBREW": "Hebrew",
+           "ARABIC": "Arabic", "DEVANAGARI": "Devanagari", "BENGALI": "Bengali", "TAMIL": "Tamil", "THAI": "Thai", "GEORGIAN": "Georgian",
+           "HANGUL": "Hangul", "HIRAGANA": "Kana", "KATAKANA": "Kana", "KATAKANA-HIRAGANA": "Kana", "HENTAIGANA": "Kana", "CJK": "Han"}
+# Names of signs that no script has for itself, and first words that are not enough.
+NO_SCRIPT = frozenset("""ALEF ANGSTROM BET BLACK-LETTER CARON COMBINING DALET DOUBLE-STRUCK EULER FEMININE GIMEL HALFWIDTH IDEOGRAPHIC
+    INFORMATION KELVIN MASCULINE MATHEMATICAL MICRO MODIFIER MUSICAL OHM PLANCK ROMAN SCRIPT SUPERSCRIPT TURNED VARIATION VEDIC
+    VERTICAL""".split())
+TWO_WORDS = frozenset(["INSCRIPTIONAL", "LINEAR", "NEW", "OLD", "TAI"])
+
+
+def _named_script(code: int) -> str:
+    """The script in the name of a letter or mark; empty for other characters and for signs of all scripts."""
+    c = chr(code)
+    if unicodedata.category(c)[0] not in "LM":
+        return ""
+    name = unicodedata.name(c, "").split()
+    if name[:1] == ["HALFWIDTH"]:
+        name = name[1:]
+    if not name or name[0] in NO_SCRIPT:
+        return ""
+    return NAME_OF.get(name[0], " ".join(name[:2 if name[0] in TWO_WORDS else 1]))
+
+
+def _script_table() -> tuple[list[str], np.ndarray]:
+    """Names of scripts, and script number (from 1; 0 is none) by code point."""
+    names, table = {s: i + 1 for i, s in enumerate(LISTED)}, np.zeros(1 << 21, np.uint8)
+    for code in range(0x80, LAST_NAMED):
+        if name := _named_script(code):
+            table[code] = names.setdefault(name, len(names) + 1)
     for name, first, last in SCRIPTS:
-        number = SCRIPT_NAMES.index(name) + 1
-        for code in range(first, last + 1, 1 if last < 0x800 else 16):
-            b = chr(code).encode()
-            if len(b) == 1:
-                table[b[0] * 256:b[0] * 256 + 256] = number
-            else:
-                table[b[0] * 256 + b[1]] = number
-    return table
+        table[first:last + 1] = names[name]
+    return list(names), table
 
 
-_SCRIPT = _script_table()
+SCRIPT_NAMES, _SCRIPT = _script_table()
+_ASCII_SCRIPT = np.where(np.arange(256) < 128, _SCRIPT[:256], 0).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
@@ -84,9 +106,15 @@ def _trigrams(part: Words) -> np.ndarray:
 
 def _scripts(part: Words) -> np.ndarray:
     """For each byte the script of the character that starts there."""
-    second = np.zeros(len(part.data), np.uint32)
-    second[:-1] = part.data[1:]
-    return _SCRIPT[part.data.astype(np.uint32) * 256 + second]
+    found = _ASCII_SCRIPT[part.data]
+    at = np.flatnonzero(part.data >= 0xC0)
+    if len(at):
+        data = np.append(part.data, np.zeros(3, np.uint8)).astype(np.uint32)
+        lead, b, c, d = data[at], data[at + 1] & 63, data[at + 2] & 63, data[at + 3] & 63
+        code = np.where(lead < 0xE0, (lead & 31) << 6 | b, np.where(
+            lead < 0xF0, (lead & 15) << 12 | b << 6 | c, (lead & 7) << 18 | b << 12 | c << 6 | d))
+        found[at] = _SCRIPT[code]
+    return found
 
 
 def _spread(part: Words) -> np.ndarray:
