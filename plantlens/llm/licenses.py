@@ -18,6 +18,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import importlib.resources
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +42,7 @@ class Template:
     text: str
 
 
-# Public license notices and the openings of license texts.
+# Public license notices and the openings of license texts; further notices and whole texts are in the file.
 TEMPLATES = [
     Template("apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0"),
     Template("apache-2.0-header", "permissive",
@@ -62,6 +64,7 @@ TEMPLATES = [
     Template("cc-by-4.0", "permissive", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     Template("cc-by-nc-4.0", "noncommercial", "Licensed under CC BY-NC 4.0"),
 ]
+TEMPLATES += [Template(**t) for t in json.loads(importlib.resources.files("plantlens.llm").joinpath("license_templates.json").read_text("utf-8"))]
 
 
 def _words(text: Column) -> Column:
@@ -69,9 +72,11 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    """Distinct shingles as text."""
-    places = F.sequence(F.lit(1), F.size(words) - SHINGLE + 1)
-    return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))))
+    """Distinct shingles as text. The words are worked out once, not for each shingle."""
+    def joined(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(w) - SHINGLE + 1)
+        return F.when(F.size(w) >= SHINGLE, F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
+    return let(words, joined)
 
 
 def _bands(df: DataFrame, every: int) -> DataFrame:
@@ -91,33 +96,33 @@ def _bands(df: DataFrame, every: int) -> DataFrame:
     return banded.select(*rest, "band", value.alias("value"))
 
 
-def template_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """band, value and name of all windows of the templates: a table bounded by the list."""
-    rows = spark.createDataFrame([(t.name, t.text) for t in templates], "name string, text string")
-    return _bands(rows.select("name", _words(F.col("text")).alias("words")), 1).distinct()
+def template_table(spark: SparkSession, templates: list[Template]) -> tuple[DataFrame, DataFrame]:
+    """band, value and name of all windows of the templates; and name, family and shingles of each. Both are bounded by the list."""
+    rows = spark.createDataFrame([(t.name, t.family, t.text) for t in templates], "name string, family string, text string")
+    rows = rows.select("name", "family", _words(F.col("text")).alias("words"))
+    return (stored(_bands(rows.select("name", "words"), 1).distinct(), "template-bands"),
+            stored(rows.select("name", "family", _shingles(F.col("words")).alias("wanted")).where("wanted IS NOT NULL"), "templates"))
 
 
 def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """One row per document: doc_id, n_licenses, licenses (names in order, comma-joined), families and best_contained."""
-    templates = templates or TEMPLATES
     docs = docs.select("doc_id", "text")
-    table = F.broadcast(template_table(docs.sparkSession, templates))
-    met = _bands(docs.select("doc_id", _words(text_of()).alias("words")), 2).join(table, ["band", "value"])
+    bands, wanted = template_table(docs.sparkSession, templates or TEMPLATES)
+    met = _bands(docs.select("doc_id", _words(text_of()).alias("words")), 2).join(small_or_shuffled(bands), ["band", "value"])
     candidates = stored(met.groupBy("doc_id").agg(F.collect_set("name").alias("candidates")), "candidates")
     listed = small_or_shuffled(candidates.withColumnRenamed("doc_id", "of_doc"))
-    shingles = F.create_map(*[x for t in templates for x in (F.lit(t.name), _shingles(_words(F.lit(t.text))))])
-    family = F.create_map(*[x for t in templates for x in (F.lit(t.name), F.lit(t.family))])
-
-    def shares(own: Column) -> Column:
-        def share(name: Column) -> Column:
-            wanted = F.element_at(shingles, name)
-            return F.struct(name.alias("name"), (F.size(F.array_intersect(wanted, own)) / F.size(wanted)).alias("share"))
-        return F.filter(F.transform(F.array_sort("candidates"), share), lambda s: s["share"] >= LEAST_CONTAINED)
-
-    nothing = F.array().cast("array<struct<name:string,share:double>>")
-    found = F.when(F.col("candidates").isNotNull(), let(F.coalesce(_shingles(_words(text_of())), F.array().cast("array<string>")), shares)).otherwise(nothing)
-    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").withColumn("found", found).select(
-        "doc_id", F.size("found").cast("long").alias("n_licenses"),
-        F.array_join(F.transform("found", lambda s: s["name"]), ",").alias("licenses"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda s: F.element_at(family, s["name"])))), ",").alias("families"),
-        F.array_max(F.transform("found", lambda s: s["share"])).alias("best_contained"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc"))
+
+    # a row's number stands for it, since doc_id may repeat; it is stored with the row
+    judged = stored(docs.join(listed, same).select("doc_id", "text", "candidates").withColumn("row", F.monotonically_increasing_id()), "judged")
+    each = judged.select("row", _shingles(_words(text_of())).alias("own"), F.explode("candidates").alias("name"))
+    shares = each.join(small_or_shuffled(wanted), "name").select(
+        "row", "name", "family", (F.size(F.array_intersect("wanted", "own")) / F.size("wanted")).alias("share"))
+    found = stored(shares.where(F.col("share") >= LEAST_CONTAINED).groupBy("row").agg(
+        F.array_sort(F.collect_list("name")).alias("names"), F.array_sort(F.collect_set("family")).alias("kinds"), F.max("share").alias("best")), "found")
+    with_some = judged.select("doc_id", "row").join(small_or_shuffled(found), "row", "left").select("doc_id", "names", "kinds", "best")
+    without = docs.join(listed, same, "left_anti").select("doc_id", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("names", "kinds", "best")])
+    return with_some.union(without).select(
+        "doc_id", F.when(F.col("names").isNull(), 0).otherwise(F.size("names")).cast("long").alias("n_licenses"),
+        F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"),
+        F.coalesce(F.array_join("kinds", ","), F.lit("")).alias("families"), F.col("best").alias("best_contained"))
