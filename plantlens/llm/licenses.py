@@ -5,10 +5,10 @@ shingles, one at every second word, get `BANDS` MinHash values; each is a band o
 every word, have theirs in a table whose size is that of the template list. Windows that share a band with a template
 make the document a candidate for it; the exact share of the template's shingles that the text contains decides.
 
-A shingle stands in two windows. A text that contains a template of three or more shingles has a window whose Jaccard
-similarity to a window of the template is at least 3/4, so a band fails to meet with probability 1/4 at most and all of
-them with 0.25 ** 8 = 0.00002; for a template of one shingle the two windows have 1/4 and miss it with about
-0.75 ** 16 = 0.01. Longer templates have a chance for each pair of neighbouring windows. Only SQL functions are used; a
+A template of up to four shingles is contained only if all of them are; its first shingle's hash is looked up among all
+shingles of the texts by the same join, so none is missed. A text that contains five or more neighbouring shingles of a
+template has a window that equals one of the template's, which meets in every band. What can be missed is a text that has
+only shorter pieces of a template. Only SQL functions are used; a
 text meets no other text, and the rows that are shuffled are candidates.
 
 Cases: a null text has no words; texts of fewer than five words match nothing; repeated rows are judged one by one; rows
@@ -32,6 +32,9 @@ from plantlens.llm.words import let, text_of
 SHINGLE = 5
 WINDOW = 4
 BANDS = 8
+# The band of single shingles; templates of up to SHORT shingles are contained only as a whole and have one row there.
+EXACT = BANDS
+SHORT = 4
 LEAST_CONTAINED = 0.8
 
 
@@ -80,7 +83,8 @@ def _shingles(words: Column) -> Column:
 
 
 def _bands(df: DataFrame, every: int) -> DataFrame:
-    """A row for each band of each window of `words`; the other columns are kept."""
+    """A row for each band of each window of `words`, and one with the band EXACT for each of its first two shingles, which
+    with a window at every second word are all shingles; the other columns are kept."""
     last = SHINGLE + WINDOW - 1
     fields = ",".join(f"w{k}:bigint" for k in range(last))
     aside = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.arrays_zip(
@@ -91,16 +95,20 @@ def _bands(df: DataFrame, every: int) -> DataFrame:
     each = each.select(*rest, *[h.alias(f"h{k}") for k, h in enumerate(hashes)])
 
     # the band is a column and not eight expressions: a method that grows too long is never compiled by the JVM
-    banded = each.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(BANDS)])))
+    banded = each.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(EXACT + 2)])))
     value = F.least(*[F.when(F.col(f"h{k}").isNotNull(), F.xxhash64("band", f"h{k}")) for k in range(WINDOW)])
-    return banded.select(*rest, "band", value.alias("value"))
+    value = F.when(F.col("band") < EXACT, value).when(F.col("band") == EXACT, F.col("h0")).otherwise(F.col("h1"))
+    return banded.select(*rest, F.least("band", F.lit(EXACT)).alias("band"), value.alias("value"))
 
 
 def template_table(spark: SparkSession, templates: list[Template]) -> tuple[DataFrame, DataFrame]:
     """band, value and name of all windows of the templates; and name, family and shingles of each. Both are bounded by the list."""
     rows = spark.createDataFrame([(t.name, t.family, t.text) for t in templates], "name string, family string, text string")
     rows = rows.select("name", "family", _words(F.col("text")).alias("words"))
-    return (stored(_bands(rows.select("name", "words"), 1).distinct(), "template-bands"),
+    windows = _bands(rows.select("name", "words"), 1).where(F.col("band") < EXACT).distinct()
+    short = rows.where(F.size("words").between(SHINGLE, SHINGLE + SHORT - 1)).select(
+        F.lit(EXACT).alias("band"), F.xxhash64(*[F.xxhash64(F.get("words", F.lit(k))) for k in range(SHINGLE)]).alias("value"), "name")
+    return (stored(windows.select("band", "value", "name").union(short), "template-bands"),
             stored(rows.select("name", "family", _shingles(F.col("words")).alias("wanted")).where("wanted IS NOT NULL"), "templates"))
 
 

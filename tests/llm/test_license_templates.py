@@ -44,3 +44,11 @@ def test_rows_of_one_id_are_judged_alone(spark):
     docs = spark.createDataFrame([(1, text), (1, "other words"), (1, text), (None, text), (None, None), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_licenses) for r in licenses.scan(docs).collect())
     assert [(i, n > 0) for i, n in got] == [("1", False), ("1", True), ("1", True), ("2", False), ("None", False), ("None", True)]
+
+
+def test_no_short_template_is_missed(spark):
+    # one-shingle templates at the start of texts, where only one window has their shingle
+    own = [licenses.Template(f"t{i:03}", "own", f"a{i} b{i} c{i} d{i} e{i}") for i in range(300)]
+    docs = table(spark, [t.text + f" tail{i} of that text {i} goes on" for i, t in enumerate(own)])
+    got = [r.licenses for r in licenses.scan(docs, own).orderBy("doc_id").collect()]
+    assert got == [t.name for t in own]
