@@ -5,7 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import language, licenses, mixing, near_vectors, ngram_join, personal, pieces, quality, substrings, token_records
+from plantlens.llm import (
+    language,
+    licenses,
+    mixing,
+    near_vectors,
+    ngram_join,
+    oracles,
+    personal,
+    pieces,
+    prefix_trie,
+    quality,
+    resampling,
+    substrings,
+    token_counts,
+    token_records,
+)
 from plantlens.queries.base import Query, table
 
 
@@ -50,6 +65,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = [
     Query("op1_mixing", op1_mixing),
     Query("op2_near_vectors", op2_near_vectors),
@@ -61,4 +88,7 @@ QUERIES = [
     Query("op8_quality", op8_quality),
     Query("op9_licenses", op9_licenses),
     Query("op10_substrings", op10_substrings),
+    Query("op11_prefix_trie", op11_prefix_trie, oracles.PREFIX_TRIE),
+    Query("op12_resampling", op12_resampling, oracles.RESAMPLING),
+    Query("op13_token_counts", op13_token_counts),
 ]
