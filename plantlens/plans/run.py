@@ -174,6 +174,6 @@ def _run_series(df, key, task, params, c: RunConfig) -> ModelResult:
         chart = charts.cusum_chart(rows, c.target, params["k"], params["h"], c.train_ratio, **placed)
         return ModelResult(key, task, params, charts.cusum_report(chart, c.series_cols), chart, notes=notes)
     args = (rows, c.target, params["order"], params.get("seasonal_order"), params["trend"], c.train_ratio)
-    predicted, fit = forecast.forecast_ar(*args, **placed), forecast.fit_ar(*args, **placed)
+    predicted, fit = forecast.fit_and_forecast(*args, **placed)
     return ModelResult(key, task, params, forecast.forecast_metrics(predicted, fit, c.series_cols), predicted,
                        {"parameters": fit}, notes=notes)

@@ -318,10 +318,23 @@ def q_fit_ar(spark, d):
                             "s2", "aic"), 5)
 
 
+def _trend(trend):
+    def run(spark, d):
+        t = forecast.fit_ar(table(spark, d, "events"), "value", [1, 0, 0], trend=trend, **BY)
+        names = ["ar1", "const", "drift"] if trend == "ct" else ["ar1", "drift"]
+        return rounded(t.select("event_type", "n", *[F.get("coef", F.lit(i)).alias(x) for i, x in enumerate(names)], "s2", "loglik"), 7)
+    return run
+
+
+def q_forecast_trend(spark, d):
+    """Forecasts with a line in time, up to a fixed horizon in SQL."""
+    t = forecast.forecast_ar(table(spark, d, "events"), "value", [0, 0, 0], trend="ct", **BY)
+    return rounded(t.select("event_type", "event_id", "dataset", "actual", "predicted"), 5)
+
+
 def q_forecast_arma(spark, d):
-    t = table(spark, d, "events")
-    fit = forecast.fit_ar(t, "value", [1, 1, 1], **BY)
-    return rounded(forecast.forecast_metrics(forecast.forecast_ar(t, "value", [1, 1, 1], **BY), fit, ["event_type"]), 5)
+    predicted, fit = forecast.fit_and_forecast(table(spark, d, "events"), "value", [1, 1, 1], **BY)
+    return rounded(forecast.forecast_metrics(predicted, fit, ["event_type"]), 5)
 
 
 def q_sarima(spark, d):
@@ -376,6 +389,32 @@ g AS (SELECT event_type, count(*) AS n, sum(w1 * w1) AS a, sum(w1 * w2) AS b, su
 h AS (SELECT *, (u * c - v * b) / (a * c - b * b) AS ar1, (v * a - u * b) / (a * c - b * b) AS ar2 FROM g),
 f AS (SELECT *, (y - ar1 * u - ar2 * v) / n AS s2 FROM h)"""
 
+_TRAINED = """e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS m, lag(value) OVER w AS prev
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+t AS (SELECT *, CAST(rn AS DOUBLE) / round_even(m * 0.8, 0) AS u FROM e WHERE rn <= round_even(m * 0.8, 0) AND prev IS NOT NULL)"""
+
+# the lagged value and time, without a constant and with one (both measured from their means)
+_TREND = f"""WITH {_TRAINED},
+g AS (SELECT event_type, count(*) AS n, max(round_even(m * 0.8, 0)) AS size, sum(prev * prev) AS a, sum(prev * u) AS b, sum(u * u) AS c,
+  sum(prev * value) AS p, sum(u * value) AS q, sum(value * value) AS y FROM t GROUP BY event_type),
+f AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS ar1, (q * a - p * b) / (a * c - b * b) AS slope FROM g),
+s AS (SELECT *, (y - ar1 * p - slope * q) / n AS s2 FROM f)
+SELECT event_type, n, round(ar1, 7) AS ar1, round(slope / size, 7) AS drift, round(s2, 7) AS s2, round(-0.5 * n * (ln(s2) + 1 + ln(2 * pi())), 7) AS loglik FROM s"""
+_CONST_TREND = f"""WITH {_TRAINED},
+d AS (SELECT *, prev - avg(prev) OVER k AS x, u - avg(u) OVER k AS z, value - avg(value) OVER k AS v FROM t WINDOW k AS (PARTITION BY event_type)),
+g AS (SELECT event_type, count(*) AS n, max(round_even(m * 0.8, 0)) AS size, sum(x * x) AS a, sum(x * z) AS b, sum(z * z) AS c, sum(x * v) AS p, sum(z * v) AS q,
+  sum(v * v) AS y, avg(prev) AS mx, avg(u) AS mz, avg(value) AS mv FROM d GROUP BY event_type),
+f AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS ar1, (q * a - p * b) / (a * c - b * b) AS slope FROM g),
+s AS (SELECT *, (y - ar1 * p - slope * q) / n AS s2 FROM f)
+SELECT event_type, n, round(ar1, 7) AS ar1, round(mv - ar1 * mx - slope * mz, 7) AS const, round(slope / size, 7) AS drift, round(s2, 7) AS s2,
+  round(-0.5 * n * (ln(s2) + 1 + ln(2 * pi())), 7) AS loglik FROM s"""
+_LINE_IN_TIME = """WITH e AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn,
+  count(*) OVER (PARTITION BY event_type) AS m FROM events),
+x AS (SELECT *, rn <= round_even(m * 0.8, 0) AS train FROM e),
+c AS (SELECT event_type, regr_slope(value, rn) AS b, regr_intercept(value, rn) AS a FROM x WHERE train GROUP BY 1)
+SELECT x.event_type, event_id, CASE WHEN train THEN 'train' ELSE 'test' END AS dataset, round(value, 5) AS actual, round(a + b * rn, 5) AS predicted
+FROM x JOIN c ON c.event_type = x.event_type"""
+
 _FORECAST = """WITH RECURSIVE e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, lag(value) OVER w AS prev,
   count(*) OVER (PARTITION BY event_type) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 x AS (SELECT *, rn <= round_even(n * 0.8, 0) AS train FROM e),
@@ -465,6 +504,9 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("forecast_ar", q_forecast, _FORECAST),
     Query("fit_ar", q_fit_ar, f"WITH {_DIFF} SELECT event_type, n, round(ar1, 5) AS ar1, round(ar2, 5) AS ar2, round(s2, 5) AS s2, "
           "round(n * ln(s2) + 6, 5) AS aic FROM f"),
+    Query("fit_ar_trend", _trend("t"), _TREND),
+    Query("fit_ar_const_trend", _trend("ct"), _CONST_TREND),
+    Query("forecast_trend", q_forecast_trend, _LINE_IN_TIME),
     Query("forecast_arma", q_forecast_arma),
     Query("fit_sarima", q_sarima),
     Query("suggest_ar_order", q_suggest_order),
