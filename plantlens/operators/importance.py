@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import OneVsRestModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import as_number, col
+from plantlens.operators.boosting import Boosting
 from plantlens.operators.evaluate import macro_auc, regression_metrics
 from plantlens.operators.identity import DataError
 from plantlens.operators.ordered import number_rows
@@ -39,11 +39,9 @@ def coefficient_importance(spark: SparkSession, fitted: Fitted) -> DataFrame:
 
 
 def tree_importance(spark: SparkSession, fitted: Fitted) -> DataFrame:
-    """Impurity gain per slot (mean over the one-vs-rest models of a multi-class boosting)."""
-    if isinstance(fitted.stage, OneVsRestModel):
-        gain = np.mean([m.featureImportances.toArray() for m in fitted.stage.models], axis=0)
-    else:
-        gain = fitted.stage.featureImportances.toArray()
+    """Share of each slot in the impurity gain, or in the gain of a boosting's loss."""
+    boosted = isinstance(fitted.stage, Boosting)
+    gain = fitted.stage.importances() if boosted else fitted.stage.featureImportances.toArray()
     return _table(spark, fitted.encoder.slots, gain, "gain").orderBy(F.col("gain").desc(), "feature")
 
 
@@ -108,12 +106,31 @@ def permutation_importance(fitted: Fitted, rows: DataFrame, id_col: str = "id",
             .orderBy(F.col("importance_mean").desc(), "feature"))
 
 
+def _boosted_nodes(spark: SparkSession, fitted: Fitted, max_depth: int, tree: int) -> DataFrame:
+    """Nodes of one tree of a boosting; trees are numbered round by round. A leaf's prediction is what it adds to the score."""
+    trees = [t for r in fitted.stage.rounds for t in r]
+    if not 0 <= tree < len(trees):
+        raise DataError(f"there are {len(trees)} trees")
+    t, rows, level = trees[tree], [], [0]
+    for depth in range(max_depth + 1):
+        for i in level:
+            inner = t.slot[i] >= 0
+            rows.append((int(i), depth, fitted.encoder.slots[t.slot[i]] if inner else None, float(t.threshold[i]) if inner else None,
+                         float(t.gain[i]) if inner else None, None, float(t.rows[i]), str(float(t.value[i])),
+                         int(t.left[i]) if inner else None, int(t.right[i]) if inner else None))
+        level = [c for i in level if t.slot[i] >= 0 for c in (t.left[i], t.right[i])]
+    return spark.createDataFrame(rows, "id int, depth int, feature string, threshold double, gain double, impurity double, rows double, "
+                                 "prediction string, left int, right int")
+
+
 def tree_nodes(spark: SparkSession, fitted: Fitted, path: str, max_depth: int = 3, tree: int = 0) -> DataFrame:
     """Nodes of a fitted tree down to a depth, read from the stored model.
 
     `path` is a folder every executor can reach; the model is written there.
     """
-    stage = fitted.stage.models[0] if isinstance(fitted.stage, OneVsRestModel) else fitted.stage
+    stage = fitted.stage
+    if isinstance(stage, Boosting):
+        return _boosted_nodes(spark, fitted, max_depth, tree)
     stage.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
     if "nodeData" in data.columns:

@@ -1,22 +1,23 @@
-"""Regression and classification on encoded features, fitted by Spark ML."""
+"""Regression and classification on encoded features, fitted by Spark ML; boosting by `boosting`."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import as_number, col
+from plantlens.functions.lineage import stored
+from plantlens.operators import boosting
+from plantlens.operators.boosting import Boosting
 from plantlens.operators.encode import FEATURES, Encoder, fit_encoder
 from plantlens.operators.evaluate import MAX_CLASSES, accuracy, macro_auc, regression_metrics
 from plantlens.operators.identity import DataError
@@ -39,27 +40,21 @@ REGRESSIONS = ("linear", "pls", "gbt_regression", "forest_regression")
 CLASSIFIERS = ("logistic", "gbt_classifier", "tree_classifier", "forest_classifier")
 
 
-def _depth(params: Mapping, leaves: bool = False) -> int:
-    """Depth limit; a number of leaves is turned into the depth that can hold them."""
+def _depth(params: Mapping) -> int:
     depth = params.get("max_depth")
-    if depth is None:
-        depth = math.ceil(math.log2(max(2, int(params.get("num_leaves", 31))))) if leaves else DEEPEST
-    return max(1, min(int(depth), DEEPEST))
+    return max(1, min(DEEPEST if depth is None else int(depth), DEEPEST))
 
 
 def _tree(params: Mapping, seed: int) -> dict:
     return {"minInstancesPerNode": max(1, int(params.get("min_samples_leaf", 1))), "seed": seed}
 
 
-def build_estimator(key: str, params: Mapping, seed: int, n_train: int, n_classes: int):
+def build_estimator(key: str, params: Mapping, seed: int, n_train: int):
     """The Spark ML estimator of a model key, reading FEATURES and LABEL."""
     cols = {"featuresCol": FEATURES, "labelCol": LABEL}
     if key == "linear":
         return LinearRegression(**cols, regParam=0.0, fitIntercept=bool(params.get("fit_intercept", True)),
                                 standardization=False)
-    if key == "gbt_regression":
-        return GBTRegressor(**cols, maxIter=int(params["n_estimators"]), stepSize=float(params["learning_rate"]),
-                            maxDepth=_depth(params, True), **_tree(params, seed))
     if key == "forest_regression":
         return RandomForestRegressor(**cols, numTrees=int(params["n_estimators"]), maxDepth=_depth(params),
                                      featureSubsetStrategy="all", **_tree(params, seed))
@@ -67,10 +62,6 @@ def build_estimator(key: str, params: Mapping, seed: int, n_train: int, n_classe
         # C weighs the summed loss, Spark the mean loss
         return LogisticRegression(**cols, maxIter=int(params.get("max_iter", 1000)), elasticNetParam=0.0,
                                   regParam=1.0 / (float(params["C"]) * n_train), standardization=False)
-    if key == "gbt_classifier":
-        gbt = GBTClassifier(**cols, maxIter=int(params["n_estimators"]), stepSize=float(params["learning_rate"]),
-                            maxDepth=_depth(params, True), **_tree(params, seed))
-        return gbt if n_classes == 2 else OneVsRest(classifier=gbt, **cols, parallelism=4)
     if key == "tree_classifier":
         return DecisionTreeClassifier(**cols, impurity=params.get("criterion", "entropy"), maxDepth=_depth(params),
                                       **_tree(params, seed))
@@ -103,13 +94,20 @@ class Fitted:
         return score_stage(self, self.encoder.transform(df))
 
     def pipeline(self) -> PipelineModel:
-        """Encoding and model in one storable pipeline (PLS has no Spark ML stage)."""
-        return PipelineModel([*self.encoder.model.stages, *([] if isinstance(self.stage, Pls) else [self.stage])])
+        """Encoding and model in one storable pipeline (PLS and boosting have no Spark ML stage)."""
+        return PipelineModel([*self.encoder.model.stages, *([] if isinstance(self.stage, (Pls, Boosting)) else [self.stage])])
 
 
 def score_stage(fitted: Fitted, encoded: DataFrame) -> DataFrame:
     if isinstance(fitted.stage, Pls):
         return pls_predict(encoded, fitted.stage).drop(FEATURES)
+    if isinstance(fitted.stage, Boosting):
+        found = fitted.stage.scores(F.col(FEATURES))
+        if fitted.task == "regression":
+            return encoded.withColumn("predicted", F.get(found, F.lit(0)) * fitted.y_scale + fitted.y_mean).drop(FEATURES)
+        labels = F.array(*[F.lit(c) for c in fitted.classes])
+        best = F.array_position("scores", F.array_max("scores")).cast("int")
+        return encoded.withColumn("scores", found).withColumn("predicted", F.element_at(labels, best)).drop(FEATURES)
     raw = fitted.stage.transform(encoded)
     scratch = [FEATURES, "prediction", "rawPrediction", "probability"]
     if fitted.task == "regression":
@@ -139,6 +137,11 @@ def check_labels(df: DataFrame, target: str, classes: Sequence[str]) -> None:
         raise DataError(f"labels not seen in training: {sorted(r['c'] for r in unseen)}")
 
 
+def _boosted(rows: DataFrame, params: Mapping, n_classes: int = 0) -> Boosting:
+    return boosting.fit_boosting(rows, FEATURES, LABEL, n_classes, int(params["n_estimators"]), float(params["learning_rate"]),
+                                 int(params["num_leaves"]), int(params.get("min_samples_leaf", boosting.LEAST_ROWS)))
+
+
 def _fit(df: DataFrame, train: DataFrame, key: str, features: tuple[str, ...], target: str, used: dict, seed: int,
          scale: bool) -> Fitted:
     encoder = fit_encoder(train, features, scale)
@@ -150,16 +153,19 @@ def _fit(df: DataFrame, train: DataFrame, key: str, features: tuple[str, ...], t
         if key == "pls":
             fitted_stage = fit_pls(encoded.withColumn(LABEL, y), LABEL, FEATURES, int(used["n_components"]), encoder.slots)
         else:
-            rows = encoded.withColumn(LABEL, (y - m) / s)
-            fitted_stage = build_estimator(key, used, seed, 0, 0).fit(rows.select(FEATURES, LABEL))
+            rows = encoded.withColumn(LABEL, (y - m) / s).select(FEATURES, LABEL)
+            fitted_stage = _boosted(rows, used) if key == "gbt_regression" else build_estimator(key, used, seed, 0).fit(rows)
         out = Fitted(key, "regression", used, tuple(features), target, encoder, fitted_stage, (), m, s)
     else:
         classes = classes_of(train, target)
         check_labels(df, target, classes)
         indexed = StringIndexerModel.from_labels(classes, inputCol="_text", outputCol=LABEL)
         rows = indexed.transform(encoded.withColumn("_text", col(target).cast("string"))).select(FEATURES, LABEL)
-        est = build_estimator(key, used, seed, train.count() if key == "logistic" else 0, len(classes))
-        out = Fitted(key, "classification", used, tuple(features), target, encoder, est.fit(rows), tuple(classes))
+        if key == "gbt_classifier":
+            fitted_stage = _boosted(rows, used, len(classes))
+        else:
+            fitted_stage = build_estimator(key, used, seed, train.count() if key == "logistic" else 0).fit(rows)
+        out = Fitted(key, "classification", used, tuple(features), target, encoder, fitted_stage, tuple(classes))
     return out
 
 
@@ -189,8 +195,10 @@ def metrics_of(fitted: Fitted) -> DataFrame:
     p = fitted.predictions
     if fitted.task == "regression":
         return regression_metrics(p.withColumn("_y", as_number(fitted.target)), "_y", "predicted")
-    acc = accuracy(p.withColumn("_y", col(fitted.target).cast("string")), "_y", "predicted")
-    area = macro_auc(p.select("dataset", col(fitted.target).alias("_y"), "scores"), "scores", "_y", fitted.classes, ["dataset"])
+    # the measures read their rows several times; the model scores them once
+    p = stored(p.select("dataset", col(fitted.target).cast("string").alias("_y"), "predicted", "scores"), "scored")
+    acc = accuracy(p, "_y", "predicted")
+    area = macro_auc(p.select("dataset", "_y", "scores"), "scores", "_y", fitted.classes, ["dataset"])
     return acc.join(F.broadcast(area), "dataset", "left")
 
 

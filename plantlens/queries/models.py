@@ -209,7 +209,24 @@ def q_vip(spark, d):
 
 def q_gbt_regression(spark, d):
     return rounded(supervised.fit_supervised(_lines(spark, d), "gbt_regression", NUMBERS, "net",
-                                             {"n_estimators": 10, "learning_rate": 0.3}).metrics)
+                                             {"n_estimators": 50}).metrics)
+
+
+def _one_tree(spark, d):
+    return supervised.fit_supervised(_lines(spark, d), "gbt_regression", ["l_quantity", "l_discount", "l_tax"], "net",
+                                     {"n_estimators": 1, "learning_rate": 1.0, "num_leaves": 4})
+
+
+def q_boosted_tree(spark, d):
+    """One tree of four leaves at full rate: rows and means of its leaves."""
+    p = _one_tree(spark, d).predictions
+    return p.groupBy(F.round("predicted", 6).alias("predicted"), "dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_boosted_nodes(spark, d):
+    """Where the tree's splits are and how many rows they part."""
+    t = importance.tree_nodes(spark, _one_tree(spark, d), "")
+    return t.filter("feature is not null").select("feature", F.col("rows").cast("bigint").alias("n"))
 
 
 def q_forest_regression(spark, d):
@@ -389,6 +406,26 @@ g AS (SELECT event_type, count(*) AS n, sum(w1 * w1) AS a, sum(w1 * w2) AS b, su
 h AS (SELECT *, (u * c - v * b) / (a * c - b * b) AS ar1, (v * a - u * b) / (a * c - b * b) AS ar2 FROM g),
 f AS (SELECT *, (y - ar1 * u - ar2 * v) / n AS s2 FROM h)"""
 
+def _split_sql(step: int) -> str:
+    """The best split of all leaves over all features and values, and the rows behind it."""
+    before = f"s{step - 1}"
+    return f"""
+u{step} AS (SELECT leaf, f, x, count(*) AS n, sum(net) AS y FROM (SELECT leaf, net, unnest(['l_quantity', 'l_discount', 'l_tax']) AS f,
+    unnest([l_quantity, l_discount, l_tax]) AS x FROM {before} WHERE is_train) GROUP BY ALL),
+c{step} AS (SELECT leaf, f, x, sum(n) OVER w AS nl, sum(y) OVER w AS yl, sum(n) OVER a AS n, sum(y) OVER a AS y FROM u{step}
+    WINDOW w AS (PARTITION BY leaf, f ORDER BY x), a AS (PARTITION BY leaf, f)),
+b{step} AS (SELECT leaf AS split_leaf, f, x, n FROM c{step} WHERE nl >= 20 AND n - nl >= 20
+    ORDER BY yl * yl / nl + (y - yl) * (y - yl) / (n - nl) - y * y / n DESC LIMIT 1),
+s{step} AS (SELECT s.* REPLACE (CASE WHEN leaf = split_leaf THEN leaf || CASE WHEN CASE f WHEN 'l_quantity' THEN l_quantity
+    WHEN 'l_discount' THEN l_discount ELSE l_tax END <= x THEN 'L' ELSE 'R' END ELSE leaf END AS leaf) FROM {before} s, b{step})"""
+
+
+_GROWN = (f"WITH {_L}, s0 AS (SELECT l_quantity, l_discount, l_tax, net, is_train, dataset, '' AS leaf FROM l),"
+          + ",".join(_split_sql(i) for i in (1, 2, 3)))
+_LEAVES = (f"{_GROWN}, m AS (SELECT leaf, avg(net) AS predicted FROM s3 WHERE is_train GROUP BY leaf) "
+           "SELECT round(predicted, 6) AS predicted, dataset, count(*) AS n FROM s3 JOIN m USING (leaf) GROUP BY 1, 2")
+_SPLITS = f"{_GROWN} " + " UNION ALL ".join(f"SELECT f AS feature, CAST(n AS BIGINT) AS n FROM b{i}" for i in (1, 2, 3))
+
 _TRAINED = """e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS m, lag(value) OVER w AS prev
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 t AS (SELECT *, CAST(rn AS DOUBLE) / round_even(m * 0.8, 0) AS u FROM e WHERE rn <= round_even(m * 0.8, 0) AND prev IS NOT NULL)"""
@@ -484,9 +521,11 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("pls_regression", q_pls, f"WITH {_LINE} " + _metrics_sql("p", "net", "predicted", 5)),
     Query("vip_scores", q_vip),
     Query("gbt_regression", q_gbt_regression),
+    Query("boosted_tree", q_boosted_tree, _LEAVES),
+    Query("boosted_nodes", q_boosted_nodes, _SPLITS),
     Query("forest_regression", q_forest_regression),
     Query("logistic_regression", _classifier("logistic", max_iter=50)),
-    Query("gbt_classifier", _classifier("gbt_classifier", n_estimators=5, learning_rate=0.3)),
+    Query("gbt_classifier", _classifier("gbt_classifier", n_estimators=50)),
     Query("tree_classifier", _classifier("tree_classifier", max_depth=5)),
     Query("forest_classifier", _classifier("forest_classifier", n_estimators=10, max_depth=5)),
     Query("multi_class", q_multi_class),

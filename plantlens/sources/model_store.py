@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from plantlens.operators.boosting import Boosting
 from plantlens.operators.encode import Encoder
 from plantlens.operators.latent import Pls
 from plantlens.operators.supervised import Fitted
@@ -24,7 +25,10 @@ def save_model(fitted: Fitted, path: str, overwrite: bool = True) -> None:
 
     put(fitted.encoder.model, "encoder")
     is_pls = isinstance(fitted.stage, Pls)
-    if not is_pls:
+    if isinstance(fitted.stage, Boosting):
+        boosted = [(json.dumps(fitted.stage.told()),)]
+        spark.createDataFrame(boosted, "model string").coalesce(1).write.mode(mode).text(f"{path}/boosting")
+    elif not is_pls:
         put(PipelineModel([fitted.stage]), "model")
     e = fitted.encoder
     meta = {"key": fitted.key, "task": fitted.task, "params": fitted.params, "features": list(fitted.features),
@@ -50,6 +54,8 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
         p = meta["pls"]
         stage = Pls(np.array(p["mean"]), np.array(p["scale"]), p["y_mean"], p["y_scale"], np.array(p["weights"]),
                     np.array(p["coefficients"]), np.array(p["explained"]), tuple(p["slots"]))
+    elif meta["key"].startswith("gbt_"):
+        stage = Boosting.read(json.loads("".join(r["value"] for r in spark.read.text(f"{path}/boosting").collect())))
     else:
         stage = PipelineModel.load(f"{path}/model").stages[0]
     out = Fitted(meta["key"], meta["task"], meta["params"], tuple(meta["features"]), meta["target"], encoder, stage,
