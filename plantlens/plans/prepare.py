@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import col, numeric_columns
+from plantlens.operators.decompose import stl_decompose
 from plantlens.operators.features import add_ema, add_features, add_lags, add_sma, seasonal_decompose
 from plantlens.operators.splits import clamp_ratio, effective_split, split, standardize
 
@@ -22,6 +23,7 @@ class PrepareConfig:
     sma: Sequence[Mapping] = ()
     ema: Sequence[Mapping] = ()
     seasonal: Sequence[Mapping] = ()
+    stl: Sequence[Mapping] = ()
     split_method: str = "random"
     train_ratio: float = 0.8
     seed: int = 42
@@ -71,7 +73,8 @@ def prepare(df: DataFrame, config: PrepareConfig, for_model: bool = False) -> Pr
     work = note("lags", df, add_lags(df, config.lags, order, config.series_cols, warnings=warnings))
     work = note("features", work, add_features(work, config.features, warnings))
     for kind, step, items in (("sma", add_sma, config.sma), ("ema", add_ema, config.ema),
-                              ("seasonal", seasonal_decompose, () if for_model else config.seasonal)):
+                              ("seasonal", seasonal_decompose, () if for_model else config.seasonal),
+                              ("stl", stl_decompose, () if for_model else config.stl)):
         start = work
         for item in items:
             work = step(work, **item, **placed)

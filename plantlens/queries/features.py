@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantlens.operators import features
+from plantlens.operators import decompose, features
 from plantlens.plans.prepare import PrepareConfig, prepare
 from plantlens.queries.base import Query, rounded, table
 
@@ -72,6 +72,7 @@ def q_ema_blocks(spark, d):
     return _lean(t, "value_ema12")
 
 
+STL_PARTS = ["value_stl_p12_trend", "value_stl_p12_seasonal", "value_stl_p12_resid"]
 PARTS = ["value_season_p12_trend", "value_season_p12_seasonal", "value_season_p12_resid"]
 
 
@@ -85,6 +86,18 @@ def q_decompose_blocks(spark, d):
     return _lean(t, *[p.replace("12", "7") for p in PARTS])
 
 
+def q_stl_round(spark, d):
+    """One inner round, which SQL can follow."""
+    t = decompose.stl_decompose(_events(spark, d), "value", 12, order_cols=ORDER, series_cols=["event_type"], inner=1)
+    return _lean(t, *STL_PARTS)
+
+
+def q_stl(spark, d):
+    """All rounds with robustness weights, without series: the table is one long series."""
+    t = decompose.stl_decompose(_events(spark, d), "value", 12, robust=True, order_cols=ORDER, outer=3)
+    return _lean(t, *STL_PARTS)
+
+
 def q_prepare(spark, d):
     t = _events(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_id", "ts", "event_type", "value")
     cfg = PrepareConfig(lags={"value": [1]}, features=[("step", "value - value_lag1")],
@@ -145,6 +158,37 @@ SELECT ev.event_id, round(trend, 5) AS {p}_trend, round(seasonal, 5) + 0.0 AS {p
 FROM ev LEFT JOIN t ON t.event_id = ev.event_id LEFT JOIN c ON c.k = t.k AND c.phase = t.phase"""
 
 
+def _loess_sql(out: str, src: str, q: int, beyond: bool = False) -> str:
+    """Local regression of src (g, m, n, y) over the nearest q values, at its places and, if asked, one before and one behind."""
+    more = f" UNION ALL SELECT DISTINCT g, n, unnest([0, n + 1]) FROM {src}" if beyond else ""
+    u = "abs(b.m - x)"
+    return f"""{out}_p AS (SELECT g, n, m AS x FROM {src}{more}),
+{out}_w AS (SELECT *, CASE WHEN x < 1 THEN 1 WHEN x > n THEN greatest(1, n - {q - 1}) ELSE greatest(1, least(x - {(q - 1) // 2}, n - {q - 1})) END AS lo FROM {out}_p),
+{out}_h AS (SELECT *, least(n, lo + {q - 1}) AS hi, greatest(x - lo, least(n, lo + {q - 1}) - x) + greatest({q} - n, 0) // 2 AS h FROM {out}_w),
+{out}_j AS (SELECT p.g, x, p.n, b.m - x AS u, b.y, CASE WHEN {u} <= 0.001 * h THEN 1.0 WHEN {u} <= 0.999 * h THEN pow(1 - pow({u} / CAST(h AS DOUBLE), 3), 3)
+  ELSE 0.0 END AS w FROM {out}_h p JOIN {src} b ON b.g = p.g AND b.m BETWEEN lo AND hi),
+{out}_s AS (SELECT g, x, n, sum(w * u) / sum(w) AS a, sum(w * u * u) / sum(w) - pow(sum(w * u) / sum(w), 2) AS c, sum(w * y) / sum(w) AS v,
+  sum(w * u * y) / sum(w) AS z FROM {out}_j GROUP BY ALL),
+{out} AS (SELECT g, x AS m, n, CASE WHEN sqrt(greatest(c, 0)) > 0.001 * (n - 1) THEN v - a * (z - a * v) / c ELSE v END AS y FROM {out}_s)"""
+
+
+def _stl_round_sql(p: int = 12, seasonal: int = 7, trend: int = 23, low: int = 13) -> str:
+    ahead = lambda k: f"OVER (PARTITION BY g ORDER BY i ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING)"
+    return f"""WITH {_EV}, s AS (SELECT event_type AS g, event_id, CAST(value AS DOUBLE) AS y, row_number() OVER ({_W}) AS m,
+  count(*) OVER (PARTITION BY event_type) AS n FROM ev WHERE value IS NOT NULL),
+d AS (SELECT g AS k, (m - 1) % {p} AS ph, ((m - 1) % {p}) || ':' || g AS g, (m - 1) // {p} + 1 AS m, y FROM s),
+f AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM d), {_loess_sql('c', 'f', seasonal, True)},
+y0 AS (SELECT k AS g, (c.m - 1) * {p} + ph + 1 AS i, c.y FROM c JOIN (SELECT DISTINCT g, k, ph FROM d) t ON t.g = c.g),
+y1 AS (SELECT g, i, avg(y) {ahead(p - 1)} AS y FROM y0), y2 AS (SELECT g, i, avg(y) {ahead(p - 1)} AS y FROM y1),
+y3 AS (SELECT g, i + {p} AS m, avg(y) {ahead(2)} AS y FROM y2),
+lo AS (SELECT y3.g, y3.m, s.n, y3.y FROM y3 JOIN s ON s.g = y3.g AND s.m = y3.m), {_loess_sql('l', 'lo', low)},
+e AS (SELECT s.g, s.m, s.n, s.event_id, s.y AS value, y0.y - l.y AS season, s.y - y0.y + l.y AS y FROM s JOIN y0 ON y0.g = s.g AND y0.i = s.m
+  JOIN l ON l.g = s.g AND l.m = s.m), {_loess_sql('t', 'e', trend)}
+SELECT ev.event_id, round(t.y, 5) + 0.0 AS value_stl_p{p}_trend, round(season, 5) + 0.0 AS value_stl_p{p}_seasonal,
+  round(e.value - t.y - season, 5) + 0.0 AS value_stl_p{p}_resid
+FROM ev LEFT JOIN e ON e.event_id = ev.event_id LEFT JOIN t ON t.g = e.g AND t.m = e.m"""
+
+
 QUERIES = [
     Query("add_lags", q_lags, f"WITH {_EV} SELECT event_id, lag(value, 1) OVER w AS value_lag1, lag(value, 3) OVER w "
           f"AS value_lag3, lag(event_id, 2) OVER w AS event_id_lag2 FROM ev WINDOW w AS ({_W})"),
@@ -167,6 +211,8 @@ QUERIES = [
     Query("add_ema", q_ema, _ema_sql(5, 2, False, True)),
     Query("add_ema_adjust", q_ema_adjust, _ema_sql(9, 1, True, True)),
     Query("add_ema_blocks", q_ema_blocks, _ema_sql(12, 1, False, False)),
+    Query("stl_round", q_stl_round, _stl_round_sql()),
+    Query("stl_robust", q_stl),
     Query("seasonal_decompose", q_decompose, _season_sql(12, True)),
     Query("seasonal_decompose_blocks", q_decompose_blocks, _season_sql(7, False)),
     Query("prepare", q_prepare, f"""WITH {_EV}, a AS (SELECT *, value - lag(value) OVER w AS step, row_number() OVER w AS rn,
