@@ -377,8 +377,12 @@ def fit_pls(train: DataFrame, target: str, features: str = "features", k: int =
 
     both = VectorAssembler(inputCols=["_f", "_t"], outputCol="_v").transform(
         train.select(col(features).alias("_f"), col(target).cast("double").alias("_t")))
-    m = covariance(both, "_v")
-    sd = np.sqrt(np.diag(m.cov))
+    return pls_of(covariance(both, "_v"), k, slots)
+
+
+def pls_of(m: Moments, k: int, slots: Sequence[str] = ()) -> Pls:
+    """PLS from the moments of the columns with the target behind them."""
+    sd = np.sqrt(np.maximum(np.diag(m.cov), 0.0))
     scale = np.where(sd > 0, sd, 1.0)
     r = m.cov / np.outer(scale, scale) * (m.n - 1)
     xx, xy = r[:-1, :-1].copy(), r[:-1, -1].copy()

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import col
+from plantlens.operators.crossval import MOST_COLUMNS, read_columns, search_by_moments
 from plantlens.operators.identity import DataError
 from plantlens.operators.ordered import SERIES_BROADCAST_LIMIT, lay_out
 from plantlens.operators.splits import rank_threshold, shuffle_key
-from plantlens.operators.supervised import REGRESSIONS, fit_supervised
+from plantlens.operators.supervised import DEFAULTS, REGRESSIONS, fit_supervised
 
 # Candidate grids per model, random draws, and the workload notes.
 GRIDS: dict[str, dict[str, list]] = {
@@ -108,11 +109,13 @@ def assign_folds(train: DataFrame, folds: int, id_col: str = "id", label: str |
 
 def search(train: DataFrame, key: str, features: Sequence[str], target: str, grid: Mapping[str, Sequence] | None = None,
            folds: int = 5, method: str = "grid", id_col: str = "id", seed: int = 42, parallelism: int = 4,
-           ratio: float | None = 1.0, max_rows: int | None = None, base: Mapping | None = None) -> tuple[dict, DataFrame]:
+           ratio: float | None = 1.0, max_rows: int | None = None, base: Mapping | None = None,
+           fold_col: str | None = None) -> tuple[dict, DataFrame]:
     """Best parameters and a table of mean scores: RMSE for numbers, AUC for classes.
 
     The encoding is learned anew inside every fold, so nothing leaks from the rows
-    a candidate is judged on. Fits of different candidates and folds run side by side.
+    a candidate is judged on. Linear and PLS candidates are all scored from one pass of moments; fits of other candidates
+    and folds run side by side. `fold_col` names a column with folds 0, 1, ... to be used instead of new ones.
     """
     regression = key in REGRESSIONS
     grid = grid or GRIDS[key]
@@ -132,8 +135,12 @@ def search(train: DataFrame, key: str, features: Sequence[str], target: str, gri
         if smallest["c"] < 2 or smallest["m"] < 2:
             raise DataError("cross-validation needs two classes with two rows each")
         k = max(2, min(k, smallest["m"]))
-    rows = assign_folds(rows, k, id_col, label, seed).select(
-        *[col(c) for c in dict.fromkeys([id_col, *features, target])], "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    if fold_col:
+        k = int(rows.agg(F.max(col(fold_col))).first()[0]) + 1
+        rows = rows.withColumn("fold", col(fold_col).cast("int"))
+    else:
+        rows = assign_folds(rows, k, id_col, label, seed)
+    rows = rows.select(*[col(c) for c in dict.fromkeys([id_col, *features, target])], "fold").persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(job: tuple[int, int]) -> tuple[int, int, float | None]:
         i, fold = job
@@ -143,8 +150,13 @@ def search(train: DataFrame, key: str, features: Sequence[str], target: str, gri
         return i, fold, row["RMSE" if regression else "auc"]
 
     try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            done = list(pool.map(one, [(i, f) for i in range(len(trials)) for f in range(k)]))
+        columns = read_columns(rows, features) if key in ("linear", "pls") else None
+        if columns is not None and len(columns) <= MOST_COLUMNS:
+            by_trial = search_by_moments(rows, key, features, target, [{**DEFAULTS[key], **(base or {}), **t} for t in trials], range(k), columns)
+            done = [(i, f, s) for i, scores in enumerate(by_trial) for f, s in enumerate(scores)]
+        else:
+            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+                done = list(pool.map(one, [(i, f) for i in range(len(trials)) for f in range(k)]))
     finally:
         rows.unpersist()
     means = []

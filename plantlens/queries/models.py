@@ -300,8 +300,16 @@ def q_model_round_trip(spark, d):
 
 
 def q_grid_search(spark, d):
-    t = _lines(spark, d).filter("is_train").select("id", *NUMBERS, "net")
-    _, scores = search.grid_search(t, "pls", NUMBERS, "net", {"n_components": [1, 2]}, folds=2)
+    """The whole PLS grid over five given folds."""
+    t = _lines(spark, d).withColumn("part", F.pmod(F.split("id", "-")[0].cast("bigint"), F.lit(5)))
+    _, scores = search.grid_search(t, "pls", NUMBERS, "net", fold_col="part")
+    return rounded(scores)
+
+
+def q_grid_search_linear(spark, d):
+    """Both linear candidates over five given folds, numbers only: without an intercept the target is taken from its mean."""
+    t = _lines(spark, d).withColumn("part", F.pmod(F.split("id", "-")[0].cast("bigint"), F.lit(5)))
+    _, scores = search.grid_search(t, "linear", ["l_quantity"], "net", fold_col="part")
     return rounded(scores)
 
 
@@ -426,6 +434,40 @@ _LEAVES = (f"{_GROWN}, m AS (SELECT leaf, avg(net) AS predicted FROM s3 WHERE is
            "SELECT round(predicted, 6) AS predicted, dataset, count(*) AS n FROM s3 JOIN m USING (leaf) GROUP BY 1, 2")
 _SPLITS = f"{_GROWN} " + " UNION ALL ".join(f"SELECT f AS feature, CAST(n AS BIGINT) AS n FROM b{i}" for i in (1, 2, 3))
 
+def _pls_sql(x: list[str], y: str, folds: int, most: int) -> str:
+    """PLS fits by deflation of the correlations of each training part, and their errors on the folds left out."""
+    n, pairs = range(len(x)), [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    ctes = [f"{_L}, r AS (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % {folds} AS part FROM l), k AS (SELECT unnest(range({folds})) AS f)",
+            "s0 AS (SELECT f, count(*) AS n, " + ", ".join(
+                [f"corr({x[i]}, {x[j]}) * (count(*) - 1) AS {a(i, j)}" for i, j in pairs] + [f"corr({x[i]}, {y}) * (count(*) - 1) AS b{i}" for i in n]
+                + [f"avg({x[i]}) AS m{i}, stddev_samp({x[i]}) AS d{i}, 0.0 AS c{i}" for i in n] + [f"avg({y}) AS my, stddev_samp({y}) AS dy"])
+            + " FROM k JOIN r ON part <> f GROUP BY f)"]
+    dot = lambda u, v: " + ".join(f"{u}{i} * {v}{i}" for i in n)
+    for s in range(1, most + 1):
+        ctes += [f"w{s} AS (SELECT *, " + ", ".join(f"b{i} / sqrt({dot('b', 'b')}) AS w{s}_{i}" for i in n) + f" FROM s{s - 1})",
+                 f"v{s} AS (SELECT *, " + ", ".join("(" + " + ".join(f"{a(i, j)} * w{s}_{j}" for j in n) + f") AS v{i}" for i in n) + f" FROM w{s})",
+                 f"t{s} AS (SELECT *, {dot(f'w{s}_', 'v')} AS tt, {dot(f'w{s}_', 'b')} AS wb FROM v{s})",
+                 f"p{s} AS (SELECT *, " + ", ".join(f"v{i} / tt AS p{s}_{i}" for i in n) + f" FROM t{s})",
+                 f"r{s} AS (SELECT *, " + ", ".join(f"w{s}_{i}" + "".join(f" - ({dot(f'p{c}_', f'w{s}_')}) * r{c}_{i}" for c in range(1, s)) + f" AS r{s}_{i}"
+                                                    for i in n) + f" FROM p{s})",
+                 f"s{s} AS (SELECT * EXCLUDE (tt, wb, {', '.join(f'v{i}' for i in n)}) REPLACE (" + ", ".join(
+                     [f"{a(i, j)} - tt * p{s}_{i} * p{s}_{j} AS {a(i, j)}" for i, j in pairs] + [f"b{i} - wb * p{s}_{i} AS b{i}" for i in n]
+                     + [f"c{i} + wb / tt * r{s}_{i} AS c{i}" for i in n]) + f") FROM r{s})",
+                 f"e{s} AS (SELECT f, sqrt(avg(pow({y} - my - dy * (" + " + ".join(f"c{i} * ({x[i]} - m{i}) / d{i}" for i in n)
+                 + f"), 2))) AS e FROM s{s} JOIN r ON part = f GROUP BY f)"]
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(
+        f"SELECT CAST({s - 1} AS INTEGER) AS candidate, '{{''n_components'': {s}}}' AS params, round(avg(e), 6) AS rmse, CAST({folds} AS INTEGER) AS folds "
+        f"FROM e{s}" for s in range(1, most + 1))
+
+
+# a number that is scaled to mean 0 leaves the intercept to the mean of the target
+_LINEAR_GRID = f"""WITH {_L}, r AS (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % 5 AS part FROM l),
+c AS (SELECT f, regr_slope(net, l_quantity) AS b, regr_intercept(net, l_quantity) AS a FROM (SELECT unnest(range(5)) AS f) JOIN r ON part <> f GROUP BY f),
+e AS (SELECT f, sqrt(avg(pow(net - a - b * l_quantity, 2))) AS e FROM c JOIN r ON part = f GROUP BY f)
+SELECT CAST(0 AS INTEGER) AS candidate, '{{''fit_intercept'': True}}' AS params, round(avg(e), 6) AS rmse, CAST(5 AS INTEGER) AS folds FROM e
+UNION ALL SELECT CAST(1 AS INTEGER), '{{''fit_intercept'': False}}', round(avg(e), 6), CAST(5 AS INTEGER) FROM e"""
+
 _TRAINED = """e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS m, lag(value) OVER w AS prev
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 t AS (SELECT *, CAST(rn AS DOUBLE) / round_even(m * 0.8, 0) AS u FROM e WHERE rn <= round_even(m * 0.8, 0) AND prev IS NOT NULL)"""
@@ -535,7 +577,8 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("tree_importance", q_tree_importance),
     Query("tree_nodes", q_tree_nodes),
     Query("model_round_trip", q_model_round_trip, f"WITH {_LINE} " + _metrics_sql("p", "net", "predicted", 5)),
-    Query("grid_search", q_grid_search),
+    Query("grid_search", q_grid_search, _pls_sql(NUMBERS, "net", 5, 4)),
+    Query("grid_search_linear", q_grid_search_linear, _LINEAR_GRID),
     Query("random_search", q_random_search),
     Query("search_workload", q_workload,
           "SELECT count(*) AS rows, CAST(18 AS INTEGER) AS candidates, CAST(90 AS INTEGER) AS fits, '' AS note, "
