@@ -49,8 +49,9 @@ def targets(sources: DataFrame, budget: float, most_epochs: float = MOST_EPOCHS)
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS,
-        seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add source_size, target and taken to a table with doc_id, source and size; its other columns stay."""
+        seed: int = SEED, slice_rows: int = SLICE_ROWS, tie: str | None = None) -> DataFrame:
+    """Add source_size, target and taken to a table with doc_id, source and size; its other columns stay. `tie` names a column
+    that orders rows of one id and size."""
     by_source = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "sources")
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = by_source.withColumn("weight", cyclic_weight(F.row_number().over(order) - 1, weights))
@@ -65,7 +66,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     sums = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = sums.select(F.col("source").alias("of_source"), F.col("slice").alias("of_slice"),
                          (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("ahead"))
-    within = Window.partitionBy("source", "slice").orderBy("unit", "key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "slice").orderBy("unit", "key", "doc_id", "size", *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
     start = F.col("ahead") + F.col("inside") - F.col("size")
@@ -76,6 +77,39 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
             .drop("of_source", "of_slice", "ahead", "inside", "slice", "slices", "key", "unit"))
 
 
+def cuts(sized: DataFrame, tie: str, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS,
+         seed: int = SEED) -> DataFrame:
+    """One row per source: of_source, epochs, and where its order is cut: the `place` of the document there and the words that
+    rows at that place take. Rows of one place (equal id, size and `tie`) share what is left there evenly; the mix is short by
+    less than one word for each of them. Whole rows need not be moved to be mixed: `taken` compares their own place."""
+    slim = mix(sized.select("source", "doc_id", "size", F.col(tie).alias("tie")), weights, share, most_epochs, seed, tie="tie")
+    rows = stored(slim.select("source", "source_size", "target", "size", "taken", _place("doc_id", "size", "tie", seed).alias("place")), "taken")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0)
+    rest = rows.select("source", epochs.alias("epochs"), "place", "size", (F.col("taken") - epochs * F.col("size")).alias("rest"))
+    # of the places that take some of their words, only the one at the cut does not take all
+    places = rest.where("size > 0").groupBy("source", "epochs", "place", "size").agg(F.sum("rest").alias("rest"), F.count("*").alias("copies"))
+    ahead = places.where(F.col("rest") == F.col("copies") * F.col("size")).groupBy("source").agg(F.max("place").alias("last_whole"))
+    at = places.where((F.col("rest") > 0) & (F.col("rest") < F.col("copies") * F.col("size"))).select(
+        F.col("source").alias("cut_source"), F.col("place").alias("cut_place"), F.floor(F.col("rest") / F.col("copies")).alias("cut_words"))
+    sources = rest.groupBy(F.col("source").alias("of_source")).agg(F.max("epochs").alias("epochs"))
+    return (sources.join(ahead, F.col("of_source").eqNullSafe(F.col("source")), "left").drop("source")
+            .join(at, F.col("of_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source"))
+
+
+def _place(doc_id: str, size: str, tie: str, seed: int) -> Column:
+    """A row's place in the order of its source."""
+    key = F.xxhash64(F.lit(seed), doc_id)
+    return F.struct((F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53))).alias("unit"), key.alias("key"), F.col(doc_id).alias("id"),
+                    F.col(size).alias("n"), F.col(tie).alias("tie"))
+
+
+def taken(tie: str, seed: int = SEED) -> Column:
+    """Words that a row with doc_id, size and `tie` takes, joined with the row of `cuts` of its source."""
+    place = _place("doc_id", "size", tie, seed)
+    more = F.when(place <= F.col("last_whole"), F.col("size")).when(place == F.col("cut_place"), F.col("cut_words")).otherwise(0)
+    return (F.col("epochs") * F.col("size") + more).cast("long")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source and size, the number of words of the text."""
     return docs.select("doc_id", "source", word_count(text_of()).alias("size"))

@@ -9,31 +9,36 @@ pair. Blocks of the product are the partitions of the shuffle on the shingle. Wh
 
 1. One pass over the texts gives each document its set's size and 128-bit signature, and counts of shingles in a
    table of fixed size, from which "rare first" is read. The counts only choose the order; any order is right.
-2. Documents with equal sets are one class: no pair is made inside it.
-3. A second pass gives the heads. Each shingle of heads names one set as its hub, the one where it stands earliest;
-   hub pairs are verified first, so a group of thousands of near copies costs a number of pairs in proportion to it.
+2. Documents with equal sets are one class: no pair is made inside it. Sets are known by their signature, never by doc_id.
+3. A second pass counts the shingles of heads, 8 bytes each; most stand in one head only and make no entry. A third pass
+   gives the entries of those that may stand in two, by a bitmap. Each of their shingles names one set as its hub, the one where
+   it stands earliest; hub pairs are verified first, so a group of thousands of near copies costs a number of pairs in
+   proportion to it.
 4. Sets that share a head shingle, meet the bounds and are not yet connected are compared in full. After that no
    link between components is left out. Components are contracted in tables, not on the driver.
 
+Tables that were read for the last time are removed.
+
 Cases: null texts and texts without words have empty sets, size 0, and link with nothing; a text with fewer words than
 a shingle has one entry, its whole sequence; equal texts and repeated rows are one class; a row with a null doc_id
-takes part and never names a component unless it stands alone (then null); extra columns are ignored; an empty table
+takes part, also as a link between others, and never names a component unless all of it is null (then null); extra columns are ignored; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.functions.lineage import stored
+from plantlens.functions.lineage import remove, stored
 from plantlens.llm.components import components
-from plantlens.llm.sized import maybe_in, small_or_shuffled
+from plantlens.llm.sized import Bitmap
 from plantlens.llm.wordhash import Words, grams, mix, words
 
 SIZE = 4
@@ -79,53 +84,68 @@ def _measure(size: int):
                 signed = [_signature(s) if len(s) else (None, None) for s in found]
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(part.first, n), pa.array([len(s) for s in found], pa.int64()),
+                    batch.column("row").slice(part.first, n), batch.column("doc_id").slice(part.first, n), pa.array([len(s) for s in found], pa.int64()),
                     pa.array([s[0] for s in signed], pa.int64()), pa.array([s[1] for s in signed], pa.int64()),
                     pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names=_MEASURED)
         filled = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+            pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
             pa.array([filled.astype(np.int32)], pa.list_(pa.int32())), pa.array([counters[filled]], pa.list_(pa.int64()))], names=_MEASURED)
     return run
 
 
-_MEASURED = ["doc_id", "n_shingles", "node", "node2", "bucket", "seen"]
+_MEASURED = ["row", "doc_id", "n_shingles", "node", "node2", "bucket", "seen"]
+
 
+def _heads(part: Words, size: int, percent: int, common: np.ndarray, done: set[int]) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Head, signature and size of each set that this task has not seen; rare shingles come first."""
+    for s in _sets(part, size):
+        n = len(s)
+        node = _signature(s)[0] if n else None
+        if n and node not in done:
+            done.add(node)
+            order = np.lexsort((mix(s), common[(s % np.uint64(COUNTERS)).astype(np.int64)]))
+            yield s[order[:n - -(-percent * n // 100) + 1]], node, n
 
-def _heads(size: int, percent: int, seen):
+
+def _head_shingles(size: int, percent: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, done = seen.value, set()
+        done: set[int] = set()
         for batch in batches:
             for part in words(batch.column("text"), lower=True):
-                kept, nodes, totals, places = [], [], [], []
-                for s in _sets(part, size):
-                    n = len(s)
-                    node = _signature(s)[0] if n else None
-                    if not n or node in done:
-                        continue
-                    done.add(node)
-                    order = np.lexsort((mix(s), common[(s % np.uint64(COUNTERS)).astype(np.int64)]))
-                    m = n - -(-percent * n // 100) + 1
-                    kept.append(s[order[:m]])
-                    nodes.append(np.full(m, node, np.int64))
-                    totals.append(np.full(m, n, np.int32))
-                    places.append(np.arange(m, dtype=np.int32))
-                if kept:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.concatenate(nodes)),
-                        pa.array(np.concatenate(totals)), pa.array(np.concatenate(places))], names=["shingle", "node", "n", "i"])
+                found = [h for h, _, _ in _heads(part, size, percent, seen.value, done)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
     return run
 
 
-def _whole(size: int):
+def _entries(size: int, percent: int, seen, twice: Bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for part in words(batch.column("text"), lower=True):
-                found = [s for s in _sets(part, size)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([_signature(s)[0] if len(s) else 0 for s in found], pa.int64()),
-                    pa.array([_signature(s)[1] if len(s) else 0 for s in found], pa.int64()),
-                    pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "node2", "members"])
+                rows = [[], [], [], []]
+                for head, node, n in _heads(part, size, percent, seen.value, done):
+                    place = np.flatnonzero(twice(head)).astype(np.int32)
+                    for column, values in zip(rows, (head[place].view(np.int64), np.full(len(place), node), np.full(len(place), n, np.int32), place)):
+                        column.append(values)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["shingle", "node", "n", "i"])
+    return run
+
+
+def _whole(size: int, wanted: Bitmap):
+    """Sets that may be wanted, once for each task that has them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            for part in words(batch.column("text"), lower=True):
+                signed = [(_signature(s)[0], s) for s in _sets(part, size) if len(s)]
+                asked = wanted(np.array([n for n, _ in signed], np.int64))
+                found = {n: s for (n, s), a in zip(signed, asked) if a and n not in done}
+                done.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))],
+                                                 names=["node", "members"])
     return run
 
 
@@ -135,56 +155,77 @@ def _bound(x: str, y: str, percent: int) -> str:
             f"AND 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = stored(classes.join(small_or_shuffled(wanted), "node", "left_semi").select("doc_id"), "wanted")
-    sets = stored(docs.join(small_or_shuffled(ids), "doc_id", "left_semi").mapInArrow(
-        _whole(size), "node bigint, node2 bigint, members array<bigint>"), "sets").dropDuplicates(["node", "node2"])
-    a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"{x}_set")) for x in "ab")
+    spark = docs.sparkSession
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    sets = stored(docs.mapInArrow(_whole(size, Bitmap(wanted)), "node bigint, members array<bigint>"), "sets")
+    once = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    a, b = (once.select(F.col("node").alias(x), F.col("members").alias(f"{x}_set")) for x in "ab")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(a, "a").withColumn("a_n", F.size("a_set")).join(b, "b").where(
-        100 * shared >= percent * (F.col("a_n") + F.size("b_set") - shared)).select("a", "b").distinct()
+    found = stored(pairs.join(a, "a").withColumn("a_n", F.size("a_set")).join(b, "b").where(
+        100 * shared >= percent * (F.col("a_n") + F.size("b_set") - shared)).select("a", "b"), "links")
+    _remove(spark, wanted, sets)
+    return found
+
+
+def _remove(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            remove(spark, os.path.dirname(file))
 
 
 def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id. `docs` has doc_id (long) and text."""
+    return similar_rows(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The same with `row`, the row's monotonically increasing id in the table, and `component`, a number of its group; it is null
+    for an empty set, which has no group."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     measured = stored(docs.mapInArrow(
-        _measure(size), "doc_id bigint, n_shingles bigint, node bigint, node2 bigint, bucket array<int>, seen array<bigint>"), "measured")
+        _measure(size), "row bigint, doc_id bigint, n_shingles bigint, node bigint, node2 bigint, bucket array<int>, seen array<bigint>"), "measured")
     counts = measured.where("n_shingles < 0").select(F.explode(F.arrays_zip("bucket", "seen")).alias("z")).groupBy(
         F.col("z.bucket").alias("k")).agg(F.sum("z.seen").alias("v"))
     common = np.zeros(COUNTERS, np.int64)
     for r in counts.toLocalIterator():
         common[r.k] = r.v
-    rows = measured.where("n_shingles >= 0").select("doc_id", "n_shingles", "node", "node2")
+    seen = spark.sparkContext.broadcast(common)
+    rows = measured.where("n_shingles >= 0").select("row", "doc_id", "n_shingles", "node", "node2")
     classes = stored(rows.where("n_shingles > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("doc_id")), "classes")
 
-    entries = stored(docs.mapInArrow(_heads(size, percent, spark.sparkContext.broadcast(common)),
-                                     "shingle bigint, node bigint, n int, i int"), "heads")
-    hubs = entries.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.max("node").alias("most"), F.min("node").alias("least"))
-    hubs = stored(hubs.where("most <> least").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
-    common_ones = hubs.select("shingle")
-    shared = stored(maybe_in(entries, "shingle", common_ones).join(small_or_shuffled(common_ones), "shingle", "left_semi").distinct(), "shared")
+    twice = stored(docs.mapInArrow(_head_shingles(size, percent, seen), "shingle bigint").groupBy("shingle").count().where("count > 1").select("shingle"), "twice")
+    entries = stored(docs.mapInArrow(_entries(size, percent, seen, Bitmap(twice)), "shingle bigint, node bigint, n int, i int"), "entries")
+    # the same set may come from several tasks, and a bit may stand for several shingles
+    grouped = entries.repartition("shingle").dropDuplicates(["shingle", "node"])
+    hubs = grouped.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.count("*").alias("sets"))
+    hubs = stored(hubs.where("sets > 1").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
+    shared = stored(grouped.join(hubs.select("shingle"), "shingle", "left_semi"), "shared")
+    _remove(spark, twice, entries)
     stars = shared.alias("x").join(hubs.alias("h"), "shingle").where(f"x.node <> h.node AND {_bound('x', 'h', percent)}")
     pairs = stored(stars.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
-    links = stored(_verified(docs, classes, pairs, size, percent), "links")
+    _remove(spark, hubs)
+    links = _verified(docs, pairs, size, percent)
 
     groups = components(links)
-    member = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = stored(member, "member")
-    open_ = member.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    member = stored(member.join(small_or_shuffled(stored(open_, "open")), "shingle", "left_semi"), "member")
-    rest = member.alias("x").join(member.alias("y"), "shingle").where(f"x.component < y.component AND {_bound('x', 'y', percent)}")
+    member = stored(shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "member")
+    _remove(spark, shared)
+    open_ = stored(member.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "open")
+    left = stored(member.join(open_, "shingle", "left_semi"), "member")
+    _remove(spark, member, open_)
+    rest = left.alias("x").join(left.alias("y"), "shingle").where(f"x.component < y.component AND {_bound('x', 'y', percent)}")
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    _remove(spark, left, pairs)
     if rest.limit(1).count():
-        more = stored(_verified(docs, classes, rest, size, percent), "links")
+        more = _verified(docs, rest, size, percent)
         if more.limit(1).count():
             groups = components(links.union(more))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "component").select("node", "node2", "component_id")
+    named = named.join(names, "component").select("node", "node2", "component", "component_id")
     return rows.join(named, ["node", "node2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "row", "doc_id", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))

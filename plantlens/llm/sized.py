@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +15,28 @@ def small_or_shuffled(ids: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-# Bits of a filter, 16 MB whatever the list.
-FILTER_BITS = 1 << 27
+# Bits of a filter for each key, and bounds of its size: 1 MB to 128 MB.
+BITS_PER_KEY = 16
+_LEAST_BITS, _MOST_BITS = 1 << 23, 1 << 30
 _PART = 1 << 15
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose 64-bit hash in `column` may be among the one column of `keys`: a bitmap of fixed size is sent to all
-    tasks and drops most of the others before a join shuffles them. A join must follow; the fuller the bitmap, the less it drops."""
-    key = F.pmod(F.col(keys.columns[0]), F.lit(bits))
-    rows = keys.select(F.floor(key / _PART).alias("part"), F.pmod(key, F.lit(_PART)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    table = np.zeros(bits // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        table[r.part * (_PART // 8):(r.part + 1) * (_PART // 8)] = np.frombuffer(r.bits, np.uint8)
-    held = df.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(column).to_numpy(zero_copy_only=False) & (bits - 1)
-            yield batch.filter(pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool)))
-
-    return df.mapInArrow(run, df.schema)
+class Bitmap:
+    """Which 64-bit hashes may be among given ones: one bit each in a table that is sent to all tasks. The size follows the number
+    of keys up to a bound; the fuller the table, the less it rules out. What it lets through has to be joined."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        name = keys.columns[0]
+        n = keys.count()
+        self.bits = min(max(1 << (BITS_PER_KEY * max(n, 1) - 1).bit_length(), _LEAST_BITS), _MOST_BITS)
+        key = F.pmod(F.col(name), F.lit(self.bits))
+        rows = keys.select(F.floor(key / _PART).alias("part"), F.pmod(key, F.lit(_PART)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        table = np.zeros(self.bits // 8, np.uint8)
+        for r in rows.toLocalIterator():
+            table[r.part * (_PART // 8):(r.part + 1) * (_PART // 8)] = np.frombuffer(r.bits, np.uint8)
+        self.held = keys.sparkSession.sparkContext.broadcast(table)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash, signed or unsigned, may be a key."""
+        at = hashes.view(np.int64) & (self.bits - 1)
+        return (self.held.value[at >> 3] >> (at & 7) & 1).astype(bool)

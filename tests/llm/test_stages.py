@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from test_text_operators import LOWER, ODD, WORD, near_copies, table
 
-from plantlens.llm import stages
+from plantlens.llm import mixing, ngram_join, stages
+from plantlens.llm.words import text_of, word_count
 
 
 def five_word_sets(text):
@@ -47,3 +48,46 @@ def test_near_copies_of_the_stage(spark):
 def test_languages_of_a_table_without_labels(spark):
     docs = table(spark, ["clean words", None, "", "12 !", "ελληνικά", "నీరు"], lang=F.lit(None).cast("string"))
     assert sorted(r.doc_id for r in stages.known_language(docs).collect()) == [0, 4, 5]
+
+
+def shifted(k):
+    return " ".join(f"w{i}" for i in range(k, k + 200))
+
+
+def test_null_and_repeated_ids_link_and_stay(spark):
+    """A text without an id links two others; one document of each group stays, whatever its id."""
+    rows = [(1, shifted(0)), (None, shifted(12)), (2, shifted(24)), (None, "alone without an id"), (7, "one text"), (7, "quite another text"), (7, "one text"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("x"), "kept": F.lit(0), "component": F.lit(1)})
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.similar_groups(docs.where("length(text) > 100")).collect()}
+    assert found == {(1, 197): 1, (None, 197): 1, (2, 197): 1}
+    kept = sorted((str(r.doc_id), r.text or "") for r in stages.one_of_each_group(docs).collect())
+    assert kept == sorted([("1", rows[0][1]), ("None", rows[3][1]), ("7", rows[4][1]), ("7", rows[5][1]), ("8", ""), ("8", "")])
+
+
+def test_mix_of_the_stage_is_the_operators(spark, small):
+    """Words taken from each source, and from each document but equal ones, are those of the operator."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.union(docs.where("doc_id % 7 = 0")).union(docs.where("doc_id % 5 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    words = {k: sum(len(WORD.findall(r.text or "")) for r in rows) for k, rows in _by_source(stages.mixed(docs).collect()).items()}
+    sized = docs.select("doc_id", "source", word_count(text_of()).alias("size"))
+    want = {r.source: r.words for r in mixing.mix(sized).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    rows = docs.groupBy("source").count().collect()
+    assert all(0 <= want[r.source] - words.get(r.source, 0) < r["count"] for r in rows)
+    once = docs.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
+    got = {}
+    for r in stages.mixed(once).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(WORD.findall(r.text or ""))
+    assert got == {r.doc_id: r.taken for r in mixing.mix(once.select("doc_id", "source", word_count(text_of()).alias("size"))).collect() if r.taken}
+
+
+def _by_source(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.source, []).append(r)
+    return out
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = table(spark, ["x"]).where("false")
+    for stage in (stages.known_language, stages.one_of_each_group, stages.without_personal_data, stages.mixed):
+        assert stage(docs).collect() == []
