@@ -1,15 +1,18 @@
 """PCA, T2/Q monitoring, ICA and PLS from shared covariance aggregates.
 
 One distributed pass gives the p x p covariance; the small eigenproblem is solved
-where the pass was started, and scoring is again column work on the executors.
+where the pass was started, and scoring is again column work on the executors. For wide
+vectors (`WIDE_SLOTS`) no p x p matrix is made anywhere: passes over the rows multiply the
+covariance with a few vectors at a time, which span the space that holds the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -25,6 +28,12 @@ from plantlens.operators.identity import DataError
 SCALED_FROM, SCALE_REFERENCE = 100.0, 90.0
 MAX_QUANTILE = 0.999
 _TINY = 1e-12
+# Beyond so many slots components come from products of the covariance with few vectors.
+WIDE_SLOTS = 2_000
+# Vectors beyond the wanted components, passes at most, and the residual (as a share of the largest variance) that ends them.
+_SPARE, _MOST_PASSES, _RESIDUAL = 8, 24, 1e-10
+# Random vectors that the sums of powers of the variances left out are estimated with.
+_PROBES = 24
 # Products of up to so many terms are written out in the plan.
 MAX_TERMS = 512
 
@@ -103,6 +112,8 @@ class Pca:
     eigenvalues: np.ndarray      # all p, descending
     slots: tuple[str, ...] = ()
     sources: tuple[tuple[str, int, int], ...] = field(default=())
+    # sums of the first three powers of the eigenvalues left out, where `eigenvalues` holds the first ones only
+    rest: tuple[float, float, float] | None = None
 
     @property
     def k(self) -> int:
@@ -110,16 +121,94 @@ class Pca:
 
     @property
     def ratio(self) -> np.ndarray:
-        total = self.eigenvalues.sum()
+        total = self.eigenvalues.sum() if self.rest is None else self.variance.sum() + self.rest[0]
         return self.variance / total if total > 0 else np.zeros_like(self.variance)
 
 
 def fit_pca(train: DataFrame, features: str = "features", k: int = 2, slots: Sequence[str] = (),
-            sources: Sequence[tuple[str, int, int]] = ()) -> Pca:
+            sources: Sequence[tuple[str, int, int]] = (), wide: int = WIDE_SLOTS) -> Pca:
     """Components of the centred vectors; each is turned so that its largest loading is positive."""
+    first = train.select(F.size(slots_of(train, features)).alias("p")).first()
+    if first is not None and first["p"] > wide:
+        return wide_pca(train, features, k, slots, sources)
     return pca_of(covariance(train, features), k, slots, sources)
 
 
+def _turned(top: np.ndarray) -> np.ndarray:
+    return top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
+
+
+def _named(slots: Sequence[str], sources, p: int) -> tuple[tuple[str, ...], tuple]:
+    names = tuple(slots) or tuple(f"f{i + 1}" for i in range(p))
+    return names, tuple(sources) or tuple((s, i, 1) for i, s in enumerate(names))
+
+
+def _times(rows: DataFrame, mean: np.ndarray, n: int, block: np.ndarray) -> np.ndarray:
+    """The covariance times a few vectors, in one pass: a task adds up a matrix of the vectors' size, and these are added in a tree."""
+    held = rows.sparkSession.sparkContext.broadcast((mean, block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, vectors = held.value
+        total = np.zeros(vectors.shape)
+        for batch in batches:
+            if batch.num_rows:
+                d = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) - center
+                total += d.T @ (d @ vectors)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums).reshape(block.shape))
+    return parts.treeReduce(np.add) / (n - 1)
+
+
+def wide_pca(train: DataFrame, features: str = "features", k: int = 2, slots: Sequence[str] = (), sources=(), seed: int = 42) -> Pca:
+    """Components of wide vectors, without their covariance matrix.
+
+    A block of random vectors is multiplied with the covariance, made orthogonal to all blocks before and multiplied again;
+    the components are the best ones inside the space of all blocks, which is done when their residuals vanish. The total variance
+    is exact; sums of squares and cubes of the variances left out, which only the limit of Q needs, are estimated with
+    random vectors orthogonal to the components.
+    """
+    stat = Summarizer.metrics("count", "mean", "variance")
+    row = train.select(stat.summary(col(features)).alias("s")).select("s.*").first()
+    n = int(row["count"])
+    if n < 2:
+        raise DataError("a covariance needs two rows")
+    mean, total = row["mean"].toArray(), float(row["variance"].toArray().sum())
+    p = len(mean)
+    k = min(max(2, int(k)), p)
+    rows = train.select(slots_of(train, features).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    rng = np.random.default_rng(seed)
+    try:
+        block = np.linalg.qr(rng.normal(size=(p, min(p, k + _SPARE))))[0]
+        basis, image = np.zeros((p, 0)), np.zeros((p, 0))
+        for _ in range(_MOST_PASSES):
+            basis, image = np.hstack([basis, block]), np.hstack([image, _times(rows, mean, n, block)])
+            inner = basis.T @ image
+            values, turn = np.linalg.eigh((inner + inner.T) / 2)
+            values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
+            left = np.linalg.norm(image @ turn - basis @ turn * values, axis=0).max()
+            if left <= _RESIDUAL * max(values[0], _TINY) or basis.shape[1] >= p:
+                break
+            block = image[:, -block.shape[1]:]
+            for _ in range(2):
+                block = block - basis @ (basis.T @ block)
+            block, scales, _ = np.linalg.svd(block, full_matrices=False)
+            block = block[:, scales > _TINY * max(scales[0], _TINY)][:, :p - basis.shape[1]]
+            if not block.shape[1]:
+                break
+        top, values = (basis @ turn).T, np.maximum(values, 0.0)
+        probes = rng.choice([-1.0, 1.0], size=(p, _PROBES))
+        probes -= top.T @ (top @ probes)
+        once = _times(rows, mean, n, probes)
+        once -= top.T @ (top @ once)
+        twice = _times(rows, mean, n, once)
+    finally:
+        rows.unpersist()
+    rest = (max(total - float(values.sum()), 0.0), float((once ** 2).sum()) / _PROBES, max(float((once * twice).sum()), 0.0) / _PROBES)
+    names, ranges = _named(slots, sources, p)
+    return Pca(n, mean, _turned(top), values, values, names, ranges, rest)
+
+
 def pca_of(m: Moments, k: int, slots: Sequence[str] = (), sources=()) -> Pca:
     p = len(m.mean)
     if p < 2:
@@ -128,10 +217,7 @@ def pca_of(m: Moments, k: int, slots: Sequence[str] = (), sources=()) -> Pca:
     values, vectors = np.linalg.eigh(m.cov)
     order = np.argsort(values)[::-1]
     values, vectors = np.maximum(values[order], 0.0), vectors[:, order].T
-    top = vectors[:k]
-    top = top * np.sign(top[np.arange(k), np.abs(top).argmax(axis=1)])[:, None]
-    return Pca(m.n, m.mean, top, values[:k], values, tuple(slots) or tuple(f"f{i + 1}" for i in range(p)),
-               tuple(sources) or tuple((s, i, 1) for i, s in enumerate(slots or [f"f{i + 1}" for i in range(p)])))
+    return Pca(m.n, m.mean, _turned(vectors[:k]), values[:k], values, *_named(slots, sources, p))
 
 
 def pca_table(spark, model: Pca) -> DataFrame:
@@ -174,41 +260,52 @@ def t2_limit(n: int, k: int, alpha: float) -> float:
     return k * (n - 1) * (n + 1) / (n * (n - k)) * f_quantile(alpha, k, n - k)
 
 
-def q_limit(eigenvalues, k: int, alpha: float) -> float:
-    """Jackson-Mudholkar limit on the eigenvalues left out of the model."""
+def power_sums(eigenvalues, k: int) -> tuple[float, float, float]:
+    """Sums of the first three powers of all eigenvalues behind the k-th; those that are 0 but for rounding add nothing."""
     rest = np.asarray(eigenvalues, float)[k:]
-    rest = rest[np.isfinite(rest) & (rest > _TINY)]
-    if not len(rest):
+    rest = np.where(np.isfinite(rest) & (rest > _TINY), rest, 0.0)
+    return tuple(float(np.sum(rest ** power)) for power in (1, 2, 3))
+
+
+def q_limit_of_sums(sums: tuple[float, float, float], alpha: float) -> float:
+    """The limit that Q, a sum of squares with these sums of powers of variances, exceeds with probability 1 - alpha.
+
+    Q / theta1 to the power h0 is taken as normal with mean 1 + theta2 h0 (h0 - 1) / theta1^2 and variance 2 theta2 h0^2 / theta1^2,
+    with h0 = 1 - 2 theta1 theta3 / (3 theta2^2). Nothing left out gives 0.
+    """
+    theta1, theta2, theta3 = sums
+    if theta1 <= 0 or theta2 <= 0:
         return 0.0
-    t1, t2, t3 = (float((rest ** j).sum()) for j in (1, 2, 3))
-    h = max(1.0 - 2.0 * t1 * t3 / (3.0 * t2 * t2), 1e-6)
-    inner = 1.0 + t2 * h * (h - 1.0) / t1 ** 2 + normal_quantile(alpha) * np.sqrt(2.0 * t2) * h / t1
-    return float(t1 * max(inner, _TINY) ** (1.0 / h))
+    power = max(1.0 - 2.0 / 3.0 * theta1 * theta3 / theta2 ** 2, 1e-6)
+    spread = power * np.sqrt(2.0 * theta2) / theta1
+    middle = 1.0 - power * (1.0 - power) * theta2 / theta1 ** 2
+    return float(theta1 * max(middle + spread * normal_quantile(alpha), _TINY) ** (1.0 / power))
+
+
+def q_limit(eigenvalues, k: int, alpha: float) -> float:
+    """Jackson-Mudholkar limit on the eigenvalues left out of the model."""
+    return q_limit_of_sums(power_sums(eigenvalues, k), alpha)
 
 
 def percent_pair(warning=95.0, alarm=99.0) -> tuple[float, float]:
-    """Warning and alarm percent, at least 1, the warning below the alarm."""
-    alarm = max(float(alarm or 99.0), 1.0)
-    warning = max(float(warning or 95.0), 1.0)
-    return (warning if warning < alarm else max(1.0, alarm - 1.0)), alarm
+    """Warning and alarm percent from 1 on; a warning that is not below its alarm is one percent under it."""
+    high = max(1.0, float(alarm or 99.0))
+    low = max(1.0, float(warning or 95.0))
+    return (low, high) if low < high else (max(1.0, high - 1.0), high)
 
 
-def monitoring_limit(percent: float, build) -> float:
-    """Under 100 a quantile; from 100 on the 90 % limit times percent / 90."""
-    percent = max(float(percent), 1.0)
-    if percent < SCALED_FROM:
-        return float(build(min(percent / 100.0, MAX_QUANTILE)))
-    return float(build(SCALE_REFERENCE / 100.0)) * percent / SCALE_REFERENCE
+def limit_at(percent: float, quantile) -> float:
+    """The limit of a percentage: a quantile, or the 90 % one in proportion where the percentage is no probability."""
+    share, factor = (percent, 1.0) if percent < SCALED_FROM else (SCALE_REFERENCE, percent / SCALE_REFERENCE)
+    return factor * quantile(min(share / 100.0, MAX_QUANTILE))
 
 
 def monitoring_limits(model: Pca, t2_percents=(95.0, 99.0), q_percents=(95.0, 99.0)) -> dict[str, float]:
-    out = {}
-    for stat, percents, build in (("t2", t2_percents, lambda a: t2_limit(model.n, model.k, a)),
-                                  ("q", q_percents, lambda a: q_limit(model.eigenvalues, model.k, a))):
-        warning, alarm = percent_pair(*percents)
-        out[f"{stat}_warning_limit"] = monitoring_limit(warning, build)
-        out[f"{stat}_alarm_limit"] = monitoring_limit(alarm, build)
-    return out
+    """Warning and alarm limits of both statistics."""
+    sums = model.rest or power_sums(model.eigenvalues, model.k)
+    quantiles = {"t2": lambda a: t2_limit(model.n, model.k, a), "q": lambda a: q_limit_of_sums(sums, a)}
+    pairs = {"t2": percent_pair(*t2_percents), "q": percent_pair(*q_percents)}
+    return {f"{stat}_{name}_limit": limit_at(percent, quantiles[stat]) for stat in pairs for name, percent in zip(("warning", "alarm"), pairs[stat])}
 
 
 def t2_q_report(scored: DataFrame, model: Pca, limits: dict[str, float], by: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -268,10 +365,8 @@ def t2_q_contributions(selected: DataFrame, model: Pca, limits: dict[str, float]
 
 def suggest_components(train: DataFrame, features: str = "features", threshold: float = 0.9) -> int:
     """Smallest number of components (2..10) whose cumulative share reaches the threshold."""
-    m = covariance(train, features)
-    p = len(m.mean)
-    most = max(2, min(10, p))
-    cum = np.cumsum(pca_of(m, most).ratio)
+    model = fit_pca(train, features, 10)
+    most, cum = model.k, np.cumsum(model.ratio)
     return int(min(max(2, int(np.searchsorted(cum, threshold) + 1)), most))
 
 

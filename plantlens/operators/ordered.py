@@ -251,15 +251,24 @@ class Blocks:
                      .filter((F.col("_pos") - F.col("_first") < F.lit(after))
                              | (F.col("_last") - F.col("_pos") < F.lit(before)))
                      .drop("_first", "_last", BLK))
-        target = extents.select(*[col(s).alias(f"_t_{s}") for s in self.series],
-                                F.col(BLK), "_first", "_last")
-        cond = ((F.col("_pos") >= F.col("_first") - F.lit(before)) & (F.col("_pos") <= F.col("_last") + F.lit(after))
-                & ~F.col("_pos").between(F.col("_first"), F.col("_last")))
-        for s in self.series:
-            cond = cond & edge_rows[name(s)].eqNullSafe(target[name(f"_t_{s}")])
-        halo = (edge_rows.join(F.broadcast(target), cond)
-                .drop("_first", "_last", "_pos", *[f"_t_{s}" for s in self.series])
-                .withColumn("_halo", F.lit(True)))
+        target = extents.select(*[col(s).alias(f"_t_{s}") for s in self.series], F.col(BLK), "_first", "_last")
+
+        def reached(width: int, low: Column, high: Column) -> DataFrame:
+            """Rows at positions low..high, no more than `width`, of each block's series. Positions are cut into cells as wide as
+            that, so that a block asks for two cells at most and the join has equal keys."""
+            asked = target.withColumn("_cell", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+            cond = (F.floor(F.col("_pos") / width) == F.col("_cell")) & F.col("_pos").between(low, high)
+            for s in self.series:
+                cond = cond & edge_rows[name(s)].eqNullSafe(asked[name(f"_t_{s}")])
+            return edge_rows.join(asked, cond).drop("_cell", "_first", "_last", "_pos", *[f"_t_{s}" for s in self.series])
+
+        sides = []
+        if before > 0:
+            sides.append(reached(before, F.col("_first") - before, F.col("_first") - 1))
+        if after > 0:
+            sides.append(reached(after, F.col("_last") + 1, F.col("_last") + after))
+        halo = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        halo = halo.withColumn("_halo", F.lit(True))
         return self.with_data(df.unionByName(halo, allowMissingColumns=True))
 
     def without_halo(self) -> Blocks:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -37,13 +36,15 @@ def max_rows_of(value) -> int | None:
 
 
 def summary_functions(names: Iterable[str] | None) -> tuple[str, ...]:
-    asked = {str(n).strip().lower() for n in names or ()}
-    return tuple(f for f in SUMMARY_FUNCTIONS if f in asked) or DEFAULT_SUMMARIES
+    """Known functions among the names, in output order; the default ones without any."""
+    wanted = {text.strip().lower() for text in map(str, names or ())}
+    return tuple(filter(wanted.__contains__, SUMMARY_FUNCTIONS)) or DEFAULT_SUMMARIES
 
 
 def plain_name(text) -> str:
-    """NFKC form with the yen sign read as a backslash, trimmed."""
-    return unicodedata.normalize("NFKC", str(text or "")).replace("¥", "\\").strip()
+    """A name without the differences that full-width and half-width typing makes; a yen sign is a backslash."""
+    wide = unicodedata.normalize("NFKC", "" if text is None else str(text))
+    return wide.translate({ord("¥"): "\\"}).strip()
 
 
 def name_key(text) -> str:
@@ -52,12 +53,11 @@ def name_key(text) -> str:
 
 def name_list(text: str | None) -> tuple[str, ...]:
     """Names from free text, each once without regard to case."""
-    out: dict[str, str] = {}
-    for token in re.split(f"[{re.escape(NAME_SEPARATORS)}]+", plain_name(text)):
-        token = plain_name(token)
-        if token:
-            out.setdefault(name_key(token), token)
-    return tuple(out.values())
+    parts = plain_name(text).translate({ord(c): "\n" for c in NAME_SEPARATORS}).split("\n")
+    first: dict[str, str] = {}
+    for part in filter(None, map(plain_name, parts)):
+        first.setdefault(part.casefold(), part)
+    return tuple(first.values())
 
 
 @F.pandas_udf(T.StringType())
@@ -65,11 +65,6 @@ def name_key_column(names: pd.Series) -> pd.Series:
     return names.map(name_key, na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def name_key_lists(names: pd.Series) -> pd.Series:
-    return names.map(lambda xs: None if xs is None else [name_key(x) for x in xs if name_key(x)])
-
-
 def seconds_of(interval: str | float | dt.timedelta) -> float:
     """Length of an interval: a number of seconds, a timedelta, or text such as 15min, 1h, 2 days."""
     if isinstance(interval, dt.timedelta):
@@ -198,9 +193,9 @@ def event_frames(df: DataFrame, template: str | None = None, start=None, end=Non
     """Event intervals by template, time and analysis names.
 
     Expects event_frame, template, analyses ARRAY<STRING>, element, start_time,
-    end_time. Names are compared in NFKC form without case, in one vectorised UDF;
-    with `plain_names` (ASCII data) by lower case, which stays in generated code.
-    An analysis matches when either name contains the other.
+    end_time. Names are compared in NFKC form without case: the distinct
+    names of the table are put in that form once and joined back, so Python sees no row. With `plain_names`
+    (ASCII data) lower case is enough, which stays in generated code. An analysis matches when either name contains the other.
     """
     rows = df
     if start is not None:
@@ -208,15 +203,25 @@ def event_frames(df: DataFrame, template: str | None = None, start=None, end=Non
     if end is not None:
         rows = rows.filter(F.col("end_time").isNull() | (F.col("start_time") <= _at(end)))
     if template and name_key(template):
-        key = F.trim(F.lower("template")) if plain_names else name_key_column("template")
-        rows = rows.filter((F.trim(F.coalesce(F.col("template"), F.lit(""))) == "") | (key == F.lit(name_key(template))))
+        blank = F.trim(F.coalesce(F.col("template"), F.lit(""))) == ""
+        if plain_names:
+            rows = rows.filter(blank | (F.trim(F.lower("template")) == F.lit(name_key(template))))
+        else:
+            same = rows.select("template").distinct().filter(name_key_column("template") == F.lit(name_key(template)))
+            same = same.select(F.col("template").alias("_template"))
+            rows = rows.join(same, F.col("template") == F.col("_template"), "left").filter(blank | F.col("_template").isNotNull()).drop("_template")
     needed = [name_key(a) for a in analyses if name_key(a)]
     if needed:
-        have = (F.filter(F.transform("analyses", lambda a: F.trim(F.lower(a))), lambda a: a != "")
-                if plain_names else name_key_lists("analyses"))
-        rows = rows.withColumn("_have", have)
-        match = F.exists("_have", lambda a: _any([F.contains(a, F.lit(r)) | F.contains(F.lit(r), a) for r in needed]))
-        rows = rows.filter(F.coalesce(match, F.lit(False))).drop("_have")
+        matches = lambda a: _any([F.contains(a, F.lit(r)) | F.contains(F.lit(r), a) for r in needed])
+        if plain_names:
+            have = F.filter(F.transform("analyses", lambda a: F.trim(F.lower(a))), lambda a: a != "")
+            rows = rows.filter(F.coalesce(F.exists(have, matches), F.lit(False)))
+        else:
+            each = rows.select("analyses").distinct().select("analyses", F.explode("analyses").alias("_name"))
+            known = each.select("_name").distinct().withColumn("_key", name_key_column("_name"))
+            known = known.filter((F.col("_key") != "") & matches(F.col("_key"))).select("_name")
+            lists = each.join(known, "_name", "left_semi").select(F.col("analyses").alias("_analyses")).distinct()
+            rows = rows.join(lists, F.col("analyses") == F.col("_analyses"), "left_semi")
     seconds = (micros(F.col("end_time")) - micros(F.col("start_time"))) / 1e6
     return rows.select("event_frame", "template", F.array_join("analyses", "; ").alias("analysis"),
                        F.coalesce(F.size("analyses"), F.lit(0)).alias("analysis_count"), "element",

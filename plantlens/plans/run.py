@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import col
+from plantlens.functions.lineage import scratch_path
 from plantlens.operators import charts, forecast, importance, latent
 from plantlens.operators.encode import fit_encoder
-from plantlens.operators.evaluate import confusion_matrix, prediction_table
+from plantlens.operators.evaluate import confusion_matrix, prediction_table, roc_one_vs_rest
 from plantlens.operators.filters import require_any_feature, require_rows, require_target
 from plantlens.operators.identity import DataError
 from plantlens.operators.selection import Selection, flag_selected
 from plantlens.operators.splits import split
 from plantlens.operators.supervised import CLASSIFIERS, DEFAULTS, REGRESSIONS, fit_supervised
+from plantlens.plans.prepare import PrepareConfig, prepare
 
 # Default parameters of the models without a target, and of the series models.
 OTHER_DEFAULTS: dict[str, dict] = {
@@ -31,6 +33,7 @@ OTHER_DEFAULTS: dict[str, dict] = {
 }
 UNSUPERVISED = ("pca", "pca_t2q", "ica")
 SERIES = ("arima", "sarima", "ewma", "cusum")
+TREES = ("gbt_regression", "forest_regression", "gbt_classifier", "tree_classifier", "forest_classifier")
 MODEL_KEYS = (*UNSUPERVISED, *SERIES, *REGRESSIONS, *CLASSIFIERS)
 
 
@@ -74,11 +77,29 @@ class RunConfig:
     id_col: str = "id"
     selected: Selection | None = None
     importances: bool = True
+    prepare: PrepareConfig | None = None
+
+
+def _prepared(df: DataFrame, c: RunConfig) -> tuple[DataFrame, RunConfig, list[str]]:
+    """Rows with the prepared columns, and the configuration to go on with: columns that look back in time force the sequential
+    split, and added columns join the chosen features."""
+    plan = replace(c.prepare, id_col=c.id_col, order_cols=c.prepare.order_cols or c.order_cols, series_cols=c.prepare.series_cols or c.series_cols,
+                   split_method=c.split_method, train_ratio=c.train_ratio, seed=c.seed, stratify_col=c.stratify_col)
+    done = prepare(df, plan, for_model=True)
+    added = [x for kind in ("lags", "features", "sma", "ema") for x in done.added.get(kind, [])]
+    features = list(dict.fromkeys([*c.features, *added])) if c.features else ()
+    notes = [] if plan.model_split == c.split_method else [f"columns that look back in time: {plan.model_split} split"]
+    return done.data.drop(done.flag), replace(c, prepare=None, features=features, split_method=plan.model_split, order_cols=plan.order_cols,
+                                              series_cols=plan.series_cols), notes + done.warnings
 
 
 def run_model(df: DataFrame, key: str, config: RunConfig) -> ModelResult:
-    """Merge default parameters, dispatch by task."""
+    """Prepare the rows if asked, merge default parameters, dispatch by task."""
     task = model_task(key)
+    if config.prepare is not None:
+        rows, plain, notes = _prepared(df, config)
+        out = run_model(rows, key, plain)
+        return replace(out, notes=notes + list(out.notes))
     params = {**default_params(key), **{k: v for k, v in config.params.items() if v is not None}}
     run: dict[str, Callable] = {"unsupervised": _run_unsupervised, "timeseries": _run_series}
     return run.get(task, _run_supervised)(df, key, task, params, config)
@@ -104,6 +125,9 @@ def _run_supervised(df, key, task, params, c: RunConfig) -> ModelResult:
     if task == "classification":
         y = p.withColumn("_y", col(c.target).cast("string"))
         tables["confusion"] = confusion_matrix(y, "_y", "predicted", fitted.classes, ["dataset"])
+        tables["roc"] = roc_one_vs_rest(y.select("dataset", "_y", "scores"), "scores", "_y", fitted.classes, ["dataset"])
+    if key in TREES:
+        tables["nodes"] = importance.tree_nodes(spark, fitted, scratch_path(spark, "tree"))
     if c.importances:
         if key in ("linear", "pls", "logistic"):
             tables["coefficients"] = importance.coefficient_importance(spark, fitted)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import cut, scratch_path
 from plantlens.operators import encode, evaluate, forecast, importance, latent, search, splits, supervised
+from plantlens.plans.prepare import PrepareConfig
 from plantlens.plans.run import RunConfig, run_model
 from plantlens.queries.base import Query, rounded, table
 from plantlens.sources.model_store import load_model, save_model
@@ -31,11 +32,15 @@ def _encoded(spark, d, features):
     return data, enc
 
 
+# Slots of an embedding.
+SLOTS = 64
+
+
 def _vectors(spark, d):
     """Embeddings as rows of numbers."""
     t = table(spark, d, "embeddings")
     return t.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
-                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(8)])
+                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(SLOTS)])
 
 
 # ---- encoding and scores -------------------------------------------------------------------
@@ -98,6 +103,14 @@ def q_roc_blocks(spark, d):
     return rounded(evaluate.roc_curve(t, "o_totalprice", F.col("o_orderstatus") == "F", block_rows=2_000))
 
 
+def q_roc_classes(spark, d):
+    """Curves of three classes against the rest, per priority."""
+    t = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.array(
+        F.floor(F.col("o_totalprice") / 20000).cast("double"), F.pmod("o_custkey", F.lit(7)).cast("double"),
+        -F.floor(F.col("o_totalprice") / 20000).cast("double")).alias("scores"))
+    return rounded(evaluate.roc_one_vs_rest(t, "scores", "o_orderstatus", ["F", "O", "P"], ["o_orderpriority"]))
+
+
 def q_auc(spark, d):
     t = table(spark, d, "orders").withColumn("score", F.floor(F.col("o_totalprice") / 5000).cast("double"))
     return rounded(evaluate.auc(t, "score", F.col("o_orderstatus") == "F", ["o_orderpriority"]))
@@ -120,15 +133,15 @@ def q_pca(spark, d):
 def q_pca_variance(spark, d):
     """Total variance, and the trace of the covariance it must equal, on the embeddings."""
     v = _vectors(spark, d)
-    enc = encode.fit_encoder(v, [f"v{i}" for i in range(8)], scale=False)
-    model = latent.fit_pca(enc.transform(v), "features", 8, enc.slots)
+    enc = encode.fit_encoder(v, [f"v{i}" for i in range(SLOTS)], scale=False)
+    model = latent.fit_pca(enc.transform(v), "features", SLOTS, enc.slots)
     return rounded(latent.pca_table(spark, model).agg(F.sum("variance").alias("total_variance"),
                                                       F.max("cumulative").alias("cumulative")))
 
 
 def q_loadings(spark, d):
     v = _vectors(spark, d)
-    enc = encode.fit_encoder(v, [f"v{i}" for i in range(8)])
+    enc = encode.fit_encoder(v, [f"v{i}" for i in range(SLOTS)])
     return rounded(latent.loadings_squared(spark, latent.fit_pca(enc.transform(v), "features", 3, enc.slots)))
 
 
@@ -255,17 +268,26 @@ def _classifier(key, **params):
 
 def q_multi_class(spark, d):
     v = splits.split_stratified(_vectors(spark, d), "label", 0.7)
-    return rounded(supervised.fit_supervised(v, "logistic", [f"v{i}" for i in range(8)], "label", {"max_iter": 50}).metrics)
+    return rounded(supervised.fit_supervised(v, "logistic", [f"v{i}" for i in range(SLOTS)], "label").metrics)
 
 
 def q_run_model(spark, d):
     """The common entry: split, fit, scores, confusion and importances."""
     rows = _documents(spark, d).select("id", "quality", *DOC_FEATURES)
     r = run_model(rows, "tree_classifier", RunConfig(DOC_FEATURES, "quality", {"max_depth": 4},
-                                                     split_method="stratified_random", importances=False))
+                                                     split_method="stratified_random"))
     return r.tables["confusion"]
 
 
+def q_run_model_lags(spark, d):
+    """Lags are prepared before the split, which is then sequential although a random one is asked for."""
+    t = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), "event_id", "ts", "event_type", "value")
+    r = run_model(t, "linear", RunConfig(["value_lag1"], "value", split_method="random", importances=False, series_cols=["event_type"],
+                                         prepare=PrepareConfig(lags={"value": [1]}, order_cols=["ts", "event_id"])))
+    return rounded(r.predictions.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg("actual").alias("mean_actual"),
+                                                        F.min("event_id").alias("least"), F.max("event_id").alias("most")))
+
+
 def q_coefficients(spark, d):
     fitted = supervised.fit_supervised(_lines(spark, d), "linear", NUMBERS, "net", evaluate=False)
     return rounded(importance.coefficient_importance(spark, fitted), 5)
@@ -274,7 +296,7 @@ def q_coefficients(spark, d):
 def q_permutation(spark, d):
     t = _lines(spark, d)
     fitted = supervised.fit_supervised(t, "linear", NUMBERS, "net", evaluate=False)
-    return rounded(importance.permutation_importance(fitted, t.filter("not is_train"), n_repeats=3))
+    return rounded(importance.permutation_importance(fitted, t.filter("not is_train")))
 
 
 def q_tree_importance(spark, d):
@@ -368,8 +390,8 @@ def q_sarima(spark, d):
 
 
 def q_suggest_order(spark, d):
-    return rounded(forecast.suggest_ar_order(table(spark, d, "events"), "value",
-                                             {"order": [[1, 0, 0], [2, 0, 0], [1, 1, 0]], "trend": ["c"]}, **BY), 5)
+    """The whole default grid."""
+    return rounded(forecast.suggest_ar_order(table(spark, d, "events"), "value", **BY), 5)
 
 
 _L = ("l AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity, l_discount, l_tax, "
@@ -405,6 +427,22 @@ SELECT round(threshold, 6) AS threshold, round(sum(n) OVER w / CAST(sum(n) OVER
 UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0"""
 
 
+def _roc_classes_sql() -> str:
+    scores = {"F": "floor(o_totalprice / 20000)", "O": "o_custkey % 7", "P": "-floor(o_totalprice / 20000)"}
+    rows = " UNION ALL ".join(f"SELECT o_orderpriority AS k, '{c}' AS class, CAST({s} AS DOUBLE) AS threshold, o_orderstatus = '{c}' AS pos FROM orders"
+                              for c, s in scores.items())
+    return f"""WITH s AS (SELECT k, class, threshold, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM ({rows}) GROUP BY ALL)
+SELECT k AS o_orderpriority, class, round(threshold, 6) + 0.0 AS threshold, round(sum(n) OVER w / CAST(sum(n) OVER a AS DOUBLE), 6) AS fpr,
+  round(CASE WHEN sum(p) OVER a > 0 THEN sum(p) OVER w / CAST(sum(p) OVER a AS DOUBLE) END, 6) AS tpr
+FROM s WINDOW w AS (PARTITION BY k, class ORDER BY threshold DESC), a AS (PARTITION BY k, class)
+UNION ALL SELECT k, class, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM s GROUP BY k, class"""
+
+
+_LAG_SPLIT = """WITH e AS (SELECT event_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS n
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT CASE WHEN rn <= round_even(n * 0.8, 0) THEN 'train' ELSE 'test' END AS dataset, count(*) AS n, round(avg(value), 6) AS mean_actual,
+  min(event_id) AS least, max(event_id) AS most FROM e GROUP BY 1"""
+
 _DIFF = """e AS (SELECT event_type, event_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS n,
   value - lag(value) OVER w AS w0 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 t AS (SELECT *, lag(w0, 1) OVER w AS w1, lag(w0, 2) OVER w AS w2 FROM e
@@ -506,7 +544,7 @@ SELECT x.event_type, event_id, CASE WHEN train THEN 'train' ELSE 'test' END AS d
 FROM x JOIN c ON c.event_type = x.event_type LEFT JOIN r ON r.event_type = x.event_type AND r.rn = x.rn"""
 
 _V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(8)) + " FROM embeddings)"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(SLOTS)) + " FROM embeddings)"
 
 QUERIES = [
     Query("feature_encoding", q_encode, f"""WITH {_L}, m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_discount) AS md,
@@ -530,6 +568,7 @@ LEFT JOIN g ON g.dataset = d.dataset AND g.l_returnflag = a.c AND g.guess = b.c
     Query("accuracy", q_accuracy, f"WITH {_GUESS} SELECT dataset, count(*) AS n, "
           "round(avg(CASE WHEN guess = l_returnflag THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM g GROUP BY 1"),
     Query("roc_curve", q_roc, _roc_sql("floor(o_totalprice / 5000)")),
+    Query("roc_one_vs_rest", q_roc_classes, _roc_classes_sql()),
     Query("roc_curve_blocks", q_roc_blocks, _roc_sql("o_totalprice")),
     Query("auc", q_auc, f"WITH {_auc_parts('u', 'floor(o_totalprice / 5000)', chr(39).join(['o_orderstatus = ', 'F', '']), 'o_orderpriority')} "
           "SELECT k AS o_orderpriority, round(auc, 6) AS auc FROM u"),
@@ -538,7 +577,7 @@ LEFT JOIN g ON g.dataset = d.dataset AND g.l_returnflag = a.c AND g.guess = b.c
             (("o_totalprice", "F"), ("o_custkey % 97", "O"), ("-o_totalprice", "P"))))
           + " SELECT round((u0.auc + u1.auc + u2.auc) / 3, 6) AS auc FROM u0, u1, u2"),
     Query("pca", q_pca),
-    Query("pca_variance", q_pca_variance, f"WITH {_V} SELECT round({' + '.join(f'var_samp(v{i})' for i in range(8))}, 6) AS total_variance, "
+    Query("pca_variance", q_pca_variance, f"WITH {_V} SELECT round({' + '.join(f'var_samp(v{i})' for i in range(SLOTS))}, 6) AS total_variance, "
           "CAST(1.0 AS DOUBLE) AS cumulative FROM v"),
     Query("loadings_squared", q_loadings),
     Query("pca_pair", q_pca_pair, f"WITH {_L}, c AS (SELECT abs(corr(l_extendedprice, cost)) AS r, CAST(count(*) AS DOUBLE) AS n FROM l WHERE is_train) "
@@ -566,12 +605,13 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("boosted_tree", q_boosted_tree, _LEAVES),
     Query("boosted_nodes", q_boosted_nodes, _SPLITS),
     Query("forest_regression", q_forest_regression),
-    Query("logistic_regression", _classifier("logistic", max_iter=50)),
+    Query("logistic_regression", _classifier("logistic")),
     Query("gbt_classifier", _classifier("gbt_classifier", n_estimators=50)),
     Query("tree_classifier", _classifier("tree_classifier", max_depth=5)),
     Query("forest_classifier", _classifier("forest_classifier", n_estimators=10, max_depth=5)),
     Query("multi_class", q_multi_class),
     Query("run_model", q_run_model),
+    Query("run_model_lags", q_run_model_lags, _LAG_SPLIT),
     Query("coefficient_importance", q_coefficients),
     Query("permutation_importance", q_permutation),
     Query("tree_importance", q_tree_importance),

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from plantlens.functions import distributions as dist
@@ -251,3 +252,21 @@ def test_keys():
     assert default_params("logistic")["C"] == 1.0
     with pytest.raises(DataError):
         model_task("nothing")
+
+
+@pytest.mark.parametrize(("p", "k"), [(40, 3), (2_100, 4)])
+def test_wide_pca(spark, p, k):
+    """Products with few vectors give the dense components; the sums left out are near the dense ones."""
+    rng = np.random.default_rng(p)
+    n = 250
+    x = rng.normal(size=(n, 12)) @ (rng.normal(size=(12, p)) * np.linspace(6, 1, 12)[:, None]) + 5 + 0.3 * rng.normal(size=(n, p))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").select(array_to_vector("features").alias("features")).repartition(4)
+    model = latent.wide_pca(df, k=k) if p < latent.WIDE_SLOTS else latent.fit_pca(df, k=k)
+    assert model.rest is not None and model.components.shape == (k, p)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    values = s ** 2 / (n - 1)
+    assert np.allclose(model.variance, values[:k], rtol=1e-8) and np.allclose(np.abs(model.components), np.abs(vt[:k]), atol=1e-6)
+    assert np.allclose(model.ratio, values[:k] / values.sum(), rtol=1e-8) and np.isclose(model.rest[0], values[k:].sum())
+    assert np.isclose(model.rest[1], (values[k:] ** 2).sum(), rtol=0.5) and np.isclose(model.rest[2], (values[k:] ** 3).sum(), rtol=0.8)
+    dense = latent.q_limit(values, k, 0.95)
+    assert np.isclose(latent.monitoring_limits(model)["q_warning_limit"], dense, rtol=0.1)

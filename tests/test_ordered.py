@@ -236,3 +236,15 @@ def test_event_frames_without_case_or_width(spark):
                       "end_time": F.lit("2024-01-01 00:01:30").cast("timestamp_ntz")})
     out = tags.event_frames(t, "STOP", analyses=["LINE"]).orderBy("event_frame").collect()
     assert [r["event_frame"] for r in out] == ["e1", "e3"] and out[0]["duration_sec"] == 90.0
+
+
+@pytest.mark.parametrize("step", ["lags", "sma"])
+def test_halo_joins_on_equal_keys(table, step):
+    """Rows reach over block edges by a join with keys, not by comparing all rows with all blocks."""
+    order = ["t", "id"]
+    if step == "lags":
+        out = features.add_lags(table, {"x": [1, 5]}, order, ["k"], block_rows=13)
+    else:
+        out = features.add_sma(table, "x", 7, center=True, order_cols=order, series_cols=["k"], block_rows=13)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
