@@ -215,6 +215,15 @@ def q_pls(spark, d):
     return rounded(fitted.metrics, 5)
 
 
+def q_pls_two(spark, d):
+    """Two components of four numbers."""
+    return rounded(supervised.fit_supervised(_lines(spark, d), "pls", NUMBERS, "net", {"n_components": 2}).metrics)
+
+
+def q_linear_numbers(spark, d):
+    return rounded(supervised.fit_supervised(_lines(spark, d), "linear", NUMBERS, "net").metrics)
+
+
 def q_vip(spark, d):
     fitted = supervised.fit_supervised(_lines(spark, d), "pls", NUMBERS, "net", evaluate=False)
     return rounded(latent.vip_scores(spark, fitted.stage))
@@ -472,33 +481,59 @@ _LEAVES = (f"{_GROWN}, m AS (SELECT leaf, avg(net) AS predicted FROM s3 WHERE is
            "SELECT round(predicted, 6) AS predicted, dataset, count(*) AS n FROM s3 JOIN m USING (leaf) GROUP BY 1, 2")
 _SPLITS = f"{_GROWN} " + " UNION ALL ".join(f"SELECT f AS feature, CAST(n AS BIGINT) AS n FROM b{i}" for i in (1, 2, 3))
 
-def _pls_sql(x: list[str], y: str, folds: int, most: int) -> str:
-    """PLS fits by deflation of the correlations of each training part, and their errors on the folds left out."""
+def _pls_ctes(x: list[str], y: str, part: str, held_out: str, most: int) -> list[str]:
+    """CTEs s1, s2, ...: PLS fits on the rows of `r` outside part f, by deflation of their correlations. Row f has means m, deviations d,
+    coefficients c on the scaled columns, and the weights w and explained sums ss of each component."""
     n, pairs = range(len(x)), [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
-    ctes = [f"{_L}, r AS (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % {folds} AS part FROM l), k AS (SELECT unnest(range({folds})) AS f)",
+    dot = lambda u, v: " + ".join(f"{u}{i} * {v}{i}" for i in n)
+    ctes = [f"{_L}, r AS (SELECT *, {part} AS part FROM l), k AS (SELECT unnest({held_out}) AS f)",
             "s0 AS (SELECT f, count(*) AS n, " + ", ".join(
                 [f"corr({x[i]}, {x[j]}) * (count(*) - 1) AS {a(i, j)}" for i, j in pairs] + [f"corr({x[i]}, {y}) * (count(*) - 1) AS b{i}" for i in n]
                 + [f"avg({x[i]}) AS m{i}, stddev_samp({x[i]}) AS d{i}, 0.0 AS c{i}" for i in n] + [f"avg({y}) AS my, stddev_samp({y}) AS dy"])
             + " FROM k JOIN r ON part <> f GROUP BY f)"]
-    dot = lambda u, v: " + ".join(f"{u}{i} * {v}{i}" for i in n)
     for s in range(1, most + 1):
         ctes += [f"w{s} AS (SELECT *, " + ", ".join(f"b{i} / sqrt({dot('b', 'b')}) AS w{s}_{i}" for i in n) + f" FROM s{s - 1})",
                  f"v{s} AS (SELECT *, " + ", ".join("(" + " + ".join(f"{a(i, j)} * w{s}_{j}" for j in n) + f") AS v{i}" for i in n) + f" FROM w{s})",
                  f"t{s} AS (SELECT *, {dot(f'w{s}_', 'v')} AS tt, {dot(f'w{s}_', 'b')} AS wb FROM v{s})",
-                 f"p{s} AS (SELECT *, " + ", ".join(f"v{i} / tt AS p{s}_{i}" for i in n) + f" FROM t{s})",
+                 f"p{s} AS (SELECT *, wb * wb / tt AS ss{s}, " + ", ".join(f"v{i} / tt AS p{s}_{i}" for i in n) + f" FROM t{s})",
                  f"r{s} AS (SELECT *, " + ", ".join(f"w{s}_{i}" + "".join(f" - ({dot(f'p{c}_', f'w{s}_')}) * r{c}_{i}" for c in range(1, s)) + f" AS r{s}_{i}"
                                                     for i in n) + f" FROM p{s})",
                  f"s{s} AS (SELECT * EXCLUDE (tt, wb, {', '.join(f'v{i}' for i in n)}) REPLACE (" + ", ".join(
                      [f"{a(i, j)} - tt * p{s}_{i} * p{s}_{j} AS {a(i, j)}" for i, j in pairs] + [f"b{i} - wb * p{s}_{i} AS b{i}" for i in n]
-                     + [f"c{i} + wb / tt * r{s}_{i} AS c{i}" for i in n]) + f") FROM r{s})",
-                 f"e{s} AS (SELECT f, sqrt(avg(pow({y} - my - dy * (" + " + ".join(f"c{i} * ({x[i]} - m{i}) / d{i}" for i in n)
-                 + f"), 2))) AS e FROM s{s} JOIN r ON part = f GROUP BY f)"]
+                     + [f"c{i} + wb / tt * r{s}_{i} AS c{i}" for i in n]) + f") FROM r{s})"]
+    return ctes
+
+
+def _pls_guess(x: list[str]) -> str:
+    return "(my + dy * (" + " + ".join(f"c{i} * ({v} - m{i}) / d{i}" for i, v in enumerate(x)) + "))"
+
+
+def _pls_grid_sql(x: list[str], y: str, folds: int, most: int) -> str:
+    """Mean error of 1, 2, ... components over the folds left out."""
+    ctes = _pls_ctes(x, y, f"CAST(split_part(id, '-', 1) AS BIGINT) % {folds}", f"range({folds})", most)
+    ctes += [f"e{s} AS (SELECT f, sqrt(avg(pow({y} - {_pls_guess(x)}, 2))) AS e FROM s{s} JOIN r ON part = f GROUP BY f)" for s in range(1, most + 1)]
     return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(
         f"SELECT CAST({s - 1} AS INTEGER) AS candidate, '{{''n_components'': {s}}}' AS params, round(avg(e), 6) AS rmse, CAST({folds} AS INTEGER) AS folds "
         f"FROM e{s}" for s in range(1, most + 1))
 
 
+def _pls_fit_sql(x: list[str], y: str, k: int, then: str) -> str:
+    """A query on s, the fit with k components on the training rows, and p, all rows with their prediction."""
+    ctes = _pls_ctes(x, y, "CASE WHEN is_train THEN 0 ELSE 1 END", "[1]", k)
+    return "WITH " + ",\n".join([*ctes, f"s AS (SELECT * FROM s{k})", f"p AS (SELECT r.*, {_pls_guess(x)} AS predicted FROM r, s)"]) + " " + then
+
+
+_PLS_TWO = _pls_fit_sql(NUMBERS, "net", 2, _metrics_sql("p", "net", "predicted"))
+# as many components as numbers are least squares
+_LEAST_SQUARES = _pls_fit_sql(NUMBERS, "net", len(NUMBERS), _metrics_sql("p", "net", "predicted"))
+_COEFFICIENTS = _pls_fit_sql(NUMBERS, "net", len(NUMBERS), " UNION ALL ".join(
+    f"SELECT '{v}' AS feature, round(c{i}, 5) + 0.0 AS beta, round(abs(c{i}), 5) AS abs_beta FROM s" for i, v in enumerate(NUMBERS)))
+_VIP = _pls_fit_sql(NUMBERS, "net", 2, " UNION ALL ".join(
+    f"SELECT '{v}' AS feature, round(sqrt({len(NUMBERS)} * (w1_{i} * w1_{i} * ss1 + w2_{i} * w2_{i} * ss2) / (ss1 + ss2)), 6) AS vip FROM s"
+    for i, v in enumerate(NUMBERS)))
+
+
 # a number that is scaled to mean 0 leaves the intercept to the mean of the target
 _LINEAR_GRID = f"""WITH {_L}, r AS (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % 5 AS part FROM l),
 c AS (SELECT f, regr_slope(net, l_quantity) AS b, regr_intercept(net, l_quantity) AS a FROM (SELECT unnest(range(5)) AS f) JOIN r ON part <> f GROUP BY f),
@@ -600,7 +635,9 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("ica", q_ica, f"WITH {_L} SELECT DISTINCT dataset, CAST(0.0 AS DOUBLE) AS reconstruction_rmse FROM l"),
     Query("suggest_ica_components", q_suggest_ica),
     Query("pls_regression", q_pls, f"WITH {_LINE} " + _metrics_sql("p", "net", "predicted", 5)),
-    Query("vip_scores", q_vip),
+    Query("pls_two_components", q_pls_two, _PLS_TWO),
+    Query("linear_regression_numbers", q_linear_numbers, _LEAST_SQUARES),
+    Query("vip_scores", q_vip, _VIP),
     Query("gbt_regression", q_gbt_regression),
     Query("boosted_tree", q_boosted_tree, _LEAVES),
     Query("boosted_nodes", q_boosted_nodes, _SPLITS),
@@ -612,12 +649,12 @@ SELECT id, round((c * pow(v0 - m0, 2) - 2 * b * (v0 - m0) * (v1 - m1) + a * pow(
     Query("multi_class", q_multi_class),
     Query("run_model", q_run_model),
     Query("run_model_lags", q_run_model_lags, _LAG_SPLIT),
-    Query("coefficient_importance", q_coefficients),
+    Query("coefficient_importance", q_coefficients, _COEFFICIENTS),
     Query("permutation_importance", q_permutation),
     Query("tree_importance", q_tree_importance),
     Query("tree_nodes", q_tree_nodes),
     Query("model_round_trip", q_model_round_trip, f"WITH {_LINE} " + _metrics_sql("p", "net", "predicted", 5)),
-    Query("grid_search", q_grid_search, _pls_sql(NUMBERS, "net", 5, 4)),
+    Query("grid_search", q_grid_search, _pls_grid_sql(NUMBERS, "net", 5, 4)),
     Query("grid_search_linear", q_grid_search_linear, _LINEAR_GRID),
     Query("random_search", q_random_search),
     Query("search_workload", q_workload,
