@@ -199,12 +199,11 @@ def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 
     twice = stored(docs.mapInArrow(_head_shingles(size, percent, seen), "shingle bigint").groupBy("shingle").count().where("count > 1").select("shingle"), "twice")
     entries = stored(docs.mapInArrow(_entries(size, percent, seen, Bitmap(twice)), "shingle bigint, node bigint, n int, i int"), "entries")
-    # the same set may come from several tasks, and a bit may stand for several shingles
-    grouped = entries.repartition("shingle").dropDuplicates(["shingle", "node"])
-    hubs = grouped.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.count("*").alias("sets"))
-    hubs = stored(hubs.where("sets > 1").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
-    shared = stored(grouped.join(hubs.select("shingle"), "shingle", "left_semi"), "shared")
+    # the same set may come from several tasks; what a bit let through without a partner finds none below
+    shared = stored(entries.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("i").alias("i")), "shared")
     _remove(spark, twice, entries)
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.count("*").alias("sets"))
+    hubs = stored(hubs.where("sets > 1").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
     stars = shared.alias("x").join(hubs.alias("h"), "shingle").where(f"x.node <> h.node AND {_bound('x', 'h', percent)}")
     pairs = stored(stars.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
     _remove(spark, hubs)
