@@ -12,9 +12,8 @@ the manifest is written when all tasks are done, so a lost executor leaves no ha
 of any kind that pyarrow.fs opens by URI (file, hdfs, s3, gs, abfs). Readers take whole files, at most `file_bytes` and
 one document large, or single records by the index.
 
-The tokenizer is the library's. As its pre-tokenizer never joins characters over a single white space between two
-others, texts are cut before those and equal pieces are encoded once for each worker (a bounded memory of pieces).
-Texts with other white space are cut where that holds, texts that hold a special token are encoded whole.
+The tokenizer is the library's. Texts are cut into its pre-tokens over whole columns (`pretokens`), equal ones are encoded
+once for each worker (a bounded memory of pre-tokens), and a text's ids are taken from theirs.
 
 Cases: a null text counts as empty and still gets its end id; null ids come first; repeated rows are separate records,
 ordered by text; an empty table gives no files and an empty result; extra columns are ignored.
@@ -22,13 +21,10 @@ ordered by text; an empty table gives no files and an empty result; extra column
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import scratch_path, stored
+from plantlens.llm.parts import parts
+from plantlens.llm.pretokens import dictionary, pre_tokenizer
 from plantlens.llm.sized import small_or_shuffled
 
 END_ID = 2
 FILE_BYTES = 32 << 20
-# Pieces of text a worker remembers with their ids, some 200 bytes each.
+# Pre-tokens a worker remembers with their ids, some 200 bytes each, and how many are encoded at once.
 MOST_PIECES = 600_000
+_ENCODED_AT_ONCE = 20_000
 _MASK = 0xA282EAD8
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n", "<u4")])
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -58,45 +56,39 @@ class Encoder:
     """Whole-text ids as bytes, equal to the library's."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # pieces that follow a space, kept without it (None: not to be cut there); pieces as they are
-        self.after_space: dict[str, bytes | None] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.cutter = pre_tokenizer(path)
+        self.kind = np.dtype("<u2") if self.cutter.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens; each is encoded when it is met first."""
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > MOST_PIECES:
+            self.known.clear()
+            new = pieces
         kind = self.kind.char
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.after_space) + len(self.plain) > MOST_PIECES:
-            self.after_space.clear()
-            self.plain.clear()
-        spaced = [t.replace("\n", " \n").split(" ") for t in texts]
-        first = [p.pop(0) for p in spaced]
-        new = set(chain.from_iterable(spaced)).difference(self.after_space)
-        # a piece without white space, but for a line break at its start, is encoded as it stands after a space
-        fine = [p for p in new if (p[1:] if p[:1] == "\n" else p).split() == [p[1:] if p[:1] == "\n" else p]]
-        self.after_space.update(dict.fromkeys(new))
-        self.after_space.update(zip(fine, self._ids([p if p[0] == "\n" else " " + p for p in fine])))
-        found = [list(map(self.after_space.__getitem__, p)) for p in spaced]
-        plain: list[list[str]] = []
-        for k, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                plain.append([t])
-                found[k] = []
-            elif None in found[k] or first[k].split() != [first[k]][:bool(first[k])]:
-                plain.append(_CUT.split(t))
-                found[k] = []
-            else:
-                plain.append([first[k]])
-        missing = list(set(chain.from_iterable(plain)).difference(self.plain))
-        self.plain.update(zip(missing, self._ids(missing)))
-        return [b"".join(map(self.plain.__getitem__, p)) + b"".join(f) for p, f in zip(plain, found)]
+        for at in range(0, len(new), _ENCODED_AT_ONCE):
+            some = new[at:at + _ENCODED_AT_ONCE]
+            self.known.update(zip(some, (array(kind, e.ids).tobytes() for e in self.cutter.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        return list(map(self.known.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text: those of a part's distinct pre-tokens, taken in the order of the text."""
+        width = self.kind.itemsize
+        for first, last, edges, data in parts(texts):
+            starts, before = self.cutter.cut(data, edges)
+            values, index = dictionary(data, starts)
+            found = self._ids(values.to_pylist())
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            ids = np.frombuffer(b"".join(found), self.kind)
+            # place of every id of the part among the ids of the distinct pre-tokens
+            each = sizes[index]
+            ahead = np.concatenate([[0], np.cumsum(each)])
+            taken = ids[np.arange(ahead[-1]) + np.repeat(offsets[index] - ahead[:-1], each)]
+            ends = ahead[before]
+            for k in range(last - first):
+                yield taken[ends[k]:ends[k + 1]].tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -177,8 +169,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = EN
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text"))):
                     files.add(doc_id, ids + end, enc.kind.itemsize)
         files.close()
         names, records, ids, size = zip(*files.done) if files.done else ((), (), (), ())
