@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import stored
-from plantlens.llm.words import text_of, word_count
+from plantlens.llm.words import text_of, unused, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -52,29 +52,31 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         seed: int = SEED, slice_rows: int = SLICE_ROWS, tie: str | None = None) -> DataFrame:
     """Add source_size, target and taken to a table with doc_id, source and size; its other columns stay. `tie` names a column
     that orders rows of one id and size."""
+    # names of own columns, whatever the table's are called
+    of_source, of_slice, key, unit, slices, slice_, inside, ahead = (
+        unused(sized, f"mix_{n}") for n in ("of_source", "of_slice", "key", "unit", "slices", "slice", "inside", "ahead"))
     by_source = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "sources")
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = by_source.withColumn("weight", cyclic_weight(F.row_number().over(order) - 1, weights))
     total = by_source.agg(F.sum("source_size")).first()[0] or 0
     wanted = targets(ranked, share * total, most_epochs).select(
-        F.col("source").alias("of_source"), "source_size", "target",
-        F.ceil(F.col("n_docs") / slice_rows).alias("slices"))
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    unit = (F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53)))
-    placed = (sized.withColumn("key", key).join(wanted, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-              .withColumn("slice", F.floor(unit * F.col("slices"))).withColumn("unit", unit))
-    sums = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    before = sums.select(F.col("source").alias("of_source"), F.col("slice").alias("of_slice"),
-                         (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("ahead"))
-    within = Window.partitionBy("source", "slice").orderBy("unit", "key", "doc_id", "size", *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
+        F.col("source").alias(of_source), "source_size", "target", F.ceil(F.col("n_docs") / slice_rows).alias(slices))
+    hashed = F.xxhash64(F.lit(seed), "doc_id")
+    share_of = F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
+    placed = (sized.withColumn(key, hashed).drop("source_size", "target", "taken").join(wanted, F.col("source").eqNullSafe(F.col(of_source)))
+              .drop(of_source).withColumn(slice_, F.floor(share_of * F.col(slices))).withColumn(unit, share_of))
+    sums = placed.groupBy("source", slice_).agg(F.sum("size").alias("slice_size"))
+    before = sums.select(F.col("source").alias(of_source), F.col(slice_).alias(of_slice),
+                         (F.sum("slice_size").over(Window.partitionBy("source").orderBy(slice_)) - F.col("slice_size")).alias(ahead))
+    within = Window.partitionBy("source", slice_).orderBy(unit, key, "doc_id", "size", *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
-    start = F.col("ahead") + F.col("inside") - F.col("size")
+    start = F.col(ahead) + F.col(inside) - F.col("size")
     rest = words - epochs * F.col("source_size") - start
-    return (placed.withColumn("inside", F.sum("size").over(within))
-            .join(before, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("slice") == F.col("of_slice")))
+    return (placed.withColumn(inside, F.sum("size").over(within))
+            .join(before, F.col("source").eqNullSafe(F.col(of_source)) & (F.col(slice_) == F.col(of_slice)))
             .withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long"))
-            .drop("of_source", "of_slice", "ahead", "inside", "slice", "slices", "key", "unit"))
+            .drop(of_source, of_slice, ahead, inside, slice_, slices, key, unit))
 
 
 def cuts(sized: DataFrame, tie: str, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS,

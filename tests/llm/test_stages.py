@@ -91,3 +91,13 @@ def test_stages_of_an_empty_table(spark):
     docs = table(spark, ["x"]).where("false")
     for stage in (stages.known_language, stages.one_of_each_group, stages.without_personal_data, stages.mixed):
         assert stage(docs).collect() == []
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 2}", 3 + i % 4) for i in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    extra = plain.withColumns({n: F.col("doc_id") * 10 for n in ("key", "unit", "slice", "slices", "inside", "ahead", "mix_key", "taken")})
+    found = {r.doc_id: r for r in mixing.mix(extra).collect()}
+    assert all(r.key == r.unit == r.slice == r.slices == r.inside == r.ahead == r.mix_key == 10 * i for i, r in found.items())
+    assert {i: r.taken for i, r in found.items()} == {r.doc_id: r.taken for r in mixing.mix(plain).collect()}
+    assert mixing.digest(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
