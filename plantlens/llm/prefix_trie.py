@@ -128,13 +128,18 @@ def _own_value() -> Column:
     return (F.col("n_convs") - 1) * F.col("chars")
 
 
+def _starts_segment() -> Column:
+    """Whether a node is the first of a later segment, whose parent belongs to the segment before."""
+    return (F.col("depth") > SEGMENT) & ((F.col("depth") - 1) % SEGMENT == 0)
+
+
 def _merged(open_nodes: DataFrame) -> DataFrame:
     """One complete row for every open node, but for its parent's conv_id."""
     one = stored(open_nodes.groupBy("p", "q").agg(
         *[F.first(c).alias(c) for c in ("pp", "pq", "seg", "depth", "chars", "path_p", "path_q")],
         F.min("conv_id").alias("conv_id"), F.bool_or("more").alias("more"),
         *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]), "open")
-    children = one.where("pp IS NOT NULL").groupBy(F.col("pp").alias("p"), F.col("pq").alias("q")).agg(F.count("*").alias("open_children"))
+    children = one.where(F.col("pp").isNotNull() & ~_starts_segment()).groupBy(F.col("pp").alias("p"), F.col("pq").alias("q")).agg(F.count("*").alias("open_children"))
     counted = one.join(children, ["p", "q"], "left").withColumn("n_children", F.col("n_children") + F.coalesce("open_children", F.lit(0)))
     leaf = F.when((F.col("n_children") == 0) & ~F.col("more"), 1).otherwise(0)
     counted = stored(counted.withColumn("add_leaves", F.col("n_leaves") + leaf).withColumn("add_saved", F.col("saved_tokens") + _own_value()), "open")
@@ -173,8 +178,7 @@ def _paths(segments: DataFrame) -> DataFrame:
 def _linked(nodes: DataFrame, segments: DataFrame) -> DataFrame:
     """Nodes of conversations with several segments, linked from one segment to the next."""
     joint = F.col("depth") % SEGMENT == 0
-    head = (F.col("depth") > SEGMENT) & ((F.col("depth") - 1) % SEGMENT == 0)
-    children = nodes.where(head).groupBy(F.col("pp").alias("p"), F.col("pq").alias("q")).agg(F.count("*").alias("next_children"))
+    children = nodes.where(_starts_segment()).groupBy(F.col("pp").alias("p"), F.col("pq").alias("q")).agg(F.count("*").alias("next_children"))
     nodes = stored(nodes.join(children, ["p", "q"], "left").withColumn("n_children", F.col("n_children") + F.coalesce("next_children", F.lit(0)))
                    .drop("next_children"), "nodes")
     own = nodes.where("seg > 0").groupBy("conv_id", "seg").agg(
