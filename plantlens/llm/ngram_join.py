@@ -149,6 +149,15 @@ def _whole(size: int, wanted: Bitmap):
     return run
 
 
+def _with_partner(entries: DataFrame, shingles: Bitmap) -> DataFrame:
+    """Entries whose shingle may be among the given ones; no row is moved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shingles(batch.column("shingle").to_numpy())))
+
+    return entries.mapInArrow(run, entries.schema)
+
+
 def _bound(x: str, y: str, percent: int) -> str:
     """SQL: entries of two sets x and y may be the first that similar sets share."""
     return (f"(1 + least({x}.n - {x}.i - 1, {y}.n - {y}.i - 1)) * {100 + percent} >= {percent} * ({x}.n + {y}.n) "
@@ -199,11 +208,14 @@ def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 
     twice = stored(docs.mapInArrow(_head_shingles(size, percent, seen), "shingle bigint").groupBy("shingle").count().where("count > 1").select("shingle"), "twice")
     entries = stored(docs.mapInArrow(_entries(size, percent, seen, Bitmap(twice)), "shingle bigint, node bigint, n int, i int"), "entries")
-    # the same set may come from several tasks; what a bit let through without a partner finds none below
-    shared = stored(entries.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("i").alias("i")), "shared")
+    # the same set may come from several tasks
+    once = stored(entries.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("i").alias("i")), "once")
     _remove(spark, twice, entries)
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.count("*").alias("sets"))
+    hubs = once.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.count("*").alias("sets"))
     hubs = stored(hubs.where("sets > 1").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
+    # shingles of one set only go by a bitmap; what it lets through finds no partner below
+    shared = stored(_with_partner(once, Bitmap(hubs.select("shingle"))), "shared")
+    _remove(spark, once)
     stars = shared.alias("x").join(hubs.alias("h"), "shingle").where(f"x.node <> h.node AND {_bound('x', 'h', percent)}")
     pairs = stored(stars.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
     _remove(spark, hubs)
