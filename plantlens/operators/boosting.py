@@ -23,15 +23,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import stored
 from plantlens.operators.identity import DataError
 
 MOST_BINS = 255
-# Cells of a sample that bin borders are taken from; all rows while they are fewer.
-SAMPLE_CELLS = 20_000_000
 # Histograms that the driver and a task may hold at a time.
 HISTOGRAM_BYTES = 512 << 20
 # Smallest leaf in rows and in second derivatives.
@@ -144,22 +142,49 @@ def _derivatives(loss: str, raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return p - (np.arange(k)[:, None] == y[None, :]), k / (k - 1) * p * (1 - p)
 
 
+def _value_counts(rows: DataFrame, vector: str, n_slots: int) -> DataFrame:
+    """slot, x and n for every distinct value; a batch counts its own rows first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, n_slots)
+            for j in range(n_slots):
+                values, counts = np.unique(x[:, j], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), j, np.int32)), pa.array(values), pa.array(counts)], ["slot", "x", "n"])
+
+    found = rows.select(vector_to_array(vector).alias("x")).mapInArrow(run, "slot int, x double, n bigint")
+    return found.groupBy("slot", "x").agg(F.sum("n").alias("n"))
+
+
 def bin_edges(rows: DataFrame, vector: str, n_rows: int, n_slots: int) -> list[np.ndarray]:
-    """Borders between bins for each slot: between all neighbouring values, or between quantiles where these are too many."""
-    wanted = max(1, SAMPLE_CELLS // n_slots)
-    sample = rows.select(vector_to_array(vector).alias("x"))
-    if n_rows > wanted:
-        sample = sample.sample(wanted / n_rows, seed=17)
-    x = np.array([r.x for r in sample.collect()]).reshape(-1, n_slots)
-    edges = []
-    for j in range(n_slots):
-        values, counts = np.unique(x[:, j], return_counts=True)
-        last = np.arange(len(values) - 1)
-        if len(values) > MOST_BINS:
-            share = np.cumsum(counts) / counts.sum() * MOST_BINS
-            last = np.unique(np.minimum(np.searchsorted(share, np.arange(1, MOST_BINS)), len(values) - 2))
-        edges.append((values[last] + values[last + 1]) / 2)
-    return edges
+    """Borders between bins for each slot: between all neighbouring values, or between quantiles where these are too many.
+
+    All rows count. Distinct values are put in order in ranges, with running counts inside a range and before it, so that
+    the driver gets the borders alone, at most 254 a slot.
+    """
+    counts = stored(_value_counts(rows, vector, n_slots), "values")
+    ranged = stored(counts.repartitionByRange("slot", "x").withColumn("part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("part", "slot").orderBy("x")
+    before = Window.partitionBy("slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("slot").orderBy("part")
+    whole = Window.partitionBy("slot")
+    # a row for each range of each slot
+    parts = ranged.groupBy("part", "slot").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"), F.min("x").alias("_first")).select(
+        "part", "slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("values_before"),
+        F.lead("_first").over(later).alias("next_first"), F.sum("_k").over(whole).alias("all_values"))
+    upto = F.col("rows_before") + F.sum("n").over(inside)
+    share = lambda seen: seen.cast("double") / F.lit(float(n_rows)) * F.lit(float(MOST_BINS))
+    data = ranged.join(F.broadcast(parts), ["part", "slot"]).select(
+        "slot", "x", F.coalesce(F.lead("x").over(inside), F.col("next_first")).alias("after"), (F.col("all_values") - 1 - F.col("values_before") - F.row_number().over(inside)).alias("left"),
+        "all_values", share(upto).alias("share"), share(upto - F.col("n")).alias("share_before"))
+    # a value closes a bin where the share of rows up to it reaches a whole number; the one before the last does it in its place
+    reaches = (F.floor("share") > F.floor("share_before")) & (F.col("share_before") < F.lit(float(MOST_BINS - 1)))
+    instead = (F.col("left") == 0) & (F.col("share") < F.lit(float(MOST_BINS - 1)))
+    chosen = data.where((F.col("left") >= 0) & ((F.col("all_values") <= MOST_BINS) | reaches | instead))
+    edges = chosen.select("slot", "x", ((F.col("x") + F.col("after")) / 2).alias("edge")).toArrow()
+    slot, x, edge = (edges.column(c).to_numpy() for c in ("slot", "x", "edge"))
+    order = np.lexsort((x, slot))
+    ends = np.searchsorted(slot[order], np.arange(n_slots + 1))
+    return [edge[order][lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
 
 
 def _binned(rows: DataFrame, vector: str, label: str, edges: list[np.ndarray], start: np.ndarray) -> DataFrame:

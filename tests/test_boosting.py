@@ -98,3 +98,21 @@ def test_nothing_to_split(spark):
     assert model.rounds == () and np.allclose(model.raw(np.ones((2, 1))), 2.0)
     with pytest.raises(DataError):
         fit_boosting(df.limit(0), "v", "y")
+
+
+def test_borders_come_from_all_rows_and_rows_stay_off_the_driver(spark, monkeypatch):
+    """Many, few and heavy values over several ranges; nothing but the borders is collected."""
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.normal(size=4000), rng.integers(0, 9, 4000) / 10, np.where(rng.random(4000) < 0.97, 9.0, rng.normal(size=4000)),
+                  np.where(rng.random(4000) < 0.97, 1.0, rng.integers(0, 256, 4000)), np.zeros(4000)], axis=1)
+    data = spark.createDataFrame([(Vectors.dense(r), 0.0) for r in x], ROWS).repartition(6)
+    monkeypatch.setattr(boosting, "SAMPLE_CELLS", 100, raising=False)
+    monkeypatch.setattr(type(data), "collect", lambda self: pytest.fail("rows were collected"))
+    found = boosting.bin_edges(data, "v", 4000, 5)
+    for j, edges in enumerate(found):
+        values, counts = np.unique(x[:, j], return_counts=True)
+        last = np.arange(len(values) - 1)
+        if len(values) > boosting.MOST_BINS:
+            share = np.cumsum(counts) / 4000 * boosting.MOST_BINS
+            last = np.unique(np.minimum(np.searchsorted(share, np.arange(1, boosting.MOST_BINS)), len(values) - 2))
+        assert np.array_equal(edges, (values[last] + values[last + 1]) / 2)
