@@ -2,8 +2,8 @@
 
 Features are cut into at most `MOST_BINS` bins once, and the binned rows are stored as one byte a cell. Every pass sends the
 trees grown so far to the tasks and brings back sums of gradients, of second derivatives and of rows for each bin of each slot
-of the leaves that are to be split, added up on the way (a tree reduction), so that the driver holds one histogram for
-each open leaf and nothing that grows with the rows. Of two siblings the smaller one is counted, the other is the
+of the leaves that are to be split, added up by a shuffle, so that the driver gets one histogram for each open leaf, of the
+bins in use, and nothing that grows with the rows or their partitions. Of two siblings the smaller one is counted, the other is the
 difference to their parent.
 
 Leaves are split best first. Whether a leaf is worth a split does not depend on other leaves, so a pass looks into all leaves
@@ -15,8 +15,9 @@ deep. The trees of all classes of a soft-max model grow in the same passes.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ LEAST_ROWS, LEAST_HESSIAN = 20, 1e-3
 # Scores are stored again after so many rounds; until then they are worked out from the trees since.
 _REFRESH = 20
 _WIDTH = MOST_BINS + 1
+# Cells of a histogram that go through a shuffle as one value.
+_CHUNK = 16_384
 
 
 @dataclass(frozen=True)
@@ -280,16 +283,17 @@ def _best_split(h: np.ndarray, sums: np.ndarray, n_edges: np.ndarray, least_rows
 
 
 class _Pass:
-    """Histograms of chosen nodes of the growing trees over a partition."""
+    """Histograms of chosen nodes of the growing trees over a partition, in numbered pieces of _CHUNK cells."""
 
-    def __init__(self, loss: str, n_slots: int, n_scores: int, rounds: Sequence[Sequence[Tree]], trees: Sequence[Tree], wanted: Sequence[Sequence[int]]) -> None:
+    def __init__(self, loss: str, n_slots: int, n_scores: int, rounds: Sequence[Sequence[Tree]], trees: Sequence[Tree], wanted: Sequence[Sequence[int]],
+                 starts: np.ndarray) -> None:
         self.args = (n_slots, n_scores, rounds)
-        self.loss, self.trees, self.wanted = loss, trees, wanted
+        self.loss, self.trees, self.wanted, self.starts = loss, trees, wanted, starts
 
-    def __call__(self, rows: Iterator) -> Iterator[np.ndarray]:
-        n_slots = self.args[0]
+    def __call__(self, part: int, rows: Iterator) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
+        n_slots, starts = self.args[0], self.starts
         n_nodes = sum(map(len, self.wanted))
-        total = np.zeros((3, n_slots, n_nodes * _WIDTH))
+        total = np.zeros((3, n_nodes, starts[-1]))
         for row in rows:
             bins, y, raw = _piece(row, *self.args)
             g, h = _derivatives(self.loss, raw, y)
@@ -300,12 +304,20 @@ class _Pass:
                 ahead += len(wanted)
                 place = number[tree.leaves_of_bins(bins)]
                 mine = np.flatnonzero(place >= 0)
-                base = place[mine] * _WIDTH
+                place = place[mine]
                 for j in range(n_slots):
-                    key = base + bins[j, mine]
+                    lo, hi = starts[j], starts[j + 1]
+                    key = place * (hi - lo) + bins[j, mine]
                     for i, weight in enumerate((g[k, mine], h[k, mine], None)):
-                        total[i, j] += np.bincount(key, weight, n_nodes * _WIDTH)
-        yield total
+                        total[i, :, lo:hi] += np.bincount(key, weight, n_nodes * (hi - lo)).reshape(n_nodes, -1)
+        flat = total.ravel()
+        for c, lo in enumerate(range(0, len(flat), _CHUNK)):
+            yield c, (part, flat[lo:lo + _CHUNK])
+
+
+def _in_order(parts: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Sums in the order of the partitions, so that reruns agree."""
+    return reduce(np.add, [a for _, a in sorted(parts, key=lambda p: p[0])])
 
 
 def _grow(data: RDD, one: _Pass, n_edges: np.ndarray, n_leaves: int, least_rows: int) -> list[_Growing]:
@@ -314,9 +326,15 @@ def _grow(data: RDD, one: _Pass, n_edges: np.ndarray, n_leaves: int, least_rows:
     n_parts = data.getNumPartitions()
 
     def histograms(trees: Sequence[_Growing], wanted: Sequence[Sequence[int]]) -> np.ndarray:
-        run = _Pass(one.loss, n_slots, n_scores, rounds, [t.as_tree() for t in trees], wanted)
-        sums = data.mapPartitions(run).treeReduce(np.add, depth=1 if n_parts <= 32 else 2)
-        return sums.reshape(3, n_slots, -1, _WIDTH).transpose(2, 0, 1, 3)
+        n_nodes = sum(map(len, wanted))
+        run = _Pass(one.loss, n_slots, n_scores, rounds, [t.as_tree() for t in trees], wanted, one.starts)
+        n_chunks = -(-3 * n_nodes * int(one.starts[-1]) // _CHUNK)
+        pieces = data.mapPartitionsWithIndex(run).groupByKey(min(n_parts, n_chunks)).mapValues(_in_order).collect()
+        sums = np.concatenate([a for _, a in sorted(pieces, key=lambda p: p[0])]).reshape(3, n_nodes, -1)
+        out = np.zeros((n_nodes, 3, n_slots, _WIDTH))
+        for j, (lo, hi) in enumerate(zip(one.starts[:-1], one.starts[1:])):
+            out[:, :, j, :hi - lo] = sums[:, :, lo:hi].transpose(1, 0, 2)
+        return out
 
     def look_into(tree: _Growing, at: int, histogram: np.ndarray) -> None:
         node = tree.nodes[at]
@@ -390,6 +408,7 @@ def fit_boosting(rows: DataFrame, vector: str, label: str, n_classes: int = 0, n
     start = np.array([facts["mean"]] if loss == "squares" else [np.log(share[1] / share[0])] if loss == "logistic" else np.log(share))
     edges = bin_edges(rows, vector, facts["n"], n_slots)
     n_edges = np.array([len(e) for e in edges])
+    starts = np.concatenate([[0], np.cumsum(n_edges + 1)])
     binned = _binned(rows, vector, label, edges, start)
     done: list[tuple[Tree, ...]] = []
     data, since = None, 0
@@ -400,7 +419,7 @@ def fit_boosting(rows: DataFrame, vector: str, label: str, n_classes: int = 0, n
                 binned = _with_scores(binned, done[since:], n_slots, n_scores)
             data = binned.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
             since = i
-        one = _Pass(loss, n_slots, n_scores, done[since:], (), ())
+        one = _Pass(loss, n_slots, n_scores, done[since:], (), (), starts)
         grown = _grow(data, one, n_edges, num_leaves, least_rows)
         trees = tuple(_cut_to(t, edges, num_leaves, learning_rate) for t in grown)
         if all(len(t.slot) == 1 for t in trees):

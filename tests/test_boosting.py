@@ -116,3 +116,28 @@ def test_borders_come_from_all_rows_and_rows_stay_off_the_driver(spark, monkeypa
             share = np.cumsum(counts) / 4000 * boosting.MOST_BINS
             last = np.unique(np.minimum(np.searchsorted(share, np.arange(1, boosting.MOST_BINS)), len(values) - 2))
         assert np.array_equal(edges, (values[last] + values[last + 1]) / 2)
+
+
+def test_driver_gets_one_histogram_whatever_the_partitions(spark, monkeypatch):
+    """Cells that reach the driver are the same for 2 and 12 partitions, and only of bins in use; so are the trees."""
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.integers(0, 50, 6000), rng.integers(0, 2, 6000), rng.integers(0, 3, 6000)], axis=1).astype(float)
+    data = spark.createDataFrame([(Vectors.dense(r), float(r @ [1, 30, 8])) for r in x], ROWS)
+    kind = type(data.rdd)
+    plain, seen = kind.collect, []
+
+    def collect(self):
+        out = plain(self)
+        seen.append(sum(np.size(a) for row in out for a in (row if isinstance(row, tuple) else [row]) if isinstance(a, np.ndarray)))
+        return out
+
+    fits = []
+    for n in (2, 12):
+        parts = data.repartition(n)
+        monkeypatch.setattr(kind, "collect", collect)
+        found = fit_boosting(parts, "v", "y", n_estimators=2, num_leaves=6)
+        monkeypatch.setattr(kind, "collect", plain)
+        fits.append((list(seen), [[t.slot.tolist() for t in r] for r in found.rounds]))
+        seen.clear()
+    assert fits[0] == fits[1]
+    assert max(fits[0][0]) <= 3 * 5 * (50 + 2 + 3)
