@@ -291,10 +291,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Add `piece_ids` and `decodes`, whether they decode to the text, in one pass."""
-    docs = docs.drop("piece_ids", "decodes")
-    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())])
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text", n: int = N_BEST) -> DataFrame:
+    """Add `piece_ids` and its `score`, `next_scores` and `next_ids` of the next n - 1 segmentations, and `decodes`, whether the
+    best one decodes to the text, in one pass."""
+    fields = T.StructType.fromDDL(
+        "piece_ids array<int>, score double, next_scores array<double>, next_ids array<array<int>>, decodes boolean").fields
+    docs = docs.drop(*[f.name for f in fields])
+    schema = T.StructType([*docs.schema.fields, *fields])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -302,10 +306,13 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
-                ids = [np.frombuffer(f[0], "<u2") for f in v.encode(texts, 1)]
+                found = v.encode(texts, n)
+                ids = [np.frombuffer(f[0], "<u2") for f in found]
+                others = [[np.frombuffer(x, "<u2").astype(np.int32) for x in f[3]] for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                     pa.array([v.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())], names=[*batch.schema.names, "piece_ids", "decodes"])
+                    [*part.columns, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.float64()),
+                     pa.array([f[2] for f in found], pa.list_(pa.float64())), pa.array(others, pa.list_(pa.list_(pa.int32()))),
+                     pa.array([v.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -70,6 +70,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, piece_ids, n_pieces and whether the ids decode to the text."""
+    """doc_id, source, piece_ids, n_pieces, whether the ids decode to the text, the score of this best segmentation, and scores
+    and ids of the next ones."""
     encoded = pieces.encode_checked(docs.select("doc_id", "source", "text"), path)
-    return encoded.select("doc_id", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "decodes")
+    return encoded.select("doc_id", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "decodes",
+                          "score", "next_scores", "next_ids")

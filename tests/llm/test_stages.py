@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 from test_text_operators import LOWER, ODD, WORD, near_copies, table
 
-from plantlens.llm import mixing, ngram_join, stages
+from plantlens.llm import mixing, ngram_join, pieces, stages
 from plantlens.llm.words import text_of, word_count
 
 
@@ -101,3 +105,16 @@ def test_mix_keeps_columns_of_any_name(spark):
     assert all(r.key == r.unit == r.slice == r.slices == r.inside == r.ahead == r.mix_key == 10 * i for i, r in found.items())
     assert {i: r.taken for i, r in found.items()} == {r.doc_id: r.taken for r in mixing.mix(plain).collect()}
     assert mixing.digest(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
+
+
+def test_pieces_of_the_stage_are_the_n_best(spark):
+    """The stage returns what the operator finds, the next segmentations by A* included."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, ["a plain sentence of words", "\u2581 odd", "", None, "x"], source=F.lit("s"))
+    want = {r.doc_id: r for r in pieces.digest(docs, path).collect()}
+    found = stages.tokenized(docs, path).collect()
+    assert len(found) == 5 and max(len(r.next_ids) for r in found) == pieces.N_BEST - 1
+    for r in found:
+        w = want[r.doc_id]
+        assert (r.n_pieces, r.score, r.next_scores, r.decodes) == (w.n_pieces, w.score, w.next_scores, w.round_trip)
+        assert [zlib.crc32(np.array(x, "<u2").tobytes()) for x in r.next_ids] == w.next_crc32
