@@ -19,7 +19,7 @@ import datetime as _dt
 import json
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from plantlens.functions.columns import col, fresh, is_floating, is_time, name
 
 BLOCK_ROWS_CONF = "spark.plantlens.blockRows"
-DEFAULT_BLOCK_ROWS = 2_000_000
+# A chain of windows sorts a block some ten times, at up to 1.5 KB a row in one task.
+DEFAULT_BLOCK_ROWS = 400_000
 SAMPLES_PER_BLOCK = 20
 # Branches of the generated decision tree.
 TREE_LEAVES = 32
@@ -166,6 +167,7 @@ class Blocks:
     n_blocks: int
     n_series: int
     n_rows: int
+    apart: bool = False
 
     @property
     def keys(self) -> list[str]:
@@ -182,7 +184,13 @@ class Blocks:
         return self.window(df).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def with_data(self, df: DataFrame) -> Blocks:
-        return Blocks(df, self.series, self.order, self.n_blocks, self.n_series, self.n_rows)
+        return replace(self, data=df)
+
+    def one_a_task(self) -> Blocks:
+        """Each block in a task of its own: blocks that meet in one task by their hashes, or by merged partitions, would add up."""
+        if self.apart or self.n_blocks == 1:
+            return self
+        return replace(self, data=self.data.repartitionById(self.n_blocks, F.col(BLK)), apart=True)
 
     def carry(self, summary: DataFrame, folds: dict[str, Callable[[WindowSpec], Column]],
               backwards: bool = False) -> DataFrame:
@@ -216,14 +224,15 @@ class Blocks:
 
     def with_position(self, out: str = "_pos") -> Blocks:
         """Contiguous 1..n within each series."""
-        df = self.data
         if self.n_blocks == 1:
-            return self.with_data(df.withColumn(out, F.row_number().over(self.window()).cast("bigint")))
+            return self.with_data(self.data.withColumn(out, F.row_number().over(self.window()).cast("bigint")))
+        placed = self.one_a_task()
+        df = placed.data
         counts = df.groupBy(*[col(k) for k in self.keys]).agg(F.count(F.lit(1)).alias("_n"))
         off = self.carry(counts, {"_off": lambda w: F.sum("_n").over(w)})
         df = df.withColumn(out, F.row_number().over(self.window()).cast("bigint"))
         df = self.attach(df, off)
-        return self.with_data(df.withColumn(out, col(out) + F.coalesce(F.col("_off"), F.lit(0))).drop("_off"))
+        return placed.with_data(df.withColumn(out, col(out) + F.coalesce(F.col("_off"), F.lit(0))).drop("_off"))
 
     def with_halo(self, before: int, after: int, columns: Sequence[str]) -> Blocks:
         """Copy the rows a frame can reach over a block edge into that block, marked `_halo`.
@@ -269,7 +278,7 @@ class Blocks:
             sides.append(reached(after, F.col("_last") + 1, F.col("_last") + after))
         halo = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
         halo = halo.withColumn("_halo", F.lit(True))
-        return self.with_data(df.unionByName(halo, allowMissingColumns=True))
+        return replace(self, data=df.unionByName(halo, allowMissingColumns=True), apart=False)
 
     def without_halo(self) -> Blocks:
         return self.with_data(self.data.filter(~F.col("_halo")).drop("_halo"))
@@ -344,6 +353,7 @@ def affine_scan(blocks: Blocks, rate: Column, add: Column, out: str) -> Blocks:
     138, so that nothing overflows; what lies two stretches back weighs less than
     1e-59 and is dropped. Blocks are linked through their own scan.
     """
+    blocks = blocks.one_a_task()
     df, scratch = _local_scan(blocks.data, blocks.keys, sort_columns(blocks.data, blocks.order), rate, add, out)
     total = F.col(scratch[0]) + F.col(scratch[1])
     if blocks.n_blocks > 1:

@@ -248,3 +248,20 @@ def test_halo_joins_on_equal_keys(table, step):
         out = features.add_sma(table, "x", 7, center=True, order_cols=order, series_cols=["k"], block_rows=13)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_blocks_have_tasks_of_their_own(spark):
+    """No task holds more than a block, through positions and scans, and the numbers are those of one block."""
+    rows = spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("kind"), F.rand(3).alias("value"))
+    blocks = ordered.lay_out(rows, ["kind"], ["event_id"], 400).with_position("_pos")
+    blocks = ordered.affine_scan(blocks, F.lit(0.1), F.col("value"), "_e")
+    where = blocks.data.withColumn("_task", F.spark_partition_id())
+    assert where.groupBy("_task").agg(F.countDistinct("_blk").alias("n")).filter("n > 1").count() == 0
+    assert blocks.n_blocks > 10 and where.select("_task").distinct().count() == blocks.n_blocks
+    whole = ordered.affine_scan(ordered.lay_out(rows, ["kind"], ["event_id"], 10_000).with_position("_pos"), F.lit(0.1), F.col("value"), "_e").result()
+    far = whole.alias("a").join(blocks.result().alias("b"), "event_id").filter("a._pos <> b._pos OR abs(a._e - b._e) > 1e-9")
+    assert whole.count() == blocks.result().count() == 6000 and far.count() == 0
+
+
+def test_default_blocks_are_bounded(spark):
+    assert ordered.lay_out(spark.range(900_000), [], ["id"]).n_blocks >= 2
