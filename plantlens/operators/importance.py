@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions.columns import as_number, col
+from plantlens.functions.lineage import stored
 from plantlens.operators.boosting import Boosting
 from plantlens.operators.evaluate import macro_auc, regression_metrics
 from plantlens.operators.identity import DataError
@@ -17,6 +18,9 @@ from plantlens.operators.ordered import number_rows
 from plantlens.operators.splits import shuffle_key
 from plantlens.operators.supervised import Fitted
 
+# Rows whose values a task holds while a permutation is joined.
+JOIN_ROWS = 100_000
+
 
 def _table(spark: SparkSession, names: Sequence[str], values, column: str) -> DataFrame:
     rows = [(n, float(v)) for n, v in zip(names, values)]
@@ -71,18 +75,27 @@ def permutation_importance(fitted: Fitted, rows: DataFrame, id_col: str = "id",
     n = base.count()
     if n < 2:
         raise DataError("permutation importance needs two rows")
-    base = number_rows(base, ["_h", "_id"], "_pos", block_rows=block_rows).withColumn("_pos", F.col("_pos") - 1)
+    values = [f"f{i}" for i in range(len(features))]
+    base = number_rows(base, ["_h", "_id"], "_pos", block_rows=block_rows)
+    base = stored(base.select((F.col("_pos") - 1).alias("_pos"), *values, "_y"), "numbered")
     steps = _coprime_steps(n, n_repeats, seed)
-    table = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(a).cast("decimal(38,0)").alias("a"),
-                               F.lit(b).cast("decimal(38,0)").alias("b")) for r, (a, b) in enumerate(steps)])
-    fan = base.withColumn("_r", F.explode(table)).withColumn(
-        "_to", F.pmod(F.col("_r.a") * F.col("_pos").cast("decimal(19,0)") + F.col("_r.b"), F.lit(n).cast("decimal(38,0)"))
-        .cast("bigint"))
-    other = base.select(F.col("_pos").alias("_to"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(len(features))])
+
+    def target_of(a: int, b: int) -> Column:
+        place = F.lit(a).cast("decimal(38,0)") * F.col("_pos").cast("decimal(19,0)") + F.lit(b).cast("decimal(38,0)")
+        return F.pmod(place, F.lit(n).cast("decimal(38,0)")).cast("bigint")
+
+    # only what is scored goes through the shuffle; a task holds a bounded part of the values in a hash table and sorts nothing
+    repeats = F.array(*[F.struct(F.lit(r).alias("repeat"), target_of(a, b).alias("to")) for r, (a, b) in enumerate(steps)])
+    fan = base.select(F.explode(repeats).alias("_r"), *values, "_y").select(
+        F.col("_r.repeat").alias("_repeat"), F.col("_r.to").alias("_to"), *values, "_y")
+    other = base.select(F.col("_pos").alias("_to"), *[F.col(f).alias(f"g{i}") for i, f in enumerate(values)])
+    n_parts = -(-n // JOIN_ROWS)
+    if n_parts > 1:
+        fan, other = fan.repartition(n_parts, "_to"), other.repartition(n_parts, "_to").hint("shuffle_hash")
     joined = fan.join(other, "_to")
     stacked = joined.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     shuffled = stacked.select(
-        F.col("_j"), F.col("_r.repeat").alias("_repeat"), "_y",
+        F.col("_j"), "_repeat", "_y",
         *[F.when(F.col("_j") == i, F.col(f"g{i}")).otherwise(F.col(f"f{i}")).alias(f) for i, f in enumerate(features)])
     plain = base.select(F.lit(-1).alias("_j"), F.lit(0).alias("_repeat"), "_y",
                         *[F.col(f"f{i}").alias(f) for i, f in enumerate(features)])
