@@ -121,9 +121,9 @@ def test_parts_are_not_broadcast(spark, monkeypatch):
     """Parts of rows are joined in parts of bounded size, missing series included."""
     rows = spark.range(700).select(F.col("id").alias("t"), F.when(F.col("id") % 2 == 0, F.lit("a")).alias("s"), F.sin("id").alias("x"))
     whole = decompose.stl_decompose(rows, "x", 5, order_cols=["t"], series_cols=["s"])
-    monkeypatch.setattr(decompose, "JOIN_ROWS", 100, raising=False)
+    monkeypatch.setattr(decompose, "JOIN_ROWS", 50, raising=False)
     found = decompose.stl_decompose(rows, "x", 5, order_cols=["t"], series_cols=["s"])
     assert sorted(map(str, whole.collect())) == sorted(map(str, found.collect()))
     assert found.filter("x_stl_p5_trend IS NULL").count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and ", 7), REPARTITION_BY_NUM" in plan
+    assert "SortMergeJoin" in plan and ", 14), REPARTITION_BY_NUM" in plan

@@ -270,3 +270,24 @@ def test_wide_pca(spark, p, k):
     assert np.isclose(model.rest[1], (values[k:] ** 2).sum(), rtol=0.5) and np.isclose(model.rest[2], (values[k:] ** 3).sum(), rtol=0.8)
     dense = latent.q_limit(values, k, 0.95)
     assert np.isclose(latent.monitoring_limits(model)["q_warning_limit"], dense, rtol=0.1)
+
+
+def test_permutation_in_parts(spark, monkeypatch):
+    """Small parts give what one join gives; the copies carry no decimals through the shuffle and are not sorted."""
+    rows = spark.range(600).select(F.col("id").cast("string").alias("id"), F.sin("id").alias("a"), F.when(F.col("id") % 7 > 0, F.cos("id")).alias("b"),
+                                   (F.sin("id") * 3 + F.rand(1)).alias("y"), (F.col("id") % 5 > 0).alias("is_train"))
+    fitted = supervised.fit_supervised(rows, "linear", ["a", "b"], "y", evaluate=False)
+    whole = importance.permutation_importance(fitted, rows).collect()
+    plans, score = [], type(fitted).score
+
+    def scored(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return score(self, df)
+
+    monkeypatch.setattr(type(fitted), "score", scored)
+    monkeypatch.setattr(importance, "JOIN_ROWS", 50, raising=False)
+    found = importance.permutation_importance(fitted, rows).collect()
+    assert [r.feature for r in found] == [r.feature for r in whole] == ["a", "b"]
+    for r, w in zip(found, whole):
+        assert abs(r.importance_mean - w.importance_mean) < 1e-9 and abs(r.importance_sd - w.importance_sd) < 1e-9
+    assert "ShuffledHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and ", 12), REPARTITION_BY_NUM" in plans[0]
