@@ -7,15 +7,18 @@ shingle that two sets share stands at places i and j with 1 + min(x - i - 1, y -
 x - ceil(t x) + 1 shingles of a set, its head, are entries of the product, and an entry that misses the bound makes no
 pair. Blocks of the product are the partitions of the shuffle on the shingle. What is left is verified on whole sets.
 
-1. One pass over the texts gives each document its set's size and 128-bit signature, and counts of shingles in a
+1. One pass over the texts gives each document its set's size, 128-bit signature and sketch, and counts of shingles in a
    table of fixed size, from which "rare first" is read. The counts only choose the order; any order is right.
 2. Documents with equal sets are one class: no pair is made inside it. Sets are known by their signature, never by doc_id.
 3. A second pass counts the shingles of heads, 8 bytes each; most stand in one head only and make no entry. A third pass
-   gives the entries of those that may stand in two, by a bitmap. Each of their shingles names one set as its hub, the one where
-   it stands earliest; hub pairs are verified first, so a group of thousands of near copies costs a number of pairs in
-   proportion to it.
-4. Sets that share a head shingle, meet the bounds and are not yet connected are compared in full. After that no
-   link between components is left out. Components are contracted in tables, not on the driver.
+   gives the entries of those that may stand in two, by a bitmap, which are sorted by shingle once. Each shingle names one set
+   as its hub, the one where it stands earliest; hub pairs are verified first, so a group of thousands of near copies costs a
+   number of pairs in proportion to it.
+4. A sketch has one bit for about each shingle of its set, the parity of the shingles that fall on it. Bits in which two
+   sketches differ are at most the shingles that one set has alone, so pairs with too many of them go without their sets being
+   moved; most pairs that share a shingle by chance do.
+5. Sets that share a head shingle, meet the bounds and are not yet connected are compared in full; only shingles of three sets
+   or more have such pairs. After that no link between components is left out. Components are contracted in tables, not on the driver.
 
 Tables that were read for the last time are removed.
 
@@ -33,18 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import remove, stored
 from plantlens.llm.components import components
-from plantlens.llm.sized import Bitmap
+from plantlens.llm.sized import Bitmap, small_or_shuffled
 from plantlens.llm.wordhash import Words, grams, mix, words
 
 SIZE = 4
 PERCENT = 85
 # Counters of the table that orders shingles; 4 bytes each, whatever the corpus.
 COUNTERS = 1 << 18
+# Bounds of a sketch's size in bits; between them it is the power of two from the set's size on.
+LEAST_BITS, MOST_BITS = 64, 1 << 13
 
 
 def shared_least(x, y, percent: int):
@@ -73,6 +78,18 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's shingles by their last bits; bit k of a sketch half as long is the parity of bits k and k + its length."""
+    bits = min(max(1 << (len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Least number of shingles that only one of the two sets has, as far as their sketches tell."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.unpackbits(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum())
+
+
 def _measure(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
@@ -86,15 +103,16 @@ def _measure(size: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column("row").slice(part.first, n), batch.column("doc_id").slice(part.first, n), pa.array([len(s) for s in found], pa.int64()),
                     pa.array([s[0] for s in signed], pa.int64()), pa.array([s[1] for s in signed], pa.int64()),
+                    pa.array([sketch(s) if len(s) else None for s in found], pa.binary()),
                     pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names=_MEASURED)
         filled = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+            pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
             pa.array([filled.astype(np.int32)], pa.list_(pa.int32())), pa.array([counters[filled]], pa.list_(pa.int64()))], names=_MEASURED)
     return run
 
 
-_MEASURED = ["row", "doc_id", "n_shingles", "node", "node2", "bucket", "seen"]
+_MEASURED = ["row", "doc_id", "n_shingles", "node", "node2", "sketch", "bucket", "seen"]
 
 
 def _heads(part: Words, size: int, percent: int, common: np.ndarray, done: set[int]) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -149,24 +167,40 @@ def _whole(size: int, wanted: Bitmap):
     return run
 
 
-def _with_partner(entries: DataFrame, shingles: Bitmap) -> DataFrame:
-    """Entries whose shingle may be among the given ones; no row is moved."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shingles(batch.column("shingle").to_numpy())))
-
-    return entries.mapInArrow(run, entries.schema)
-
-
 def _bound(x: str, y: str, percent: int) -> str:
     """SQL: entries of two sets x and y may be the first that similar sets share."""
     return (f"(1 + least({x}.n - {x}.i - 1, {y}.n - {y}.i - 1)) * {100 + percent} >= {percent} * ({x}.n + {y}.n) "
             f"AND 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _by_sketch(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_numpy() for c in ("a", "b", "a_n", "b_n"))
+            most = x + y - 2 * shared_least(x, y, percent)
+            differ = [sketches_differ(p, q) for p, q in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist())]
+            kept = np.array(differ, np.int64) <= most
+            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
+    return run
+
+
+def _likely(measured: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches do not rule out that their sets are similar."""
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    known = measured.where("n_shingles > 0").select("node", "n_shingles", "sketch").join(wanted, "node", "left_semi")
+    known = stored(known.dropDuplicates(["node"]), "sketches")
+    a, b = (known.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
+    found = stored(pairs.join(a, "a").join(b, "b").mapInArrow(_by_sketch(percent), "a bigint, b bigint"), "likely")
+    _remove(pairs.sparkSession, wanted, known)
+    return found
+
+
+def _verified(docs: DataFrame, measured: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar."""
     spark = docs.sparkSession
+    pairs = _likely(measured, pairs, percent)
+    if not pairs.limit(1).count():
+        return pairs
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     sets = stored(docs.mapInArrow(_whole(size, Bitmap(wanted)), "node bigint, members array<bigint>"), "sets")
     once = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -174,7 +208,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     shared = F.size(F.array_intersect("a_set", "b_set"))
     found = stored(pairs.join(a, "a").withColumn("a_n", F.size("a_set")).join(b, "b").where(
         100 * shared >= percent * (F.col("a_n") + F.size("b_set") - shared)).select("a", "b"), "links")
-    _remove(spark, wanted, sets)
+    _remove(spark, wanted, sets, pairs)
     return found
 
 
@@ -196,7 +230,7 @@ def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     measured = stored(docs.mapInArrow(
-        _measure(size), "row bigint, doc_id bigint, n_shingles bigint, node bigint, node2 bigint, bucket array<int>, seen array<bigint>"), "measured")
+        _measure(size), "row bigint, doc_id bigint, n_shingles bigint, node bigint, node2 bigint, sketch binary, bucket array<int>, seen array<bigint>"), "measured")
     counts = measured.where("n_shingles < 0").select(F.explode(F.arrays_zip("bucket", "seen")).alias("z")).groupBy(
         F.col("z.bucket").alias("k")).agg(F.sum("z.seen").alias("v"))
     common = np.zeros(COUNTERS, np.int64)
@@ -208,31 +242,30 @@ def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 
     twice = stored(docs.mapInArrow(_head_shingles(size, percent, seen), "shingle bigint").groupBy("shingle").count().where("count > 1").select("shingle"), "twice")
     entries = stored(docs.mapInArrow(_entries(size, percent, seen, Bitmap(twice)), "shingle bigint, node bigint, n int, i int"), "entries")
-    # the same set may come from several tasks
-    once = stored(entries.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("i").alias("i")), "once")
+    # the same set may come from several tasks; it stands at one place of the order, one row after another
+    order = Window.partitionBy("shingle").orderBy("i", "node")
+    ranked = entries.withColumns({
+        "k": F.dense_rank().over(order), "before": F.lag("node").over(order),
+        "hub": F.first(F.struct("node", "n", "i")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    ranked = ranked.withColumn("sets", F.max("k").over(Window.partitionBy("shingle"))).where("before IS NULL OR before <> node").alias("x")
+    with_hub = f"x.k > 1 AND {_bound('x', 'hub', percent)}"
+    shared = stored(ranked.where(f"sets > 2 OR {with_hub}").select("shingle", "node", "n", "i", "k", "hub", "sets"), "shared")
     _remove(spark, twice, entries)
-    hubs = once.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("hub"), F.count("*").alias("sets"))
-    hubs = stored(hubs.where("sets > 1").select("shingle", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i")), "hubs")
-    # shingles of one set only go by a bitmap; what it lets through finds no partner below
-    shared = stored(_with_partner(once, Bitmap(hubs.select("shingle"))), "shared")
-    _remove(spark, once)
-    stars = shared.alias("x").join(hubs.alias("h"), "shingle").where(f"x.node <> h.node AND {_bound('x', 'h', percent)}")
-    pairs = stored(stars.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
-    _remove(spark, hubs)
-    links = _verified(docs, pairs, size, percent)
+    pairs = stored(shared.alias("x").where(with_hub).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "pairs")
+    links = _verified(docs, measured, pairs, size, percent)
 
     groups = components(links)
-    member = stored(shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "member")
+    member = shared.where("sets > 2").select("node", "shingle", "n", "i").join(small_or_shuffled(groups), "node", "left")
+    member = member.withColumn("component", F.coalesce("component", "node"))
+    same = Window.partitionBy("shingle")
+    left = stored(member.withColumns({"lo": F.min("component").over(same), "hi": F.max("component").over(same)}).where("lo <> hi").drop("lo", "hi"), "member")
     _remove(spark, shared)
-    open_ = stored(member.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "open")
-    left = stored(member.join(open_, "shingle", "left_semi"), "member")
-    _remove(spark, member, open_)
     rest = left.alias("x").join(left.alias("y"), "shingle").where(f"x.component < y.component AND {_bound('x', 'y', percent)}")
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     _remove(spark, left, pairs)
     if rest.limit(1).count():
-        more = _verified(docs, rest, size, percent)
+        more = _verified(docs, measured, rest, size, percent)
         if more.limit(1).count():
             groups = components(links.union(more))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plantlens.functions.lineage import stored
 from plantlens.llm import language, licenses, mixing, ngram_join, personal, quality, substrings
 from plantlens.llm.fm_index import FmIndex
 from plantlens.llm.wordhash import words
@@ -147,6 +148,33 @@ def test_ngram_join_empty_and_null_ids(spark, none):
     assert sorted(map(str, (r.component_id for r in ngram_join.similar_groups(docs).collect()))) == ["5", "5", "5", "None"]
 
 
+def test_chance_pairs_move_no_sets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 4, 40)) for _ in range(60)]
+    moved = Counter()
+
+    def counted(df, label):
+        out = stored(df, label)
+        moved[label] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs = table(spark, texts + near_copies(4))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs).collect()}
+    assert got == groups_of(docs.collect()) and len({c for i, (_, c) in got.items() if i < 60}) == 60
+    # chance pairs are made, but only sets of near copies are compared whole; the entries are written once
+    assert moved["pairs"] > 60 and 0 < moved["sets"] < 30 and moved["shared"] <= moved["entries"] and "once" not in moved
+
+
+@pytest.mark.parametrize("n, m, both", [(1, 1, 1), (60, 70, 60), (450, 400, 380), (1000, 1100, 0), (20_000, 18_000, 17_000)])
+def test_sketches_never_tell_more_than_the_sets(n, m, both):
+    s = np.random.default_rng(n).integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+    x, y = np.unique(s[:n]), np.unique(s[n - both:])
+    differ = ngram_join.sketches_differ(ngram_join.sketch(x), ngram_join.sketch(y))
+    assert differ == ngram_join.sketches_differ(ngram_join.sketch(y), ngram_join.sketch(x)) <= n + m - 2 * both
+    assert both or differ > 300
+
+
 def test_language(spark, small, odd, none):
     docs = spark.read.parquet(small.replace("0.001", "0.01") + "/documents.parquet")
     held = [r for r in language.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
