@@ -9,7 +9,7 @@ No piece has a character before a mark, so the lattice falls apart between units
 them. Distinct units of a batch are solved together, forwards and backwards, which gives the best path and what the next
 best costs. For the N best of a text only the N - 1 units with the cheapest second paths matter; these are searched by
 A* from the end, whose heuristic, the forward Viterbi score, is exact, so paths leave the queue in order. Units are kept
-in a bounded memory of the worker. Documents meet in no shuffle.
+in a bounded memory of the worker; when it is full, the half that was met most stays. Documents meet in no shuffle.
 
 Cases: null and empty texts have no pieces, one segmentation with score 0 and decode to an empty text; a mark in the
 text itself is written as bytes and survives; ties prefer the longer last piece; long words are solved whole; repeated
@@ -24,6 +24,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain as together
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,24 @@ N_BEST = 4
 MICRO = 1_000_000
 # Units a worker remembers, some 300 bytes each.
 MOST_UNITS = 200_000
+# Characters of units that are solved together; a longer one is solved alone.
+MOST_CHARACTERS = 400_000
 _NO_CHARACTER = 0x110000
 _vocabularies: dict[str, Vocabulary] = {}
 
 
+class _Units(dict):
+    """Numbers of units in the order in which they were met; `new` has those that are not solved yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.new.append(unit)
+        return number
+
+
 class Vocabulary:
     """Pieces with log-probabilities, byte pieces, and tables of hashes for whole columns of text."""
 
@@ -70,21 +86,35 @@ class Vocabulary:
         alone = "" if any("\n" in p for p in self.piece) else "\n"
         self.unit = re.compile(f"{alone}| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
         heads: dict[int, set[int]] = {}
-        whole: dict[int, list[tuple[int, int, float]]] = {}
+        whole: dict[int, dict[int, tuple[int, float]]] = {}
         for p, (i, score) in self.piece.items():
             h = np.uint64(0)
             for k, c in enumerate(np.frombuffer(p.encode("utf-32-le"), np.uint32)):
                 h = self._extend(np.array([h]), np.array([c]))[0]
                 heads.setdefault(k + 1, set()).add(int(h))
-            whole.setdefault(len(p), []).append((int(h), i, score))
-        self.heads = {k: np.sort(np.array(list(v), np.uint64)) for k, v in heads.items()}
-        self.whole = {}
-        for k, v in whole.items():
-            v.sort()
-            self.whole[k] = (np.array([x[0] for x in v], np.uint64), np.array([x[1] for x in v]), np.array([x[2] for x in v]))
-        self.solved: dict[str, tuple[bytes, float, float]] = {}
+            whole.setdefault(len(p), {})[int(h)] = (i, score)
+        # by length: hashes of the beginnings of pieces, and id (-1 for none) and score of the piece that is one
+        self.heads = {}
+        for k, v in heads.items():
+            names = sorted(v)
+            found = [whole.get(k, {}).get(h, (-1, 0.0)) for h in names]
+            self.heads[k] = (np.array(names, np.uint64), np.array([x[0] for x in found]), np.array([x[1] for x in found]))
+        self._forget()
         self.n_best = lru_cache(maxsize=20_000)(self._n_best)
 
+    def _forget(self, kept: np.ndarray | None = None) -> None:
+        """Only these units stay solved: their numbers, ids, scores of the best path, what the second best costs more, the length
+        of their ids, and how often they were met."""
+        if kept is None:
+            self.units, self.names = _Units(), []
+            self.scores, self.gaps, self.bytes, self.met = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        known = list(self.units)
+        self.units = _Units()
+        self.units.update((known[k], i) for i, k in enumerate(kept.tolist()))
+        self.names = [self.names[k] for k in kept.tolist()]
+        self.scores, self.gaps, self.bytes, self.met = self.scores[kept], self.gaps[kept], self.bytes[kept], self.met[kept] // 2
+
     @staticmethod
     def _extend(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return mix(h + c.astype(np.uint64) + np.uint64(1))
@@ -100,16 +130,14 @@ class Vocabulary:
             inside = at + length <= ends[unit[at]]
             at, h = at[inside], h[inside]
             h = self._extend(h, codes[at + length - 1])
-            if length in self.whole:
-                names, ids, scores = self.whole[length]
-                k = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                hit = names[k] == h
-                parts.append((at[hit], np.full(hit.sum(), length), ids[k[hit]], scores[k[hit]]))
-                if length == 1:
-                    single[at[hit]] = True
-            heads = self.heads[length]
-            alive = heads[np.minimum(np.searchsorted(heads, h), len(heads) - 1)] == h
-            at, h = at[alive], h[alive]
+            names, ids, scores = self.heads[length]
+            k = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            alive = names[k] == h
+            at, h, k = at[alive], h[alive], k[alive]
+            hit = ids[k] >= 0
+            parts.append((at[hit], np.full(hit.sum(), length), ids[k[hit]], scores[k[hit]]))
+            if length == 1:
+                single[at[hit]] = True
             if not len(at):
                 break
         lone = np.flatnonzero(~single)
@@ -131,38 +159,37 @@ class Vocabulary:
         tail, head = at + unit[at], at + unit[at] + size
         first = starts + np.arange(len(units))
         last = first + length
-        forth, pick = _best(tail, head, size, score, head - first[unit[at]], first, last[-1] + 1)
-        behind, _ = _best(head, tail, size, score, last[unit[at]] - tail, last, last[-1] + 1)
+        # edges and their scores by the node where they end, longer ones first
+        longest = int(size.max())
+        table = np.full((int(last[-1]) + 1, longest), -np.inf)
+        table[head, longest - size] = score
+        edge_at = np.zeros(table.shape, np.int32)
+        edge_at[head, longest - size] = np.arange(len(at))
+        forth, pick, behind = _best(table, first, length)
         on_path = np.zeros(len(at), bool)
-        now = last.copy()
-        while True:
-            go = now > first
-            if not go.any():
-                break
-            edge = pick[now[go]]
-            on_path[edge] = True
-            now[go] = tail[edge]
+        now, stop = last, first
+        while len(now):
+            on_path[edge_at[now, longest - pick[now]]] = True
+            now = now - pick[now]
+            now, stop = now[now > stop], stop[now > stop]
         slack = forth[last][unit[at]] - (forth[tail] + score + behind[head])
         off = ~on_path
         second = np.full(len(units), np.inf)
         np.minimum.at(second, unit[at[off]], np.maximum(slack[off], 0.0))
         chosen = np.flatnonzero(on_path)
         chosen = chosen[np.argsort(at[chosen], kind="stable")]
-        order = np.searchsorted(unit[at[chosen]], np.arange(len(units) + 1))
-        chosen_ids, chosen_at = ids[chosen].tolist(), at[chosen].tolist()
-        plain = np.ones(len(units), bool)
-        plain[unit[at[chosen[ids[chosen] < 0]]]] = False
+        order = np.searchsorted(unit[at[chosen]], np.arange(len(units) + 1)).tolist()
         packed = ids[chosen].astype("<u2").tobytes()
-        for k, u in enumerate(units):
-            lo, hi = int(order[k]), int(order[k + 1])
-            if plain[k]:
-                name = packed[2 * lo:2 * hi]
-            else:
-                full: list[int] = []
-                for i, place in zip(chosen_ids[lo:hi], chosen_at[lo:hi]):
-                    full += [i] if i >= 0 else [self.byte[b] for b in text[place].encode()]
-                name = np.array(full, "<u2").tobytes()
-            self.solved[u] = (name, float(forth[last[k]]), float(second[k]))
+        names = [packed[2 * lo:2 * hi] for lo, hi in zip(order, order[1:])]
+        for k in np.unique(unit[at[chosen[ids[chosen] < 0]]]).tolist():
+            full: list[int] = []
+            mine = chosen[order[k]:order[k + 1]]
+            for i, place in zip(ids[mine].tolist(), at[mine].tolist()):
+                full += [i] if i >= 0 else [self.byte[b] for b in text[place].encode()]
+            names[k] = np.array(full, "<u2").tobytes()
+        self.scores, self.gaps = np.concatenate([self.scores, forth[last]]), np.concatenate([self.gaps, second])
+        self.bytes = np.concatenate([self.bytes, [len(x) for x in names]])
+        self.names += names
 
     # one unit
 
@@ -203,21 +230,28 @@ class Vocabulary:
 
     def encode(self, texts: list[str], n: int = N_BEST) -> list[tuple[bytes, float, list[float], list[bytes]]]:
         """For each text: ids of the best segmentation as 2-byte numbers, its score, and of the next n - 1 scores and ids."""
-        if len(self.solved) > MOST_UNITS:
-            self.solved.clear()
+        if len(self.units) > MOST_UNITS:
+            self._forget(np.sort(np.argsort(-self.met, kind="stable")[:MOST_UNITS // 2]))
         split = [self.unit.findall(" " + t) if t else [] for t in texts]
-        new = list({u for units in split for u in units if u not in self.solved})
-        for lo in range(0, len(new), 20_000):
-            self._solve(new[lo:lo + 20_000])
-        return [self._text(units, n) for units in split]
-
-    def _text(self, units: list[str], n: int) -> tuple[bytes, float, list[float], list[bytes]]:
-        found = [self.solved[u] for u in units]
-        ids = b"".join([f[0] for f in found])
-        score = math.fsum([f[1] for f in found])
+        numbers = [list(map(self.units.__getitem__, units)) for units in split]
+        while self.units.new:
+            some = int(np.searchsorted(np.cumsum([len(u) for u in self.units.new[:20_000]]), MOST_CHARACTERS)) + 1
+            self._solve(self.units.new[:some])
+            del self.units.new[:some]
+        met = np.bincount(np.fromiter(together.from_iterable(numbers), np.int64), minlength=len(self.names))
+        met[:len(self.met)] += self.met
+        self.met = met
+        return [self._text(units, at, n) for units, at in zip(split, numbers)]
+
+    def _text(self, units: list[str], at: list[int], n: int) -> tuple[bytes, float, list[float], list[bytes]]:
+        found = list(map(self.names.__getitem__, at))
+        ids = b"".join(found)
+        places = np.array(at, np.int64)
+        # whole numbers, so that the sum is exact in any order
+        score = float(self.scores[places].sum())
         if n < 2 or not units:
             return ids, score / MICRO, [], []
-        gaps = np.array([f[2] for f in found])
+        gaps = self.gaps[places]
         cheap = np.argsort(gaps, kind="stable")[:n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
         ways: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
         for k in cheap.tolist():
@@ -225,17 +259,21 @@ class Vocabulary:
                 continue
             best = self.n_best(units[k], n)
             top = best[0][0]
-            ways = heapq.nsmallest(n, [(w + top - s, c if s == top and j == 0 else (*c, (k, b)))
-                                       for w, c in ways for j, (s, b) in enumerate(best)], key=lambda x: x[0])
+            ways = sorted([(w + top - s, c if s == top and j == 0 else (*c, (k, b)))
+                           for w, c in ways for j, (s, b) in enumerate(best)], key=itemgetter(0))[:n]
         scores, others = [], []
+        ends = np.cumsum(self.bytes[places])
         for gap, changes in ways[1:]:
-            swap = dict(changes)
+            parts, done = [], 0
+            for k, b in sorted(changes, key=itemgetter(0)):
+                parts += [ids[done:int(ends[k]) - len(found[k])], b]
+                done = int(ends[k])
             scores.append((score - gap) / MICRO)
-            others.append(b"".join([swap.get(k, f[0]) for k, f in enumerate(found)]))
+            others.append(b"".join([*parts, ids[done:]]))
         return ids, score / MICRO, scores, others
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join([self.back[i] for i in ids.tolist()])[1:].decode()
+        return b"".join(map(self.back.__getitem__, ids.tolist()))[1:].decode()
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -245,27 +283,26 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([under, np.flatnonzero(values == border)[:n - len(under)]])
 
 
-def _best(tail, head, size, score, depth, first, nodes) -> tuple[np.ndarray, np.ndarray]:
-    """Best scores from the nodes `first` along edges tail -> head, and each node's best edge; `depth` orders the work."""
-    order = np.lexsort((-size, head, depth))
-    value, pick = np.full(nodes, -np.inf), np.full(nodes, -1)
-    value[first] = 0.0
-    h = head[order]
-    new = np.ones(len(order), bool)
-    new[1:] = h[1:] != h[:-1]
-    groups = np.flatnonzero(new)
-    levels = np.flatnonzero(np.diff(depth[order[groups]], prepend=-1))
-    for lo, hi in zip(levels, np.append(levels[1:], len(groups))):
-        a, b = groups[lo], groups[hi] if hi < len(groups) else len(order)
-        edge = order[a:b]
-        total = value[tail[edge]] + score[edge]
-        offsets = groups[lo:hi] - a
-        top = np.maximum.reduceat(total, offsets)
-        hit = np.where(total == np.repeat(top, np.diff(np.append(offsets, b - a))), np.arange(b - a), b - a)
-        node = h[groups[lo:hi]]
-        value[node] = top
-        pick[node] = edge[np.minimum.reduceat(hit, offsets)]
-    return value, pick
+def _best(table: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best scores from the first node of each unit, the size of each node's best edge, of equals the longer, and best scores to
+    the last node; `table` has the scores of edges by the node where they end, longest first. All units go on by one node at a time."""
+    nodes, longest = table.shape
+    forth, pick, behind = np.zeros(nodes), np.zeros(nodes, np.int64), np.zeros(nodes)
+    order = np.argsort(-length, kind="stable")
+    begin, end = first[order], (first + length)[order]
+    alive = np.searchsorted(-length[order], -np.arange(int(length.max()) + 1), side="right").tolist()
+    flat = table.reshape(-1)
+    for depth in range(1, len(alive)):
+        n, most = alive[depth], min(longest, depth)
+        sizes = np.arange(most, 0, -1)
+        node = begin[:n] + depth
+        total = table[node, longest - most:] + forth[node[:, None] - sizes]
+        best = total.argmax(axis=1)
+        forth[node] = total[np.arange(n), best]
+        pick[node] = most - best
+        node = end[:n, None] - depth + sizes
+        behind[end[:n] - depth] = (flat[node * longest + longest - sizes] + behind[node]).max(axis=1)
+    return forth, pick, behind
 
 
 def vocabulary(path: str) -> Vocabulary:

@@ -94,6 +94,23 @@ def test_memory_of_units_does_not_show(monkeypatch):
     assert [x for t in texts for x in Vocabulary(PIECES).encode([t])] == want
 
 
+def test_units_met_most_are_solved_once(monkeypatch):
+    solved = []
+    solve = Vocabulary._solve
+    monkeypatch.setattr(pieces, "MOST_UNITS", 40)
+    monkeypatch.setattr(pieces, "MOST_CHARACTERS", 30)
+    monkeypatch.setattr(Vocabulary, "_solve", lambda self, units: (solved.append(list(units)), solve(self, units)))
+    v, plain = Vocabulary(PIECES), pieces.vocabulary(PIECES)
+    texts = [f"the house of the unit{k} word{k}x" for k in range(100)]
+    found = [v.encode([t, "z" * 90])[0] for t in texts]
+    units = [u for x in solved for u in x]
+    assert units.count(" the") == units.count(" of") == 1 and len(v.units) <= 60
+    # units solved together have a bounded number of characters, but for the last one
+    assert all(sum(map(len, x[:-1])) < 30 for x in solved)
+    monkeypatch.undo()
+    assert found == plain.encode(texts)
+
+
 def test_pieces_round_trip(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("piece_ids", F.lit("clash"))
     rows = pieces.decode(pieces.encode(docs, PIECES), PIECES).collect()
