@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantlens.llm.sized import in_batches
 from plantlens.llm.wordhash import Words, words
 
 TRIGRAMS = 1 << 15
@@ -169,7 +170,7 @@ def train(docs: DataFrame) -> Model:
     wide = TRIGRAMS + len(SCRIPT_NAMES) + 1
     counts = np.zeros((max(len(languages), 1), wide))
     if languages:
-        added = docs.mapInArrow(_count(languages), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+        added = in_batches(docs, _count(languages), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
         for r in added.toLocalIterator():
             counts[r.lang, r.slot] = r.n
     tri, script = counts[:, :TRIGRAMS] + SMOOTHING, counts[:, TRIGRAMS:].copy()
@@ -284,7 +285,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     span = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType())
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("lang_spans", T.ArrayType(span))])
-    return docs.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return in_batches(docs, _label(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

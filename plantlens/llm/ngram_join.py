@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.lineage import remove, stored
 from plantlens.llm.components import components
-from plantlens.llm.sized import Bitmap, small_or_shuffled
+from plantlens.llm.sized import Bitmap, in_batches, small_or_shuffled
 from plantlens.llm.wordhash import Words, grams, mix, words
 
 SIZE = 4
@@ -190,7 +190,7 @@ def _likely(measured: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     known = measured.where("n_shingles > 0").select("node", "n_shingles", "sketch").join(wanted, "node", "left_semi")
     known = stored(known.dropDuplicates(["node"]), "sketches")
     a, b = (known.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
-    found = stored(pairs.join(a, "a").join(b, "b").mapInArrow(_by_sketch(percent), "a bigint, b bigint"), "likely")
+    found = stored(in_batches(pairs.join(a, "a").join(b, "b"), _by_sketch(percent), "a bigint, b bigint"), "likely")
     _remove(pairs.sparkSession, wanted, known)
     return found
 
@@ -202,7 +202,7 @@ def _verified(docs: DataFrame, measured: DataFrame, pairs: DataFrame, size: int,
     if not pairs.limit(1).count():
         return pairs
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    sets = stored(docs.mapInArrow(_whole(size, Bitmap(wanted)), "node bigint, members array<bigint>"), "sets")
+    sets = stored(in_batches(docs, _whole(size, Bitmap(wanted)), "node bigint, members array<bigint>"), "sets")
     once = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
     a, b = (once.select(F.col("node").alias(x), F.col("members").alias(f"{x}_set")) for x in "ab")
     shared = F.size(F.array_intersect("a_set", "b_set"))
@@ -229,8 +229,8 @@ def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     for an empty set, which has no group."""
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    measured = stored(docs.mapInArrow(
-        _measure(size), "row bigint, doc_id bigint, n_shingles bigint, node bigint, node2 bigint, sketch binary, bucket array<int>, seen array<bigint>"), "measured")
+    measured = stored(in_batches(
+        docs, _measure(size), "row bigint, doc_id bigint, n_shingles bigint, node bigint, node2 bigint, sketch binary, bucket array<int>, seen array<bigint>"), "measured")
     counts = measured.where("n_shingles < 0").select(F.explode(F.arrays_zip("bucket", "seen")).alias("z")).groupBy(
         F.col("z.bucket").alias("k")).agg(F.sum("z.seen").alias("v"))
     common = np.zeros(COUNTERS, np.int64)
@@ -240,8 +240,8 @@ def similar_rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     rows = measured.where("n_shingles >= 0").select("row", "doc_id", "n_shingles", "node", "node2")
     classes = stored(rows.where("n_shingles > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("doc_id")), "classes")
 
-    twice = stored(docs.mapInArrow(_head_shingles(size, percent, seen), "shingle bigint").groupBy("shingle").count().where("count > 1").select("shingle"), "twice")
-    entries = stored(docs.mapInArrow(_entries(size, percent, seen, Bitmap(twice)), "shingle bigint, node bigint, n int, i int"), "entries")
+    twice = stored(in_batches(docs, _head_shingles(size, percent, seen), "shingle bigint").groupBy("shingle").count().where("count > 1").select("shingle"), "twice")
+    entries = stored(in_batches(docs, _entries(size, percent, seen, Bitmap(twice)), "shingle bigint, node bigint, n int, i int"), "entries")
     # the same set may come from several tasks; it stands at one place of the order, one row after another
     order = Window.partitionBy("shingle").orderBy("i", "node")
     ranked = entries.withColumns({

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantlens.llm.sized import in_batches
 from plantlens.llm.wordhash import mix
 
 MARK = "▁"
@@ -41,8 +42,8 @@ N_BEST = 4
 MICRO = 1_000_000
 # Units a worker remembers, some 300 bytes each.
 MOST_UNITS = 200_000
-# Characters of units that are solved together; a longer one is solved alone.
-MOST_CHARACTERS = 400_000
+# Characters of units that are solved together, at some 500 bytes each; a longer one is solved alone.
+MOST_CHARACTERS = 50_000
 _NO_CHARACTER = 0x110000
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -325,7 +326,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 ids = [np.frombuffer(f[0], "<u2").astype(np.int32) for f in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "piece_ids"])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def encode_checked(docs: DataFrame, path: str, text_col: str = "text", n: int = N_BEST) -> DataFrame:
@@ -351,7 +352,7 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text", n: int =
                      pa.array([f[2] for f in found], pa.list_(pa.float64())), pa.array(others, pa.list_(pa.list_(pa.int32()))),
                      pa.array([v.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -365,7 +366,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "piece_ids", out: str =
             texts = [None if x is None else v.decode(np.array(x, np.int64)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, schema)
+    return in_batches(encoded, run, schema)
 
 
 def digest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
@@ -386,5 +387,6 @@ def digest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
                     pa.array([v.decode(np.frombuffer(f[0], "<u2")) == t for f, t in zip(found, texts)], pa.bool_())],
                     names=["doc_id", "n_pieces", "score", "ids_crc32", "next_scores", "next_crc32", "round_trip"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(
-        run, "doc_id bigint, n_pieces bigint, score double, ids_crc32 bigint, next_scores array<double>, next_crc32 array<bigint>, round_trip boolean")
+    return in_batches(
+        docs.select("doc_id", F.col("text")), run,
+        "doc_id bigint, n_pieces bigint, score double, ids_crc32 bigint, next_scores array<double>, next_crc32 array<bigint>, round_trip boolean")

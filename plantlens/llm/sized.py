@@ -1,10 +1,13 @@
-"""Joins with a list of ids whose size is looked at first."""
+"""Joins with a list of ids whose size is looked at first, and batches of bounded size."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Up to so many rows of a few numbers each (some tens of MB) a list is sent to every executor; beyond it, both sides are shuffled.
 MOST_SENT = 1_000_000
@@ -15,6 +18,21 @@ def small_or_shuffled(ids: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+# Bytes of rows that go to a Python worker at once, one longer row still whole. Spark's own bounds, 10,000 rows and 64 MB, let a batch
+# hold all texts of a task, on both sides and with room to double.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """`mapInArrow` over batches of bounded bytes. Spark looks the bound up when the table is computed, so it stays set in the
+    session; one that the session already names is kept."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 # Bits of a filter for each key, and bounds of its size: 1 MB to 128 MB.
 BITS_PER_KEY = 16
 _LEAST_BITS, _MOST_BITS = 1 << 23, 1 << 30

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at a time; one longer document is still taken whole.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
