@@ -67,7 +67,7 @@ def _ranked_scores(df: DataFrame, score: str, positive, by: Sequence[str], block
     rows = df.select(*[col(b) for b in by], (-col(score)).alias("_down"), positive.alias("_pos"))
     grouped = rows.filter("_down is not null and _pos is not null").groupBy(*[col(b) for b in by], "_down").agg(
         F.count_if("_pos").alias("_p"), F.count_if(~F.col("_pos")).alias("_n"))
-    blocks = lay_out(grouped, by, ["_down"], block_rows).one_a_task()
+    blocks = lay_out(grouped, by, ["_down"], block_rows).in_tasks()
     run = blocks.running()
     data = blocks.data.withColumns({"_tp": F.sum("_p").over(run), "_fp": F.sum("_n").over(run)})
     if blocks.n_blocks > 1:

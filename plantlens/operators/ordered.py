@@ -21,6 +21,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ BLOCK_ROWS_CONF = "spark.plantlens.blockRows"
 # A chain of windows sorts a block several times in one task; the longest one measured, suggest_ewma, took 1,108 MB.
 DEFAULT_BLOCK_ROWS = 400_000
 SAMPLES_PER_BLOCK = 20
+# Up to so many blocks, or as many as run at a time, each has a task of its own.
+OWN_TASKS = 32
 # Branches of the generated decision tree.
 TREE_LEAVES = 32
 # A table keyed by series is broadcast only up to this many series.
@@ -108,29 +111,44 @@ def _sample_bounds(df: DataFrame, parts: Sequence[tuple[Column, str]], n_rows: i
     sample = df.select(*[e.alias(k) for k, (e, _) in zip(names, parts)])
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=17)
-    rows = sample.orderBy(*names).collect()
+    rows = sample.orderBy(*names).toArrow()
     bounds: list[tuple] = []
-    for p in sorted({len(rows) * i // n_blocks for i in range(1, n_blocks)}) if rows else []:
-        b = tuple(_plain(v) for v in rows[p])
-        if p > 0 and (not bounds or bounds[-1] != b):
+    places = sorted({rows.num_rows * i // n_blocks for i in range(1, n_blocks)} - {0}) if rows.num_rows else []
+    for found in rows.take(pa.array(places, pa.int64())).to_pylist():
+        b = tuple(_plain(found[k]) for k in names)
+        if not bounds or bounds[-1] != b:
             bounds.append(b)
     return bounds
 
 
-def _block_number(parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> Column:
-    """Number of bounds at or below the row's key.
+def _with_block_number(df: DataFrame, parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> DataFrame:
+    """Add the number of bounds at or below the row's key.
 
-    A decision tree over up to 31 of the bounds runs in generated code; where there
-    are more, a binary search in a literal array finishes inside the branch. Each
-    key column stands in the plan a bounded number of times, so that the optimizer
-    can copy the expression into filters without it growing.
+    Up to 31 bounds are a decision tree in generated code. More are searched in halving steps, each a column of its own that
+    looks into the literal bounds of its step, so that generated code holds one comparison a step and the key is made once.
     """
-    n = len(bounds)
-    if n == 0:
-        return F.lit(0)
-    stride = math.ceil((n + 1) / TREE_LEAVES)
-    coarse = [bounds[j - 1] for j in range(stride, n + 1, stride)]
-
+    if len(bounds) < TREE_LEAVES:
+        return df.withColumn(BLK, _tree(parts, bounds))
+    ddl = ",".join(f"k{i}:{t}" for i, (_, t) in enumerate(parts))
+    top = len(bounds).bit_length()
+    key, *at = fresh(df, "_key", *[f"_at{i}" for i in range(top)])
+    out = df.select("*", F.struct(*[e.alias(f"k{i}") for i, (e, _) in enumerate(parts)]).alias(key), F.lit(0).alias(at[0]))
+    for i in range(top):
+        step = 1 << (top - 1 - i)
+        # the bounds that a search can meet at this step
+        rows = [{f"k{j}": v for j, v in enumerate(b)} for b in bounds[step - 1::2 * step]]
+        table = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
+        here = F.col(at[i])
+        reached = F.get(table, F.shiftright(here, top - i)) <= F.col(key)
+        found = F.when(reached, here + F.lit(step)).otherwise(here)
+        # where the optimizer follows a join key back to a scan it would copy every step twice into the next; it stops at a generator
+        out = out.withColumn(at[i + 1], found) if i + 1 < top else out.withColumn(BLK, F.explode(F.array(found)))
+    return out.drop(key, *at)
+
+
+def _tree(parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> Column:
+    """The number of bounds at or below the row's key. Each key column stands in the plan a bounded number of times, so that the
+    optimizer can copy the expression into filters without it growing."""
     def reached(bound: tuple) -> Column:
         values = [F.lit(v).cast(t) for v, (_, t) in zip(bound, parts)]
         cond = parts[-1][0] >= values[-1]
@@ -140,21 +158,11 @@ def _block_number(parts: Sequence[tuple[Column, str]], bounds: list[tuple]) -> C
 
     def tree(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low * stride)
+            return F.lit(low)
         mid = (low + high + 1) // 2
-        return F.when(reached(coarse[mid - 1]), tree(mid, high)).otherwise(tree(low, mid - 1))
+        return F.when(reached(bounds[mid - 1]), tree(mid, high)).otherwise(tree(low, mid - 1))
 
-    start = tree(0, len(coarse))
-    if stride == 1:
-        return start
-    ddl = ",".join(f"k{i}:{t}" for i, (_, t) in enumerate(parts))
-    rows = [{f"k{i}": v for i, v in enumerate(b)} for b in bounds]
-    table = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
-    key = F.struct(*[e.alias(f"k{i}") for i, (e, _) in enumerate(parts)])
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range((stride - 1).bit_length()))])
-    return F.aggregate(
-        steps, start,
-        lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at))
+    return tree(0, len(bounds))
 
 
 @dataclass(frozen=True)
@@ -186,11 +194,16 @@ class Blocks:
     def with_data(self, df: DataFrame) -> Blocks:
         return replace(self, data=df)
 
-    def one_a_task(self) -> Blocks:
-        """Each block in a task of its own: blocks that meet in one task by their hashes, or by merged partitions, would add up."""
+    def in_tasks(self) -> Blocks:
+        """Blocks dealt out to tasks in turn. Few blocks, or large ones, have a task each: where they meet by their hashes, or by
+        merged partitions, their rows add up. Many small ones share a task up to `blockRows` rows, since a task each costs more
+        than their rows."""
         if self.apart or self.n_blocks == 1:
             return self
-        return replace(self, data=self.data.repartitionById(self.n_blocks, F.col(BLK)), apart=True)
+        together = max(1, block_rows_of(self.data, None) * self.n_blocks // self.n_rows)
+        at_once = max(OWN_TASKS, self.data.sparkSession.sparkContext.defaultParallelism)
+        n_tasks = max(math.ceil(self.n_blocks / together), min(self.n_blocks, at_once))
+        return replace(self, data=self.data.repartitionById(n_tasks, F.col(BLK)), apart=True)
 
     def carry(self, summary: DataFrame, folds: dict[str, Callable[[WindowSpec], Column]],
               backwards: bool = False) -> DataFrame:
@@ -226,7 +239,7 @@ class Blocks:
         """Contiguous 1..n within each series."""
         if self.n_blocks == 1:
             return self.with_data(self.data.withColumn(out, F.row_number().over(self.window()).cast("bigint")))
-        placed = self.one_a_task()
+        placed = self.in_tasks()
         df = placed.data
         counts = df.groupBy(*[col(k) for k in self.keys]).agg(F.count(F.lit(1)).alias("_n"))
         off = self.carry(counts, {"_off": lambda w: F.sum("_n").over(w)})
@@ -337,7 +350,7 @@ def lay_out(df: DataFrame, series_cols: Sequence[str], order_cols: Sequence[str]
     gaps = [facts[f"c{i}"] < n_rows for i in range(len(present))]
     parts = _key_parts(df, series, order, gaps)
     bounds = _sample_bounds(df, parts, n_rows, math.ceil(n_rows / limit))
-    return Blocks(df.withColumn(BLK, _block_number(parts, bounds)), series, order, len(bounds) + 1, n_series, n_rows)
+    return Blocks(_with_block_number(df, parts, bounds), series, order, len(bounds) + 1, n_series, n_rows)
 
 
 def number_rows(df: DataFrame, order_cols: Sequence[str], out: str,
@@ -353,7 +366,7 @@ def affine_scan(blocks: Blocks, rate: Column, add: Column, out: str) -> Blocks:
     138, so that nothing overflows; what lies two stretches back weighs less than
     1e-59 and is dropped. Blocks are linked through their own scan.
     """
-    blocks = blocks.one_a_task()
+    blocks = blocks.in_tasks()
     df, scratch = _local_scan(blocks.data, blocks.keys, sort_columns(blocks.data, blocks.order), rate, add, out)
     total = F.col(scratch[0]) + F.col(scratch[1])
     if blocks.n_blocks > 1:

@@ -137,6 +137,46 @@ def test_same_time_everywhere(spark):
     assert list(out.n) == list(range(1, 501))
 
 
+def test_small_blocks_share_tasks(spark):
+    """Tasks follow the rows and not the blocks, however few rows a block may have."""
+    t = spark.range(6_000).select((F.col("id") % 7).alias("t"), "id")
+    blocks = ordered.lay_out(t, [], ["t", "id"], 10).with_position("n")
+    assert blocks.n_blocks > 300
+    assert blocks.data.rdd.getNumPartitions() <= max(ordered.OWN_TASKS, spark.sparkContext.defaultParallelism)
+    assert [r["n"] for r in blocks.data.orderBy("t", "id").collect()] == list(range(1, 6_001))
+
+
+def test_blocks_share_a_task_up_to_its_rows(spark):
+    """No task holds more than `blockRows` rows, by the mean size of a block."""
+    t = spark.range(4_000)
+    spark.conf.set(ordered.BLOCK_ROWS_CONF, "100")
+    try:
+        blocks = ordered.lay_out(t, [], ["id"], 20).in_tasks()
+        n = blocks.data.rdd.getNumPartitions()
+        assert n < blocks.n_blocks and -(-blocks.n_blocks // n) * 4_000 <= 100 * blocks.n_blocks
+        whole = blocks.data.select("_blk", F.spark_partition_id().alias("p")).distinct().groupBy("_blk").count()
+        assert whole.agg(F.max("count")).first()[0] == 1
+        assert ordered.lay_out(t, [], ["id"], 300).in_tasks().data.rdd.getNumPartitions() == 14
+    finally:
+        spark.conf.unset(ordered.BLOCK_ROWS_CONF)
+
+
+def test_many_bounds(spark):
+    """Blocks past the decision tree are still stretches of the order, with missing keys, repeated rows and a join on the block."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 11 == 0 else f"s{i % 3}", None if i % 13 == 0 else float(rng.integers(40)) / 4, i // 2) for i in range(4_000)]
+    t = spark.createDataFrame(rows, "k string, t double, id bigint").repartition(3)
+    blocks = ordered.lay_out(t, ["k"], ["t", "id"], 2)
+    assert blocks.n_blocks > 1_000
+    key = lambda r: (r["k"] is not None, r["k"] or "", r["t"] is None, r["t"] or 0.0, r["id"])
+    found = sorted(blocks.data.collect(), key=key)
+    numbers = [r["_blk"] for r in found]
+    assert numbers == sorted(numbers) and len(set(numbers)) == blocks.n_blocks and max(numbers) == blocks.n_blocks - 1
+    assert all(a["_blk"] == b["_blk"] for a, b in zip(found, found[1:]) if key(a) == key(b))
+    placed = sorted(blocks.with_position("n").data.collect(), key=lambda r: (*key(r)[:2], r["n"]))
+    assert [key(r) for r in placed] == [key(r) for r in found]
+
+
 def test_long_block_keeps_precision(spark):
     n = 60_000
     x = np.random.default_rng(0).normal(50, 5, n)
