@@ -141,3 +141,67 @@ def test_driver_gets_one_histogram_whatever_the_partitions(spark, monkeypatch):
         seen.clear()
     assert fits[0] == fits[1]
     assert max(fits[0][0]) <= 3 * 5 * (50 + 2 + 3)
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_passes_equal_the_task(spark, classes, monkeypatch):
+    """Cells over many tasks give the trees of cells in one task, with values that are no whole numbers and rows that come twice."""
+    monkeypatch.setattr(boosting, "_REFRESH", 2)
+    rng = np.random.default_rng(classes)
+    x = np.repeat(np.column_stack([rng.integers(0, 9, 400), rng.normal(size=400).round(1)]), 2, axis=0)
+    signal = x[:, 0] / 3 - x[:, 1] ** 2 + rng.normal(size=800)
+    y = signal if not classes else np.digitize(signal, np.quantile(signal, np.arange(1, classes) / classes)).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(r), float(v)) for r, v in zip(x, y)], ROWS).repartition(3)
+    alone = fit_boosting(df, "v", "y", classes, 5, 0.3, 6, 10)
+    monkeypatch.setattr(boosting, "TASK_BYTES", 0)
+    many = fit_boosting(df, "v", "y", classes, 5, 0.3, 6, 10)
+    assert [[t.slot.tolist() for t in r] for r in alone.rounds] == [[t.slot.tolist() for t in r] for r in many.rounds]
+    assert len(many.rounds) == 5 and np.allclose(alone.raw(x), many.raw(x), atol=1e-12)
+    assert np.allclose(alone.raw(x).T, plain_boosting(x, y, classes, 5, 0.3, 6, 10), atol=1e-6)
+
+
+def test_equal_rows_are_one_cell(spark):
+    """Cells follow the bins in use and not the rows, and their sums are those of the labels."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 5, 3000), rng.integers(0, 3, 3000)]).astype(float)
+    y = rng.normal(size=3000) * 1e3
+    df = spark.createDataFrame([(Vectors.dense(r), float(v)) for r, v in zip(x, y)], ROWS).repartition(7)
+    cells = boosting._cells(df, "v", "y", [np.arange(4) + 0.5, np.arange(2) + 0.5], "squares", 1, 30).orderBy("bins").toArrow()
+    bins, n, sums = boosting._arrays(cells, 2, "squares", 30)
+    want = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}).groupby(["a", "b"]).y.agg(["size", "sum"]).reset_index()
+    assert (bins == want[["a", "b"]].to_numpy().T).all() and (n == want["size"]).all()
+    assert np.allclose(sums[0], want["sum"], rtol=0, atol=1e-9)
+
+
+def test_rounds_are_no_jobs(spark):
+    """A table whose cells fit into a task is fitted in as many jobs for 30 trees as for 3."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 20, (500, 2)).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(r), float(v)) for r, v in zip(x, x[:, 0] * x[:, 1] + rng.normal(size=500))], ROWS)
+    jobs = []
+    for n in (3, 30):
+        spark.sparkContext.setJobGroup(f"boosting {n}", "")
+        assert len(fit_boosting(df, "v", "y", n_estimators=n).rounds) == n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1] < 30
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 31, 64, 70])
+def test_values_without_a_walk(leaves):
+    """Rows leave a tree where a walk takes them, with missing values and values on a threshold."""
+    rng = np.random.default_rng(leaves)
+    nodes, ends = [[-1, 0.0, -1, -1]], [0]
+    while len(ends) < leaves:
+        at = ends.pop(rng.integers(len(ends)))
+        nodes[at] = [int(rng.integers(3)), float(rng.integers(20)), len(nodes), len(nodes) + 1]
+        ends += [len(nodes), len(nodes) + 1]
+        nodes += [[-1, 0.0, -1, -1], [-1, 0.0, -1, -1]]
+    slot, threshold, left, right = (np.array(c) for c in zip(*nodes))
+    zero = np.zeros(len(nodes), int)
+    tree = boosting.Tree(slot, zero, threshold, left, right, rng.normal(size=len(nodes)), zero, zero)
+    x = rng.integers(-1, 21, (2000, 3)).astype(float)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    model = Boosting("squares", np.array([0.25]), ((tree,), (tree,)), 3)
+    value = tree.value[tree.leaves_of_values(x)]
+    assert (model.raw(x)[:, 0] == 0.25 + value + value).all()
