@@ -205,3 +205,20 @@ def test_values_without_a_walk(leaves):
     model = Boosting("squares", np.array([0.25]), ((tree,), (tree,)), 3)
     value = tree.value[tree.leaves_of_values(x)]
     assert (model.raw(x)[:, 0] == 0.25 + value + value).all()
+
+
+def test_query_grows_all_trees(spark, monkeypatch):
+    """gbt_regression leaves the number of trees at the default."""
+    from plantlens.operators import supervised
+    from plantlens.queries import BY_NAME
+
+    class Told(Exception):
+        pass
+
+    def fit(rows, vector, label, n_classes, n_estimators, *rest):
+        raise Told(n_estimators, *rest[:2])
+
+    monkeypatch.setattr(boosting, "fit_boosting", fit)
+    with pytest.raises(Told) as told:
+        BY_NAME["gbt_regression"].run(spark, "/root/testdata/sf0.001")
+    assert told.value.args == (300, 0.05, 31) == tuple(supervised.DEFAULTS["gbt_regression"].values())
