@@ -303,7 +303,9 @@ def _cells(rows: DataFrame, vector: str, label: str, edges: list[np.ndarray], lo
 
 def _arrays(batch: pa.RecordBatch | pa.Table, n_slots: int, loss: str, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots, cells) bins, rows and (sums, cells) of the labels."""
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, n_slots)
+    column = batch.column("bins")
+    chunks = [c.cast(pa.binary(n_slots)) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])]
+    bins = np.concatenate([np.frombuffer(c.buffers()[1], np.uint8)[c.offset * n_slots:(c.offset + len(c)) * n_slots] for c in chunks]).reshape(-1, n_slots)
     sums = np.stack([batch.column(c).to_numpy() for c in batch.schema.names[2:]]).astype(float)
     if loss == "squares":
         sums = np.ldexp(sums[:1] + np.ldexp(sums[1:], -36), -unit)
